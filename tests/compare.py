@@ -1,4 +1,4 @@
-"""Run queries and their SQL side by side: python -m tests.compare [folder] [name ...]"""
+"""Run queries and their SQL side by side: python -m tests.compare [folder] [name ...] [setting=value ...]"""
 
 from __future__ import annotations
 
@@ -53,12 +53,15 @@ def difference(spark, con, folder: str, name: str) -> str | None:
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = sys.argv[2:] or list(entry.queries())
+    names = [n for n in sys.argv[2:] if "=" not in n] or list(entry.queries())
+    settings = [n.split("=", 1) for n in sys.argv[2:] if "=" in n]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for key, value in settings:
+        spark.conf.set(key, value)
     con = duck(folder)
     for n in names:
         t = time.time()

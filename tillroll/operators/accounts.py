@@ -30,9 +30,9 @@ def changes(payments: DataFrame, deliveries: DataFrame) -> DataFrame:
     return paid.unionByName(owed)
 
 
-def with_balance(changed: DataFrame, start: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def with_balance(changed: DataFrame, start: DataFrame | None = None, **bounds) -> DataFrame:
     """Add ``balance`` after each change in log order; ``start``: w, d, c, start_balance."""
-    out = running(changed, CUSTOMER, ["ts", "kind", "txn"], {"_sum": F.col("change")}, sizes=sizes)
+    out = running(changed, CUSTOMER, ["ts", "kind", "txn"], {"_sum": F.col("change")}, **bounds)
     opening = F.lit(OPENING_BALANCE).cast("decimal(22,2)")
     if start is not None:
         out = out.join(start, CUSTOMER, "left")
@@ -49,7 +49,7 @@ def current_balances(changed: DataFrame, start: DataFrame | None = None) -> Data
     return total.select(*CUSTOMER, (opening + F.col("_sum")).cast("decimal(22,2)").alias("balance"))
 
 
-def credit_data(payments: DataFrame, customers: DataFrame) -> DataFrame:
+def credit_data(payments: DataFrame, customers: DataFrame, **bounds) -> DataFrame:
     """The text kept for each bad-credit customer after each payment.
 
     Every payment puts its prefix in front and cuts the text to 500 characters, so
@@ -65,6 +65,7 @@ def credit_data(payments: DataFrame, customers: DataFrame) -> DataFrame:
         key,
         ["ts", "txn"],
         {"_n": F.lit(1)},
+        **bounds,
     )
     kept = recent(numbered, key, "_n", F.col("_prefix"), PREFIXES_KEPT, "_prefixes")
     text = F.concat(F.array_join(F.reverse("_prefixes"), ""), F.col("opening_data"))

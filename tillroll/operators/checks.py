@@ -44,14 +44,14 @@ def delivery_date(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ok", F.col("delivered").isNull() == F.col("carrier").isNull())
 
 
-def payment_delta(balances: DataFrame, payment_kind: int, opening) -> DataFrame:
+def payment_delta(balances: DataFrame, payment_kind: int, opening, **bounds) -> DataFrame:
     """A payment lowers the balance by its amount (``balances``: w, d, c, ts, kind, txn, change, balance).
 
     Rows are numbered per customer and joined to the one before; the number is part
     of the join key, so a busy customer's rows spread out.
     """
     key = ["w", "d", "c"]
-    numbered = running(balances, key, ["ts", "kind", "txn"], {"_n": F.lit(1)})
+    numbered = running(balances, key, ["ts", "kind", "txn"], {"_n": F.lit(1)}, **bounds)
     previous = numbered.select(*key, (F.col("_n") + 1).alias("_n"), F.col("balance").alias("before"))
     return (
         numbered.join(previous, [*key, "_n"], "left")

@@ -8,19 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _rank(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def first_per_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Drop later records with a key seen before. Partial minima keep hot keys cheap."""
+    """Drop later records with a key seen before. ``order`` must not tie within a key.
+
+    Partial minima keep hot keys cheap; one per column, so that fixed-width columns
+    stay in a hash aggregate.
+    """
     rest = [x for x in log.columns if x not in keys]
-    first = log.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return first.select(*keys, "_r.*").select(*log.columns)
+    first = log.groupBy(*keys).agg(*[F.min_by(x, _rank(order)).alias(x) for x in rest])
+    return first.select(*log.columns)
 
 
 def latest_per_key(log: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The last value of each key; a last value of null removes the key."""
-    last = log.groupBy(*keys).agg(
-        F.max_by(F.struct(value), F.struct(*order)).alias("_r")
-    )
-    return last.select(*keys, F.col(f"_r.{value}").alias(value)).where(F.col(value).isNotNull())
+    last = log.groupBy(*keys).agg(F.max_by(value, _rank(order)).alias(value))
+    return last.where(F.col(value).isNotNull())
 
 
 def as_of(log: DataFrame, until: Column | int, time: str = "ts") -> DataFrame:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tillroll.operators.scan import running
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], **bounds) -> DataFrame:
     """Exact percentiles (linear between neighbours) per key.
 
     Equal values are counted first; a running total over the distinct values then
     finds each position, so no group has to be held in one place.
     """
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    reached = running(counted, keys, [value], {"_upto": F.col("_n")})
+    reached = running(counted, keys, [value], {"_upto": F.col("_n")}, **bounds)
     totals = df.groupBy(*keys).agg(F.count("*").alias("_total"))
     placed = reached.join(totals, list(keys))
     found = []
@@ -35,7 +35,7 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, fractions: dict[
     return out.select(*keys, *fractions)
 
 
-def duration_stats(durations: DataFrame, width: str = "1 hour", limit: float | None = None) -> DataFrame:
+def duration_stats(durations: DataFrame, width: str = "1 hour", limit: float | None = None, **bounds) -> DataFrame:
     """Count, mean, median, 95th percentile per event type and time window, and how
     many took longer than ``limit``. ``durations``: t, event, duration (decimal)."""
     timed = durations.withColumn("start", F.unix_millis(F.window("t", width).start)).drop("t")
@@ -47,4 +47,4 @@ def duration_stats(durations: DataFrame, width: str = "1 hour", limit: float | N
         over.cast("long").alias("over_limit"),
     )
     as_double = timed.withColumn("duration", F.col("duration").cast("double"))
-    return plain.join(percentiles(as_double, keys, "duration", {"p50": 0.5, "p95": 0.95}), keys)
+    return plain.join(percentiles(as_double, keys, "duration", {"p50": 0.5, "p95": 0.95}, **bounds), keys)

@@ -11,12 +11,12 @@ from tillroll.operators.scan import running
 LOG_ORDER = ["ts", "txn"]
 
 
-def number_orders(orders: DataFrame, start: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def number_orders(orders: DataFrame, start: DataFrame | None = None, **bounds) -> DataFrame:
     """Add ``order_id``: 1, 2, 3, ... per district in log order.
 
-    ``start`` (w, d, next_id) continues earlier numbering.
+    ``start`` (w, d, next_id) continues earlier numbering; ``bounds`` as for ``running``.
     """
-    out = running(orders, ["w", "d"], LOG_ORDER, {"order_id": F.lit(1)}, sizes=sizes)
+    out = running(orders, ["w", "d"], LOG_ORDER, {"order_id": F.lit(1)}, **bounds)
     if start is not None:
         out = out.join(start.select("w", "d", "next_id"), ["w", "d"], "left").withColumn(
             "order_id", F.col("order_id") + F.coalesce("next_id", F.lit(1)) - 1
@@ -66,5 +66,4 @@ def recent_orders(numbered: DataFrame, depth: int = 20, newest: DataFrame | None
 def latest_per_customer(numbered: DataFrame) -> DataFrame:
     """Each customer's newest order: w, d, c, then the order's other columns."""
     rest = [x for x in numbered.columns if x not in ("w", "d", "c")]
-    best = numbered.groupBy("w", "d", "c").agg(F.max_by(F.struct(*rest), "order_id").alias("latest"))
-    return best.select("w", "d", "c", "latest.*")
+    return numbered.groupBy("w", "d", "c").agg(*[F.max_by(x, "order_id").alias(x) for x in rest])

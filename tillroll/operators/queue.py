@@ -25,13 +25,13 @@ def district_log(
     orders: DataFrame,
     deliveries: DataFrame,
     start: DataFrame | None = None,
-    sizes: DataFrame | None = None,
+    **bounds,
 ) -> DataFrame:
     """Accepted orders (kind 0) and polls (kind 1) of each district with ``order_id``.
 
     An order's id is its number in the district; a poll's is the order it pops,
     null if the queue is empty. ``orders``: txn, ts, w, d, c, total. ``start``
-    (w, d, next_id, pending) holds the queues left by an earlier run.
+    (w, d, next_id, pending) holds the queues left by an earlier run; ``bounds`` as for ``running``.
     """
     log = (
         orders.select("w", "d", "ts", F.lit(NEW_ORDER).alias("kind"), "txn", "c", "total", F.lit(None).cast("int").alias("carrier"))
@@ -53,7 +53,7 @@ def district_log(
         ["ts", "kind", "txn"],
         sums={"arrived": is_order.cast("int"), "polled": (~is_order).cast("int")},
         floors={"lowest": F.col("pending") + F.col("arrived") - F.col("polled")},
-        sizes=sizes,
+        **bounds,
     )
     spare = F.col("pending") + F.col("arrived") - F.col("polled")
     lowest = F.least(F.coalesce("lowest", F.lit(0)), F.lit(0))
@@ -87,8 +87,7 @@ def pending(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
 
 def oldest_pending(pending_orders: DataFrame) -> DataFrame:
     rest = [x for x in pending_orders.columns if x not in ("w", "d")]
-    best = pending_orders.groupBy("w", "d").agg(F.min_by(F.struct(*rest), "order_id").alias("oldest"))
-    return best.select("w", "d", "oldest.*")
+    return pending_orders.groupBy("w", "d").agg(*[F.min_by(x, "order_id").alias(x) for x in rest])
 
 
 def delivery_results(deliveries: DataFrame, done: DataFrame) -> DataFrame:

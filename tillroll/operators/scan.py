@@ -10,8 +10,7 @@ slice. Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +41,8 @@ def running(
     order: Sequence[str],
     sums: dict[str, Column],
     floors: dict[str, Column] | None = None,
-    sizes: DataFrame | None = None,
+    rows: int | None = None,
+    sizes: Callable[[], DataFrame] | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running totals to every row.
@@ -50,22 +50,25 @@ def running(
     ``sums``: inclusive running sum of each expression, per key in the given order.
     ``floors``: running minimum over the rows *before* this one (null on the first);
     may use the names in ``sums``.
-    ``sizes``: key columns and ``n``, an upper bound on each group's rows that is
-    cheaper to get than counting ``df``; its key columns may be fewer than ``keys``.
+    ``rows``: an upper bound on all of ``df``'s rows, if known; no group can be hot
+    when that is small. ``sizes``: gives key columns and ``n``, an upper bound on each
+    group's rows that is cheaper to get than counting ``df``; its key columns may be
+    fewer than ``keys``.
     """
     floors = floors or {}
     hot_rows = hot_rows or int(df.sparkSession.conf.get("tillroll.hotRows", str(HOT_ROWS)))
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = hot_groups(sizes, hot_rows)
+    if rows is not None and rows <= hot_rows:
+        return _in_one_window(df, keys, order, sums, floors)
+    counted = sizes() if sizes else df.groupBy(*keys).agg(F.count("*").alias("n"))
+    hot = hot_groups(counted, hot_rows)
     if not hot:
         return _in_one_window(df, keys, order, sums, floors)
-    names = [c for c in sizes.columns if c != "n"]
-    hot_keys = df.sparkSession.createDataFrame(hot, sizes.schema).select(*names)
-    rows = sum(r["n"] for r in hot)
+    names = [c for c in counted.columns if c != "n"]
+    hot_keys = df.sparkSession.createDataFrame(hot, counted.schema).select(*names)
+    hot_total = sum(r["n"] for r in hot)
     cold = df.join(F.broadcast(hot_keys), names, "left_anti")
     warm = df.join(F.broadcast(hot_keys), names, "left_semi")
-    slices = -(-rows // hot_rows) + 1
+    slices = -(-hot_total // hot_rows) + 1
     return _in_one_window(cold, keys, order, sums, floors).unionByName(
         _in_slices(warm, keys, order, sums, floors, slices)
     )
@@ -143,7 +146,3 @@ def recent(
         .where(F.col("_block") == F.col("_own"))
         .drop("_own", "_block")
     )
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -52,10 +52,11 @@ def movements(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_m", F.explode(rows)).select("*", "_m.*").drop("_m")
 
 
-def with_levels(moved: DataFrame, start: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def with_levels(moved: DataFrame, start: DataFrame | None = None, **bounds) -> DataFrame:
     """Add ``level``, the stock after each movement in log order.
 
-    ``start`` (stock_w, item, start_level) replaces the default opening level.
+    ``start`` (stock_w, item, start_level) replaces the default opening level;
+    ``bounds`` as for ``running``.
     """
     opening = initial_stock(F.col("item"))
     if start is not None:
@@ -66,7 +67,7 @@ def with_levels(moved: DataFrame, start: DataFrame | None = None, sizes: DataFra
         ["stock_w", "item"],
         ["ts", "txn", "line"],
         {"_total": F.col("taken")},
-        sizes=sizes,
+        **bounds,
     )
     return out.withColumn("level", level_after(F.col("_opening"), F.col("_total"))).drop("_opening", "_total", "start_level")
 

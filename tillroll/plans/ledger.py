@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import accounts, customers, orders, queue, stock, verify, views
 from tillroll.session import configure
 from tillroll.sources import generate
-from tillroll.sources.shop import Shop, initial_stock
+from tillroll.sources.shop import DISTRICTS, Shop, initial_stock
 
 
 class Ledger:
@@ -28,13 +28,38 @@ class Ledger:
         """Accepted orders with n_lines and total."""
         return self.approvals.where("approved").drop("approved")
 
+    # ---- bounds on rows and group sizes, for the running sums ---------------
+
+    @cached_property
+    def order_bounds(self) -> dict:
+        return {"rows": self.shop.rows("orders") + self.polls_at_most, "sizes": self.shop.district_sizes}
+
+    @property
+    def polls_at_most(self) -> int:
+        """A warehouse has no more deliveries than orders, each with ten polls."""
+        return DISTRICTS * self.shop.rows("orders")
+
+    @cached_property
+    def stock_bounds(self) -> dict:
+        return {"rows": 2 * self.shop.rows("lineitem"), "sizes": self.shop.item_sizes}
+
     @cached_property
-    def district_sizes(self) -> DataFrame:
-        return self.shop.district_sizes()
+    def name_bounds(self) -> dict:
+        return {"rows": self.shop.rows("customer")}
+
+    @cached_property
+    def payment_bounds(self) -> dict:
+        return {"rows": self.shop.rows("events")}
+
+    @cached_property
+    def balance_bounds(self) -> dict:
+        return {"rows": self.shop.rows("events", "orders")}
+
+    # ---- numbering ------------------------------------------------------------
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return orders.number_orders(self.accepted, sizes=self.district_sizes)
+        return orders.number_orders(self.accepted, **self.order_bounds)
 
     # ---- lines --------------------------------------------------------------
 
@@ -60,7 +85,7 @@ class Ledger:
     @cached_property
     def moved(self) -> DataFrame:
         """Every look at and change of a stock level, with the level after it."""
-        return stock.with_levels(stock.movements(self.lines), sizes=self.shop.item_sizes())
+        return stock.with_levels(stock.movements(self.lines), **self.stock_bounds)
 
     @cached_property
     def levels(self) -> DataFrame:
@@ -73,7 +98,7 @@ class Ledger:
         return queue.district_log(
             self.accepted.select("w", "d", "ts", "txn", "c", "total"),
             self.shop.deliveries,
-            sizes=self.district_sizes,
+            **self.order_bounds,
         )
 
     @cached_property
@@ -92,7 +117,7 @@ class Ledger:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return customers.resolve(self.shop.payments, self.shop.customers)
+        return customers.resolve(self.shop.payments, self.shop.customers, **self.name_bounds)
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -100,7 +125,7 @@ class Ledger:
 
     @cached_property
     def balances(self) -> DataFrame:
-        return accounts.with_balance(self.changes)
+        return accounts.with_balance(self.changes, **self.balance_bounds)
 
     @cached_property
     def current_balances(self) -> DataFrame:
@@ -108,7 +133,7 @@ class Ledger:
 
     @cached_property
     def credit_data(self) -> DataFrame:
-        return accounts.credit_data(self.payments, self.shop.customers)
+        return accounts.credit_data(self.payments, self.shop.customers, **self.payment_bounds)
 
     # ---- views ----------------------------------------------------------------------
 

@@ -467,17 +467,17 @@ def oldest_pending(x):
 
 @query
 def customers_by_name(x):
-    return customers.by_first_name(x.shop.customers.select("w", "d", "last", "first", "c"))
+    return customers.by_first_name(x.shop.customers.select("w", "d", "last", "first", "c"), **x.name_bounds)
 
 
 @query
 def middle_customer(x):
-    return customers.middle_customers(x.shop.customers)
+    return customers.middle_customers(x.shop.customers, **x.name_bounds)
 
 
 @query
 def middle_customer_sql(x):
-    return customers.middle_customers(x.shop.customers, "sql")
+    return customers.middle_customers(x.shop.customers, "sql", **x.name_bounds)
 
 
 @query
@@ -543,7 +543,7 @@ def order_status(x):
 @query
 def order_status_by_name(x):
     """The same for the customer each last name stands for."""
-    middle = customers.middle_customers(x.shop.customers)
+    middle = customers.middle_customers(x.shop.customers, **x.name_bounds)
     return views.order_status(x.state, x.shop.customers).join(middle, ["w", "d", "last", "c"], "left_semi")
 
 
@@ -605,7 +605,7 @@ def duration_stats(x):
         F.col("event_type").alias("event"),
         F.col("value").cast(MONEY).alias("duration"),
     )
-    return metrics.duration_stats(durations, "1 day", limit=90)
+    return metrics.duration_stats(durations, "1 day", limit=90, **x.payment_bounds)
 
 
 # ---- the log as of a point, and rebuilt -------------------------------------------------
@@ -659,8 +659,8 @@ def sql_stock(x):
 
 @query
 def updated_customers(x):
-    resolved = customers.resolve(x.shop.payments, x.shop.customers, "sql")
-    texts = relational.newest_texts(accounts.credit_data(resolved, x.shop.customers))
+    resolved = customers.resolve(x.shop.payments, x.shop.customers, "sql", **x.name_bounds)
+    texts = relational.newest_texts(accounts.credit_data(resolved, x.shop.customers, **x.payment_bounds))
     changed = accounts.changes(resolved, x.delivered)
     return relational.customer_table(
         x.shop.customers, accounts.current_balances(changed), accounts.year_to_date(resolved, x.delivered), texts
@@ -706,7 +706,7 @@ def check_delivery_date(x):
 @query
 def check_payment_delta(x):
     opening = F.lit(OPENING_BALANCE).cast("decimal(22,2)")
-    return checks.payment_delta(x.balances, PAYMENT, opening).select("w", "d", "c", "txn", "before", "balance", "ok")
+    return checks.payment_delta(x.balances, PAYMENT, opening, **x.balance_bounds).select("w", "d", "c", "txn", "before", "balance", "ok")
 
 
 # ---- expressions and generators ------------------------------------------------------------------
@@ -757,12 +757,12 @@ def gen_customer(x):
 
 @query
 def gen_stock(x):
-    return generate.stock(x.shop.table("part").select(F.col("p_partkey").alias("item")), x.shop.table("nation").count())
+    return generate.stock(x.shop.table("part").select(F.col("p_partkey").alias("item")), x.shop.rows("nation"))
 
 
 @query
 def gen_orders(x):
-    n_items = x.shop.table("part").count()
-    headers = generate.orders(customer_keys(x.shop), n_items)
+    n_items = x.shop.rows("part")
+    headers = generate.orders(customer_keys(x.shop), n_items, **x.name_bounds)
     lines = generate.order_lines(headers, n_items)
     return lines.join(headers.select("w", "d", "order_id", "c", "entered", "carrier"), ["w", "d", "order_id"])

@@ -156,7 +156,7 @@ def stock_texts(w: Column, item: Column) -> Column:
     ])
 
 
-def orders(keys: DataFrame, n_items: int, delivered_tenths: int = DELIVERED_TENTHS, seed: int | None = None) -> DataFrame:
+def orders(keys: DataFrame, n_items: int, delivered_tenths: int = DELIVERED_TENTHS, seed: int | None = None, **bounds) -> DataFrame:
     """One order per customer (w, d, c): number, time, line count, carrier if delivered.
 
     Customers get numbers in id order (predictable) or in shuffled order (random);
@@ -164,13 +164,13 @@ def orders(keys: DataFrame, n_items: int, delivered_tenths: int = DELIVERED_TENT
     """
     per_district = keys.groupBy("w", "d").agg(F.count("*").alias("_n"))
     if seed is None:
-        ranked = running(keys, ["w", "d"], ["c"], {"order_id": F.lit(1)})
+        ranked = running(keys, ["w", "d"], ["c"], {"order_id": F.lit(1)}, **bounds)
         lines, carrier = F.col("order_id") % 11 + 5, F.col("order_id") % 10 + 1
         entered = F.col("order_id") * ORDER_STEP_MS + ORDER_BASE_MS
     else:
         # shuffled by a hash, so that a retried task draws the same order
         shuffled = keys.withColumn("_at", F.xxhash64(F.lit(seed), "w", "d", "c"))
-        ranked = running(shuffled, ["w", "d"], ["_at", "c"], {"order_id": F.lit(1)}).drop("_at")
+        ranked = running(shuffled, ["w", "d"], ["_at", "c"], {"order_id": F.lit(1)}, **bounds).drop("_at")
         lines, carrier = draws.uniform(5, 15, seed), draws.uniform(1, 10, seed + 1)
         entered = F.unix_millis(F.current_timestamp())
     done = F.col("order_id") * 10 <= F.col("_n") * delivered_tenths

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.text import customer_data, last_name, predictable_address
 from tillroll.operators.scan import running
+from tillroll.sources.tables import SCHEMAS
 
 MONEY = "decimal(12,2)"
 RATE = "decimal(5,4)"
@@ -56,9 +57,21 @@ class Shop:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            reader = self.spark.read.schema(SCHEMAS[name])
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
+
+    def rows(self, *names: str) -> int:
+        """Rows of the named tables together; Spark answers this from the file footers."""
+        for name in names:
+            if name not in self._rows:
+                self._rows[name] = self.table(name).count()
+        return sum(self._rows[name] for name in names)
 
     # ---- shared tables -------------------------------------------------
 
@@ -164,9 +177,10 @@ class Shop:
     @cached_property
     def request_lines(self) -> DataFrame:
         """Lines numbered from 0 within their order: txn, line, item, remote_w, quantity."""
-        sizes = self.table("lineitem").groupBy(F.col("l_orderkey").alias("txn")).agg(F.count("*").alias("n"))
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
-        numbered = running(self.bare_lines, ["txn"], order, {"_n": F.lit(1)}, sizes=sizes)
+        numbered = running(
+            self.bare_lines, ["txn"], order, {"_n": F.lit(1)}, rows=self.rows("lineitem"), sizes=self.order_sizes
+        )
         return numbered.select(
             "txn", (F.col("_n") - 1).cast("int").alias("line"), "item", "remote_w", "quantity"
         )
@@ -233,17 +247,24 @@ class Shop:
 
     # ---- upper bounds on group sizes, cheap to get -----------------------
 
+    def order_sizes(self) -> DataFrame:
+        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("txn")).agg(F.count("*").alias("n"))
+
     def orders_per_customer(self) -> DataFrame:
         return self.table("orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"))
 
     def district_sizes(self) -> DataFrame:
-        """Orders and polls per district, added up from per-customer counts."""
+        """At most this many orders and polls per district, from per-customer counts.
+
+        A warehouse polls each district once per month it has orders in.
+        """
         homes = self.table("customer").select(F.col("c_custkey").alias("c"), home("c_nationkey").alias("w"))
-        return (
+        placed = (
             self.orders_per_customer().join(homes, "c")
-            .groupBy("w", (F.col("c") % DISTRICTS + 1).cast("int").alias("d"))
-            .agg((F.sum("n") + CALENDAR_MONTHS).alias("n"))
+            .groupBy("w", home_district("c").alias("d")).agg(F.sum("n").alias("placed"))
         )
+        months = placed.groupBy("w").agg(F.least(F.sum("placed"), F.lit(CALENDAR_MONTHS)).alias("months"))
+        return placed.join(months, "w").select("w", "d", (F.col("placed") + F.col("months")).alias("n"))
 
     def item_sizes(self) -> DataFrame:
         """Movements per item over all warehouses (a line moves at most two levels)."""
