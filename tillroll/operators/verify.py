@@ -8,8 +8,23 @@ from pyspark.sql import functions as F
 KNOWN_TYPES = ["neworder", "payment", "delivery"]
 
 
+def rejected(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """txn of each order with an unknown item. Only those lines are shuffled."""
+    return unknown_items(lines.select("txn", "item"), items).select("txn").distinct()
+
+
+def approve(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
+    """Every order with ``approved``: all its items exist. One without lines passes."""
+    bad = rejected(lines, items).withColumn("_bad", F.lit(True))
+    return orders.join(bad, "txn", "left").withColumn("approved", F.col("_bad").isNull()).drop("_bad")
+
+
+def accept(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
+    return orders.join(rejected(lines, items), "txn", "left_anti")
+
+
 def line_facts(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Per order, in one shuffle on partial sums: is every item known, line count, amount."""
+    """Per order, in one shuffle of partial sums: is every item known, line count, amount."""
     found = lines.join(items.select("item", "price"), "item", "left")
     return found.groupBy("txn").agg(
         F.bool_and(F.col("price").isNotNull()).alias("all_known"),
@@ -18,11 +33,8 @@ def line_facts(lines: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def approve(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Every order with ``approved``, ``n_lines`` and ``total``.
-
-    An order is approved when all its items exist; one without lines is, too.
-    """
+def approve_with_totals(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
+    """As ``approve``, with ``n_lines`` and ``total``: one pass over the lines for all three."""
     return orders.join(line_facts(lines, items), "txn", "left").select(
         *orders.columns,
         F.coalesce("all_known", F.lit(True)).alias("approved"),
@@ -31,10 +43,6 @@ def approve(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def accepted(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
-    return approve(orders, lines, items).where("approved").drop("approved")
-
-
 def unknown_items(lines: DataFrame, items: DataFrame) -> DataFrame:
     """Lines whose item does not exist."""
     return lines.join(items.select("item"), "item", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators import accounts, customers, orders, queue, stock, verify, views
-from tillroll.session import configure
+from tillroll.session import configure, settle
 from tillroll.sources import generate
 from tillroll.sources.shop import DISTRICTS, Shop, initial_stock
 
@@ -25,8 +25,16 @@ class Ledger:
 
     @cached_property
     def accepted(self) -> DataFrame:
+        return verify.accept(self.shop.orders, self.shop.plain_lines, self.shop.items)
+
+    @cached_property
+    def approvals_with_totals(self) -> DataFrame:
+        return verify.approve_with_totals(self.shop.orders, self.shop.plain_lines, self.shop.items)
+
+    @cached_property
+    def accepted_with_totals(self) -> DataFrame:
         """Accepted orders with n_lines and total."""
-        return self.approvals.where("approved").drop("approved")
+        return self.approvals_with_totals.where("approved").drop("approved")
 
     # ---- bounds on rows and group sizes, for the running sums ---------------
 
@@ -65,8 +73,7 @@ class Ledger:
 
     def of_accepted(self, lines: DataFrame) -> DataFrame:
         """Lines of accepted orders: the orders with an unknown item are taken out."""
-        bad = verify.unknown_items(self.shop.plain_lines, self.shop.items).select("txn").distinct()
-        return lines.join(bad, "txn", "left_anti")
+        return lines.join(verify.rejected(self.shop.plain_lines, self.shop.items), "txn", "left_anti")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -95,11 +102,14 @@ class Ledger:
 
     @cached_property
     def district_log(self) -> DataFrame:
-        return queue.district_log(
-            self.accepted.select("w", "d", "ts", "txn", "c", "total"),
+        """Orders and polls with their order ids. Written once: what is delivered, what is
+        pending, balances and views each read it, some of them several times."""
+        log = queue.district_log(
+            self.accepted_with_totals.select("w", "d", "ts", "txn", "c", "total"),
             self.shop.deliveries,
             **self.order_bounds,
         )
+        return settle(log)
 
     @cached_property
     def log_orders(self) -> DataFrame:

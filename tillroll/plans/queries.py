@@ -117,6 +117,7 @@ def encoded_requests(x: Ledger) -> DataFrame:
         ["itemId", "supplyingWarehouseId", "quantity"],
     ).select("txn", "part", F.transform("lines", lambda v: v.dropFields("line")).alias("lines"))
     new = x.shop.orders.join(nested, "txn", "left").select(
+        F.lit("neworder").alias("type"),
         "txn",
         F.coalesce("part", F.lit(0)).alias("part"),
         records.encode(
@@ -125,9 +126,11 @@ def encoded_requests(x: Ledger) -> DataFrame:
             lines=F.coalesce("lines", F.array().cast("array<struct<itemId:int,supplyingWarehouseId:int,quantity:int>>")),
         ).alias("value"),
     )
-    paid = x.shop.payments.select("txn", F.lit(0).alias("part"), encoded_payment().alias("value"))
+    paid = x.shop.payments.select(
+        F.lit("payment").alias("type"), "txn", F.lit(0).alias("part"), encoded_payment().alias("value")
+    )
     done = x.shop.deliveries.select(
-        "txn", F.lit(0).alias("part"),
+        F.lit("delivery").alias("type"), "txn", F.lit(0).alias("part"),
         records.encode(
             type=F.lit("delivery"), warehouseId=F.col("w"), carrierId=F.col("carrier"), deliveryDate=F.col("ts")
         ).alias("value"),
@@ -352,7 +355,7 @@ def order_summary(x):
 @query
 def order_amount_sql(x):
     """SUM over an order's lines, null for an order without lines."""
-    return x.approvals.where("approved").select(
+    return x.accepted_with_totals.select(
         "txn", F.when(F.col("n_lines") > 0, F.col("total")).alias("amount")
     )
 
@@ -363,7 +366,7 @@ def new_orders(x):
     numbered = x.numbered.select("txn", "order_id")
     who = x.shop.customers.select("w", "d", "c", "last", "credit", "discount")
     return (
-        x.approvals.join(numbered, "txn", "left")
+        x.approvals_with_totals.join(numbered, "txn", "left")
         .join(who, ["w", "d", "c"])
         .join(x.shop.warehouses.select("w", "w_tax"), "w")
         .join(x.shop.districts.select("w", "d", "d_tax"), ["w", "d"])
@@ -634,7 +637,7 @@ def rebuild_equals_live(x):
 
 def summaries(x: Ledger) -> DataFrame:
     lines = x.unnumbered_lines.groupBy("txn").agg(F.bool_and(F.col("supply_w") == F.col("w")).alias("all_local"))
-    return x.log_orders.join(x.accepted.select("txn", "n_lines"), "txn").join(lines, "txn", "left").select(
+    return x.log_orders.join(x.accepted_with_totals.select("txn", "n_lines"), "txn").join(lines, "txn", "left").select(
         "w", "d", "order_id", "c", "ts", "n_lines", F.coalesce("all_local", F.lit(True)).alias("all_local")
     )
 

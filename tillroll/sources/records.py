@@ -53,9 +53,11 @@ def decode(log: DataFrame, kind: str, schemas: dict[str, str], strict: bool = Tr
     """Records of one type with their payload parsed into ``r``.
 
     ``strict`` raises on malformed JSON; otherwise such records come back with the
-    text in ``corrupt``. A null value stays null.
+    text in ``corrupt``. A null value stays null. A log that carries ``type`` as a key
+    column is filtered on that, before any JSON is read.
     """
-    tagged = log.where(F.get_json_object("value", "$.type") == kind)
+    tag = F.col("type") if "type" in log.columns else F.get_json_object("value", "$.type")
+    tagged = log.where(tag == kind)
     if strict:
         parsed = F.from_json("value", schemas[kind], {"mode": "FAILFAST"})
         out = tagged.withColumn("r", parsed)
