@@ -31,26 +31,28 @@ def chance(percent: float, seed: int) -> Column:
     return F.rand(seed) * 100 < percent
 
 
-def _each(length: Column, one) -> Column:
-    # rand() may not stand inside a lambda, so each position hashes one row-level draw
-    positions = F.transform(F.sequence(F.lit(1), length.cast("int")), one)
-    return F.array_join(positions, "")
+def _each(length: Column, start: Column, one) -> Column:
+    """One character per position. ``start`` is drawn once per row (it is the only
+    element of the outer array); the positions hash it."""
+    positions = F.sequence(F.lit(1), length.cast("int"))
+    rows = F.array(F.struct(start.alias("start"), positions.alias("at")))
+    return F.element_at(
+        F.transform(rows, lambda r: F.array_join(F.transform(r["at"], lambda i: one(r["start"], i)), "")), 1
+    )
 
 
 def printable_text(low: int, high: int, seed: int) -> Column:
     """low..high printable ASCII characters (32..126)."""
-    start = uniform(0, 2**40, seed)
     return _each(
-        uniform(low, high, seed + 1),
-        lambda i: F.char(F.pmod(F.xxhash64(start, i), F.lit(95)) + 32),
+        uniform(low, high, seed + 1), uniform(0, 2**40, seed),
+        lambda start, i: F.char(F.pmod(F.xxhash64(start, i), F.lit(95)) + 32),
     )
 
 
 def digits(low: int, high: int, seed: int) -> Column:
-    start = uniform(0, 2**40, seed)
     return _each(
-        uniform(low, high, seed + 1),
-        lambda i: F.pmod(F.xxhash64(start, i), F.lit(10)).cast("string"),
+        uniform(low, high, seed + 1), uniform(0, 2**40, seed),
+        lambda start, i: F.pmod(F.xxhash64(start, i), F.lit(10)).cast("string"),
     )
 
 
@@ -59,7 +61,8 @@ MIX = [("stocklevel", 4.2), ("orderstatus", 4.2), ("delivery", 4.2), ("payment",
 
 
 def transaction_type(draw: Column) -> Column:
-    """The transaction type for a uniform draw in [0, 100)."""
+    """The transaction type for a uniform draw in [0, 100). The draw must be a column
+    of its own: written out as rand(), each comparison would draw again."""
     reached, out = 0.0, None
     for name, percent in MIX[:-1]:
         reached += percent

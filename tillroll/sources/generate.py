@@ -275,9 +275,10 @@ def _other_warehouse(own: Column, n_warehouses: int, seed: int) -> Column:
 
 def requests(spark: SparkSession, n: int, n_warehouses: int, seed: int) -> DataFrame:
     """n requests with type and home warehouse: txn, type, w."""
-    return spark.range(n).select(
+    drawn = spark.range(n).withColumn("_draw", F.rand(seed) * 100)
+    return drawn.select(
         F.col("id").alias("txn"),
-        draws.transaction_type(F.rand(seed) * 100).alias("type"),
+        draws.transaction_type(F.col("_draw")).alias("type"),
         (F.pmod(F.col("id"), F.lit(n_warehouses)) + 1).cast("int").alias("w"),
     )
 
