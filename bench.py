@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tillroll.plans.queries import QUERIES
+from tillroll.session import STATIC_SETTINGS
 
 HEADLINE = [
     "verify_orders", "accepted_fanout", "order_ids", "new_orders", "order_lines", "order_summary",
@@ -27,8 +28,11 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder
+    for key, value in STATIC_SETTINGS.items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
