@@ -139,6 +139,32 @@ def test_views_by_streaming_aggregates(spark, run, tmp_path):
     assert rows(spark.read.parquet(f"{latest}/0"), "w", "d", "c", "order_id") == rows(ledger.state, "w", "d", "c", "order_id")
 
 
+def test_initial_state(spark, tmp_path):
+    accepted = str(tmp_path / "accepted")
+    spark.sql(
+        "SELECT 'neworder' AS type, 1L AS txn, 5L AS ts, 3 AS w, 1 AS d, 7L AS c, "
+        "array(named_struct('line', 0, 'item', 0L, 'supply_w', 3, 'quantity', 3), "
+        "named_struct('line', 1, 'item', 1L, 'supply_w', 3, 'quantity', 5)) AS lines, "
+        "CAST(NULL AS int) AS carrier, CAST(NULL AS string) AS last, CAST(NULL AS int) AS c_w, CAST(NULL AS int) AS c_d, "
+        "CAST(NULL AS decimal(12,2)) AS amount, CAST(85.55 AS decimal(22,2)) AS total, 3 AS worker_w, 0 AS part"
+    ).write.parquet(accepted)
+    start = spark.createDataFrame([(3, 0, 50), (3, 1, 11)], "stock_w int, item long, level int")
+    out = P.stock_stream(P_stream(spark, accepted, P.ACCEPTED), start)
+    P.start_log(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "line", "role", "level") == [(0, "home", 47), (1, "home", 97)]
+
+
+def test_result_tail(spark, tmp_path):
+    from tillroll.functions.keys import pack_txn
+
+    at = str(tmp_path / "results")
+    log = spark.createDataFrame([(1, 4, 10), (2, 4, 20), (3, 5, 30)], "serial int, connection int, ts long")
+    log.select(pack_txn(F.col("serial"), F.col("connection")).alias("id"), "ts", "serial").write.parquet(at)
+    tail = P.result_tail(P_stream(spark, at, "id long, ts long, serial int"), 4, 15)
+    P.start_log(tail, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "serial") == [(2,)]
+
+
 def test_timeout_stream(spark, tmp_path):
     sent, results = str(tmp_path / "sent"), str(tmp_path / "results")
     base = 1_600_000_000_000

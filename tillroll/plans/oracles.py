@@ -148,6 +148,10 @@ ORACLES: dict[str, str] = {
     "route_counts": _with(["allreq"], f"SELECT type, {_b('w')}, count(*) AS n FROM allreq GROUP BY ALL"),
     "results_for_connection": _with(["times"], """SELECT txn * 4294967296 + txn % 8 AS id, txn % 8 AS connection, txn, approved
         FROM times WHERE txn % 2 = 0"""),
+    "result_log": _with(["allreq", "bad", "fan"], """SELECT type, txn, true AS is_approval, NULL::bigint AS w,
+          type <> 'neworder' OR txn NOT IN (SELECT txn FROM bad) AS approved FROM allreq
+        UNION ALL SELECT 'neworder', txn, false, w, NULL FROM fan
+        UNION ALL SELECT type, txn, false, w, NULL FROM allreq WHERE type <> 'neworder'"""),
     "log_peek": _with(["bad"], "SELECT txn, false AS approved FROM bad"),
     "json_decode": _with(["req", "ln", "payreq", "dlv"], f"""SELECT 'neworder' AS type, {_b('txn', 'w', 'd', 'c')}, NULL AS last,
           NULL::double AS amount, ts::bigint AS date, NULL::bigint AS carrier, coalesce(n, 0)::bigint AS n_lines,
@@ -333,6 +337,7 @@ ORACLES: dict[str, str] = {
         FROM part, (SELECT n_nationkey::bigint + 1 AS w FROM nation)""",
     "gen_orders": _with(["gord"], """SELECT w::bigint AS w, d::bigint AS d, order_id, i AS line,
         ((order_id * 10 + i + (SELECT count(*) FROM part) - 1) % (SELECT count(*) FROM part)) + 1 AS item, w::bigint AS supply_w,
+        ((order_id * 10 + i + (SELECT count(*) FROM part) - 1) % (SELECT count(*) FROM part) + 1) % 90 + 10 AS home_level,
         5::bigint AS quantity, CASE WHEN order_id * 10 <= n * 7 THEN 0 ELSE (order_id + i / 100.0) END::double AS amount,
         CASE WHEN order_id * 10 <= n * 7 THEN 1546300800000 + order_id * 1000 END AS delivery_ms,
         rpad(w || '.' || d || '.' || order_id || '.' || i, 24, '*') AS dist_info, c, 1546300800000 + order_id * 1000 AS entered,

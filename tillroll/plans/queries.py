@@ -84,8 +84,8 @@ def route_counts(x):
     return verify.known_types(all_requests(x)).groupBy("type", "w").agg(F.count("*").alias("n"))
 
 
-def result_log(x: Ledger) -> DataFrame:
-    """One approval per request, keyed by packed id: id, connection, txn, approved."""
+def approval_log(x: Ledger) -> DataFrame:
+    """One approval per new-order request, keyed by packed id: id, connection, txn, approved."""
     packed = K.pack_txn(F.col("txn"), F.col("txn") % 8)
     return x.approvals.select(
         packed.alias("id"), K.txn_connection(packed).alias("connection"), "txn", "approved"
@@ -95,16 +95,27 @@ def result_log(x: Ledger) -> DataFrame:
 @query
 def results_for_connection(x):
     """Each connection keeps its own results; every even connection is asked for."""
-    results_in = result_log(x)
+    results_in = approval_log(x)
     asked = x.shop.orders.select((F.col("txn") % 8).alias("connection")).where("connection % 2 = 0")
     return results.own_results(results_in, asked)
 
 
+@query
+def result_log(x):
+    """What clients are sent: an approval or rejection per request, and a result from
+    each warehouse that acted on it."""
+    checked = x.approvals.select("txn", F.lit("neworder").alias("type"), "approved")
+    sure = all_requests(x).where("type <> 'neworder'").select("txn", "type", F.lit(True).alias("approved"))
+    approvals = checked.unionByName(sure).withColumn("is_approval", F.lit(True))
+    worked = accepted_log(x).withColumn("is_approval", F.lit(False))
+    return approvals.unionByName(worked, allowMissingColumns=True)
+
+
 @query
 def log_peek(x):
     """Approvals of the transactions that name an item nobody sells."""
     chosen = verify.unknown_items(x.shop.plain_lines, x.shop.items).select("txn")
-    return logs.peek(result_log(x).select("txn", "approved"), chosen)
+    return logs.peek(approval_log(x).select("txn", "approved"), chosen)
 
 
 def encoded_requests(x: Ledger) -> DataFrame:
@@ -204,14 +215,18 @@ def txn_id_codec(x):
     )
 
 
-@query
-def accepted_fanout(x):
+def accepted_log(x: Ledger) -> DataFrame:
     new = verify.order_warehouses(x.accepted, x.shop.bare_lines).withColumn("type", F.lit("neworder"))
     paid = x.shop.payments.select("txn", F.col("c_w").alias("w"), F.lit("payment").alias("type"))
     done = x.shop.deliveries.select("txn", "w", F.lit("delivery").alias("type"))
     return new.unionByName(paid).unionByName(done)
 
 
+@query
+def accepted_fanout(x):
+    return accepted_log(x)
+
+
 @query
 def partition_assign(x):
     log = verify.order_warehouses(x.accepted, x.shop.bare_lines)

@@ -6,6 +6,8 @@ follow from the key, for tests) and random (seeded draws within the TPC-C bounds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,9 +184,12 @@ def orders(keys: DataFrame, n_items: int, delivered_tenths: int = DELIVERED_TENT
     )
 
 
-def order_lines(headers: DataFrame, n_items: int, seed: int | None = None) -> DataFrame:
+def order_lines(
+    headers: DataFrame, n_items: int, seed: int | None = None, stock_level: Callable[[Column], Column] = initial_stock
+) -> DataFrame:
     """Lines of generated orders. Delivered ones cost nothing; the amount of a pending
-    one is its order number plus a cent per line (predictable) or drawn (random)."""
+    one is its order number plus a cent per line (predictable) or drawn (random).
+    ``stock_level`` gives the home level of an item."""
     lines = headers.withColumn("line", F.explode(F.sequence(F.lit(0), F.col("n_lines") - 1)))
     if seed is None:
         item = F.pmod(F.col("order_id") * 10 + F.col("line") - 1, F.lit(n_items)) + 1
@@ -193,9 +198,9 @@ def order_lines(headers: DataFrame, n_items: int, seed: int | None = None) -> Da
     else:
         item, amount = draws.uniform(1, n_items, seed), draws.uniform_decimal(1, 999999, 2, seed + 1)
         info = draws.printable_text(24, 24, seed + 2)
-    return lines.select(
-        "w", "d", "order_id", "line",
-        item.alias("item"),
+    return lines.withColumn("item", item).select(
+        "w", "d", "order_id", "line", "item",
+        stock_level(F.col("item")).alias("home_level"),
         F.col("w").alias("supply_w"),
         F.lit(LINE_QUANTITY).alias("quantity"),
         F.when(F.col("delivered"), F.lit(0)).otherwise(amount).cast(MONEY).alias("amount"),

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from tillroll.functions.keys import txn_connection
 from tillroll.operators import stock, verify
-from tillroll.sources.shop import DISTRICTS, MONEY, PAYMENT, initial_stock
+from tillroll.sources.shop import DISTRICTS, PAYMENT, initial_stock
 from tillroll.streaming.state import Balances, DistrictQueue, StockLevels
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -121,12 +122,14 @@ def stock_movements(accepted: DataFrame) -> DataFrame:
     )
 
 
-def stock_stream(accepted: DataFrame) -> DataFrame:
+def stock_stream(accepted: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Levels after each movement; ``start`` (stock_w, item, level) is loaded first."""
     return stock_movements(accepted).groupBy("stock_w", "item").transformWithStateInPandas(
         StockLevels(),
         "stock_w int, item bigint, ts bigint, txn bigint, line int, role string, level int",
         outputMode="Append",
         timeMode="None",
+        initialState=start.groupBy("stock_w", "item") if start is not None else None,
     )
 
 
@@ -182,12 +185,14 @@ def balance_changes(accepted: DataFrame, district_log: DataFrame, middle: DataFr
     return paid.unionByName(owed)
 
 
-def balance_stream(changes: DataFrame, opening_cents: int) -> DataFrame:
+def balance_stream(changes: DataFrame, opening_cents: int, start: DataFrame | None = None) -> DataFrame:
+    """Balances after each change; ``start`` (w, d, c, cents) is loaded first."""
     return changes.groupBy("w", "d", "c").transformWithStateInPandas(
         Balances(opening_cents),
         "w int, d int, c bigint, ts bigint, kind int, txn bigint, change_cents bigint, balance_cents bigint",
         outputMode="Append",
         timeMode="None",
+        initialState=start.groupBy("w", "d", "c") if start is not None else None,
     )
 
 
@@ -210,6 +215,11 @@ def start_view(view: DataFrame, upsert: Callable[[DataFrame, int], None], checkp
     return _start(view.writeStream.outputMode("update").foreachBatch(upsert), checkpoint)
 
 
+def result_tail(results: DataFrame, connection: int, since_ms: int) -> DataFrame:
+    """Results sent to one connection from now on (``results``: id, ts, ...)."""
+    return results.where((txn_connection(F.col("id")) == connection) & (F.col("ts") >= since_ms))
+
+
 # ---- clients --------------------------------------------------------------------------
 
 
