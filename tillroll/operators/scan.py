@@ -44,6 +44,7 @@ def running(
     rows: int | None = None,
     sizes: Callable[[], DataFrame] | None = None,
     hot_rows: int | None = None,
+    ties: bool = False,
 ) -> DataFrame:
     """Add running totals to every row.
 
@@ -53,7 +54,8 @@ def running(
     ``rows``: an upper bound on all of ``df``'s rows, if known; no group can be hot
     when that is small. ``sizes``: gives key columns and ``n``, an upper bound on each
     group's rows that is cheaper to get than counting ``df``; its key columns may be
-    fewer than ``keys``.
+    fewer than ``keys``. ``ties``: rows may agree on the whole order; a hot group of
+    such copies can then still be split.
     """
     floors = floors or {}
     hot_rows = hot_rows or int(df.sparkSession.conf.get("tillroll.hotRows", str(HOT_ROWS)))
@@ -70,7 +72,7 @@ def running(
     warm = df.join(F.broadcast(hot_keys), names, "left_semi")
     slices = -(-hot_total // hot_rows) + 1
     return _in_one_window(cold, keys, order, sums, floors).unionByName(
-        _in_slices(warm, keys, order, sums, floors, slices)
+        _in_slices(warm, keys, order, sums, floors, slices, ties)
     )
 
 
@@ -84,17 +86,20 @@ def _in_one_window(df, keys, order, sums, floors):
     return out
 
 
-def _in_slices(df, keys, order, sums, floors, slices):
-    # rows that tie on the whole order (exact copies) get a number of their own,
-    # written down first so that the slices below can cut between them
-    rows = settle(df.withColumn("_tie", F.monotonically_increasing_id()))
+def _in_slices(df, keys, order, sums, floors, slices, ties):
+    plain = _in_one_window(df, keys, order, sums, floors).schema
+    if ties:
+        # exact copies get a number of their own, written down first so that the
+        # slices below can cut between them
+        df = settle(df.withColumn("_tie", F.monotonically_increasing_id()))
+        order = [*order, "_tie"]
     sliced = settle(
-        rows.repartitionByRange(slices, *keys, *order, "_tie")
+        df.repartitionByRange(slices, *keys, *order)
         .withColumn("_slice", F.spark_partition_id())
         .withColumns({f"_v_{n}": e for n, e in sums.items()})
     )
     at = [*keys, "_slice"]
-    inside = Window.partitionBy(*at).orderBy(*order, "_tie")
+    inside = Window.partitionBy(*at).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,7 +120,6 @@ def _in_slices(df, keys, order, sums, floors, slices):
         )
         out = out.withColumns({n: F.least(F.col(n), F.col(f"_l_{n}")) for n in floors})
     # plain windows keep the type Spark gives a sum; so does this
-    plain = _in_one_window(df, keys, order, sums, floors).schema
     return out.select(*[F.col(f.name).cast(f.dataType) for f in plain])
 
 

@@ -165,6 +165,10 @@ def json_decode(x):
         F.size("r.lines").alias("n_lines"),
         F.aggregate("r.lines", F.lit(0), lambda a, v: a + v["quantity"]).alias("quantity"),
     )
+    # a huge order is several records
+    new = new.groupBy("type", "txn", "w", "d", "c", "date").agg(
+        F.sum("n_lines").alias("n_lines"), F.sum("quantity").alias("quantity")
+    )
     paid = records.decode(log, "payment", records.REQUESTS).select(
         F.lit("payment").alias("type"), "txn", F.col("r.warehouseId").alias("w"), F.col("r.districtId").alias("d"),
         F.col("r.customerId").alias("c"), F.col("r.customerLastName").alias("last"), F.col("r.amount").alias("amount"),

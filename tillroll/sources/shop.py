@@ -179,7 +179,7 @@ class Shop:
         """Lines numbered from 0 within their order: txn, line, item, remote_w, quantity."""
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
         numbered = running(
-            self.bare_lines, ["txn"], order, {"_n": F.lit(1)}, rows=self.rows("lineitem"), sizes=self.order_sizes
+            self.bare_lines, ["txn"], order, {"_n": F.lit(1)}, rows=self.rows("lineitem"), sizes=self.order_sizes, ties=True
         )
         return numbered.select(
             "txn", (F.col("_n") - 1).cast("int").alias("line"), "item", "remote_w", "quantity"
