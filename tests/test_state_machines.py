@@ -86,3 +86,4 @@ def test_bad_credit_text_is_cut_like_a_fold(spark):
     customer = spark.createDataFrame([(11, 3, 2, "BC", start)], "c int, d int, w int, credit string, opening_data string")
     got = accounts.credit_data(df, customer)
     assert rows(got, "txn", "data") == sorted(want, key=repr)
+    assert accounts.current_credit_data(df, customer).first().data == text

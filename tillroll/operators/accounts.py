@@ -10,6 +10,7 @@ from tillroll.operators.scan import recent, running
 from tillroll.sources.shop import DELIVERY, OPENING_BALANCE, PAYMENT
 
 CUSTOMER = ["w", "d", "c"]
+PAYER = ["c_w", "c_d", "c"]
 # a prefix has at least 6 characters, so no more than this many fit into the text
 PREFIXES_KEPT = DATA_LIMIT // 6 + 1
 
@@ -49,33 +50,49 @@ def current_balances(changed: DataFrame, start: DataFrame | None = None) -> Data
     return total.select(*CUSTOMER, (opening + F.col("_sum")).cast("decimal(22,2)").alias("balance"))
 
 
+def _numbered_prefixes(payments: DataFrame, customers: DataFrame, **bounds) -> tuple[DataFrame, DataFrame]:
+    """Payments of bad-credit customers with number and prefix; those customers."""
+    bad = customers.where("credit = 'BC'").select(
+        F.col("w").alias("c_w"), F.col("d").alias("c_d"), "c", "opening_data"
+    )
+    prefix = bad_credit_prefix(*[F.col(x) for x in ("c", "c_d", "c_w", "d", "w", "amount")])
+    theirs = payments.join(bad.select(*PAYER), PAYER, "left_semi").withColumn("_prefix", prefix)
+    return running(theirs, PAYER, ["ts", "txn"], {"_n": F.lit(1)}, **bounds), bad
+
+
 def credit_data(payments: DataFrame, customers: DataFrame, **bounds) -> DataFrame:
     """The text kept for each bad-credit customer after each payment.
 
     Every payment puts its prefix in front and cuts the text to 500 characters, so
     the text is the newest prefixes, then what the customer started with.
     """
-    bad = customers.where("credit = 'BC'").select(
-        F.col("w").alias("c_w"), F.col("d").alias("c_d"), "c", "opening_data"
-    )
-    key = ["c_w", "c_d", "c"]
-    prefix = bad_credit_prefix(*[F.col(x) for x in ("c", "c_d", "c_w", "d", "w", "amount")])
-    numbered = running(
-        payments.join(bad.select(*key), key, "left_semi").withColumn("_prefix", prefix),
-        key,
-        ["ts", "txn"],
-        {"_n": F.lit(1)},
-        **bounds,
-    )
-    kept = recent(numbered, key, "_n", F.col("_prefix"), PREFIXES_KEPT, "_prefixes")
+    numbered, bad = _numbered_prefixes(payments, customers, **bounds)
+    kept = recent(numbered, PAYER, "_n", F.col("_prefix"), PREFIXES_KEPT, "_prefixes")
     text = F.concat(F.array_join(F.reverse("_prefixes"), ""), F.col("opening_data"))
     return (
-        kept.join(bad, key)
+        kept.join(bad, PAYER)
         .withColumn("data", F.substring(text, 1, DATA_LIMIT))
         .drop("_n", "_prefix", "_prefixes", "opening_data")
     )
 
 
+def current_credit_data(payments: DataFrame, customers: DataFrame, **bounds) -> DataFrame:
+    """Each paying bad-credit customer's text after the last payment: w, d, c, data.
+
+    Only the newest prefixes that can fit are brought together, a bounded number each.
+    """
+    numbered, bad = _numbered_prefixes(payments, customers, **bounds)
+    counts = payments.groupBy(*PAYER).agg(F.count("*").alias("_all"))
+    newest = numbered.join(counts, PAYER).where(F.col("_n") > F.col("_all") - PREFIXES_KEPT)
+    texts = newest.groupBy(*PAYER).agg(
+        F.sort_array(F.collect_list(F.struct("_n", "_prefix")), asc=False).alias("_newest")
+    )
+    text = F.concat(F.array_join("_newest._prefix", ""), F.col("opening_data"))
+    return texts.join(bad, PAYER).select(
+        F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c", F.substring(text, 1, DATA_LIMIT).alias("data")
+    )
+
+
 def payment_results(
     payments: DataFrame,
     balances: DataFrame,

@@ -85,9 +85,3 @@ def warehouse_table(warehouses: DataFrame, ytd: DataFrame) -> DataFrame:
         "w", "w_name", "w_tax",
         (F.lit(WAREHOUSE_YTD).cast("decimal(12,2)") + F.coalesce("ytd", F.lit(0))).cast("decimal(22,2)").alias("ytd"),
     )
-
-
-def newest_texts(texts: DataFrame) -> DataFrame:
-    """The last text of each bad-credit customer."""
-    last = texts.groupBy("c_w", "c_d", "c").agg(F.max_by("data", F.struct("ts", "txn")).alias("data"))
-    return last.select(F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c", "data")

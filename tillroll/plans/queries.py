@@ -548,7 +548,7 @@ def view_balance(x):
 
 @query
 def view_balance_compat(x):
-    """Payments applied under the paying district's key, as the reference view does."""
+    """Payments applied under the paying district's key instead of the customer's."""
     changed = accounts.changes(views.payment_key(x.payments, compat=True), x.delivered)
     return views.customer_state(x.log_orders, x.delivered, accounts.current_balances(changed)).select(
         "w", "d", "c", "balance"
@@ -680,7 +680,7 @@ def sql_stock(x):
 @query
 def updated_customers(x):
     resolved = customers.resolve(x.shop.payments, x.shop.customers, "sql", **x.name_bounds)
-    texts = relational.newest_texts(accounts.credit_data(resolved, x.shop.customers, **x.payment_bounds))
+    texts = accounts.current_credit_data(resolved, x.shop.customers, **x.payment_bounds)
     changed = accounts.changes(resolved, x.delivered)
     return relational.customer_table(
         x.shop.customers, accounts.current_balances(changed), accounts.year_to_date(resolved, x.delivered), texts
@@ -783,6 +783,6 @@ def gen_stock(x):
 @query
 def gen_orders(x):
     n_items = x.shop.rows("part")
-    headers = generate.orders(customer_keys(x.shop), n_items, **x.name_bounds)
+    headers = generate.orders(customer_keys(x.shop), **x.name_bounds)
     lines = generate.order_lines(headers, n_items)
     return lines.join(headers.select("w", "d", "order_id", "c", "entered", "carrier"), ["w", "d", "order_id"])

@@ -158,7 +158,7 @@ def stock_texts(w: Column, item: Column) -> Column:
     ])
 
 
-def orders(keys: DataFrame, n_items: int, delivered_tenths: int = DELIVERED_TENTHS, seed: int | None = None, **bounds) -> DataFrame:
+def orders(keys: DataFrame, delivered_tenths: int = DELIVERED_TENTHS, seed: int | None = None, **bounds) -> DataFrame:
     """One order per customer (w, d, c): number, time, line count, carrier if delivered.
 
     Customers get numbers in id order (predictable) or in shuffled order (random);
@@ -258,7 +258,7 @@ def populate(
         "customer",
     )
     # line counts are drawn once, in the written headers; lines are made from those
-    write(orders(everyone, n_items, tenths, at(6)), "order")
+    write(orders(everyone, tenths, at(6)), "order")
     headers = spark.read.parquet(f"{folder}/order")
     write(order_lines(headers, n_items, at(7)), "order_line")
     lines = spark.read.parquet(f"{folder}/order_line")
