@@ -71,17 +71,16 @@ class Ledger:
 
     # ---- lines --------------------------------------------------------------
 
-    def of_accepted(self, lines: DataFrame) -> DataFrame:
-        """Lines of accepted orders: the orders with an unknown item are taken out."""
-        return lines.join(verify.rejected(self.shop.plain_lines, self.shop.items), "txn", "left_anti")
-
     @cached_property
     def lines(self) -> DataFrame:
-        return self.of_accepted(self.shop.lines)
+        """Numbered lines of accepted orders, with their order's header. Rejected orders
+        are taken out on the orders' side, so the lines are joined once."""
+        return self.shop.with_header(self.shop.request_lines, self.accepted)
 
     @cached_property
     def unnumbered_lines(self) -> DataFrame:
-        return self.of_accepted(self.shop.unnumbered_lines)
+        lines = self.shop.bare_lines.select("txn", "item", "remote_w", "quantity")
+        return self.shop.with_header(lines, self.accepted)
 
     @cached_property
     def priced(self) -> DataFrame:

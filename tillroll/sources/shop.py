@@ -188,15 +188,13 @@ class Shop:
     @cached_property
     def lines(self) -> DataFrame:
         """Numbered lines with their order's header: + ts, c, d, w, supply_w."""
-        return self.with_header(self.request_lines)
+        return self.with_header(self.request_lines, self.orders)
 
-    @cached_property
-    def unnumbered_lines(self) -> DataFrame:
-        return self.with_header(self.bare_lines.select("txn", "item", "remote_w", "quantity"))
-
-    def with_header(self, lines: DataFrame) -> DataFrame:
+    @staticmethod
+    def with_header(lines: DataFrame, orders: DataFrame) -> DataFrame:
+        """Lines of the given orders, with the default supplier filled in."""
         return (
-            lines.join(self.orders, "txn")
+            lines.join(orders, "txn")
             .withColumn("supply_w", F.coalesce("remote_w", "w"))
             .drop("remote_w")
         )
