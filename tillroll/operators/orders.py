@@ -25,7 +25,10 @@ def number_orders(orders: DataFrame, start: DataFrame | None = None, **bounds) -
 
 
 def priced_lines(lines: DataFrame, items: DataFrame) -> DataFrame:
-    return lines.join(items, "item").withColumn("amount", (F.col("price") * F.col("quantity")).cast("decimal(22,2)"))
+    """Lines with their item's name and price, and the amount: 18 digits, which Spark
+    keeps in a long."""
+    amount = F.col("price") * F.col("quantity").cast("decimal(5,0)")
+    return lines.join(items, "item").withColumn("amount", amount)
 
 
 def with_dist_info(lines: DataFrame, stock: DataFrame) -> DataFrame:

@@ -68,12 +68,19 @@ def running(
     names = [c for c in counted.columns if c != "n"]
     hot_keys = df.sparkSession.createDataFrame(hot, counted.schema).select(*names)
     hot_total = sum(r["n"] for r in hot)
-    cold = df.join(F.broadcast(hot_keys), names, "left_anti")
-    warm = df.join(F.broadcast(hot_keys), names, "left_semi")
     slices = -(-hot_total // hot_rows) + 1
-    return _in_one_window(cold, keys, order, sums, floors).unionByName(
-        _in_slices(warm, keys, order, sums, floors, slices, ties)
+    # both parts read ``df``: written once, with a number of its own for each of the
+    # exact copies, so that the slices can cut between them
+    if ties:
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        order = [*order, "_tie"]
+    written = settle(df)
+    cold = written.join(F.broadcast(hot_keys), names, "left_anti")
+    warm = written.join(F.broadcast(hot_keys), names, "left_semi")
+    out = _in_one_window(cold, keys, order, sums, floors).unionByName(
+        _in_slices(warm, keys, order, sums, floors, slices)
     )
+    return out.drop("_tie")
 
 
 def _in_one_window(df, keys, order, sums, floors):
@@ -86,13 +93,8 @@ def _in_one_window(df, keys, order, sums, floors):
     return out
 
 
-def _in_slices(df, keys, order, sums, floors, slices, ties):
+def _in_slices(df, keys, order, sums, floors, slices):
     plain = _in_one_window(df, keys, order, sums, floors).schema
-    if ties:
-        # exact copies get a number of their own, written down first so that the
-        # slices below can cut between them
-        df = settle(df.withColumn("_tie", F.monotonically_increasing_id()))
-        order = [*order, "_tie"]
     sliced = settle(
         df.repartitionByRange(slices, *keys, *order)
         .withColumn("_slice", F.spark_partition_id())

@@ -24,12 +24,15 @@ def accept(orders: DataFrame, lines: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def line_facts(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Per order, in one shuffle of partial sums: is every item known, line count, amount."""
-    found = lines.join(items.select("item", "price"), "item", "left")
-    return found.groupBy("txn").agg(
-        F.bool_and(F.col("price").isNotNull()).alias("all_known"),
+    """Per order, in one shuffle of partial sums: is every item known, line count, cents.
+
+    Sums of whole cents stay in long arithmetic; wide decimals would not.
+    """
+    priced = items.select("item", (F.col("price") * 100).cast("long").alias("cents"))
+    return lines.join(priced, "item", "left").groupBy("txn").agg(
+        F.bool_and(F.col("cents").isNotNull()).alias("all_known"),
         F.count("*").alias("n_lines"),
-        F.sum(F.col("price") * F.col("quantity")).alias("amount"),
+        F.sum(F.col("cents") * F.col("quantity")).alias("cents"),
     )
 
 
@@ -39,7 +42,7 @@ def approve_with_totals(orders: DataFrame, lines: DataFrame, items: DataFrame) -
         *orders.columns,
         F.coalesce("all_known", F.lit(True)).alias("approved"),
         F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
-        F.coalesce("amount", F.lit(0)).cast("decimal(22,2)").alias("total"),
+        (F.coalesce("cents", F.lit(0)).cast("decimal(20,0)") / 100).cast("decimal(22,2)").alias("total"),
     )
 
 
