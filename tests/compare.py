@@ -11,7 +11,10 @@ from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
+    "labels conversations"
+).split()
 
 
 def duck(folder: str):
@@ -53,7 +56,7 @@ def difference(spark, con, folder: str, name: str) -> str | None:
 
 if __name__ == "__main__":
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    names = [n for n in sys.argv[2:] if "=" not in n] or list(entry.queries())
+    names = [n for n in sys.argv[2:] if "=" not in n] or list(entry.oracle_sql())
     settings = [n.split("=", 1) for n in sys.argv[2:] if "=" in n]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
