@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, jaccard_join
+from tillroll.llm import decontam, jaccard_join, token_count, toxicity
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,13 @@ def op2_decontamination(spark, folder):
 @query
 def op7_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), 4, 85, 100)
+
+
+@query
+def op10_toxicity(spark, folder):
+    return toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_token_counts(spark, folder):
+    return token_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
