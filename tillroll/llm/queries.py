@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, jaccard_join, token_count, toxicity
+from tillroll.llm import decontam, jaccard_join, mixing, sharding, token_count, toxicity
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,13 @@ def op10_toxicity(spark, folder):
 @query
 def op6_token_counts(spark, folder):
     return token_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_sharding(spark, folder):
+    return sharding.shard_rows(table(spark, folder, "documents"), 16)
+
+
+@query
+def op4_mixing(spark, folder):
+    return mixing.mixed_rows(table(spark, folder, "documents"))

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.text import octets
+from tillroll.llm.text import octets, packs
 
 MARK = "▁"
 #: Characters of a chunk; longer texts are cut and spread over tasks.
 CHUNK = 1 << 18
+#: Bytes of text whose words are held at once.
+PACK = 4 << 20
 #: Words whose maps a task keeps; more are compiled anew.
 WORDS_KEPT = 500_000
 
@@ -124,17 +126,20 @@ class Transducer:
             total += move[1]
         return total
 
+    def counts(self, normals: list[str]) -> list[int]:
+        """Tokens of each normalised text, reset by reset. Words not met before are read in
+        sorted order, which passes through the same states one after another."""
+        cut = [_RESETS.findall(x) for x in normals]
+        new = set().union(*cut).difference(self.words)
+        if len(self.words) + len(new) > WORDS_KEPT:
+            self.words.clear()
+            new = set().union(*cut)
+        for w in sorted(new):
+            self.words[w] = self.run(w)
+        return [sum(map(self.words.__getitem__, c)) for c in cut]
+
     def count(self, normal: str) -> int:
-        """Tokens of normalised text, reset by reset."""
-        words, total = self.words, 0
-        for w in _RESETS.findall(normal):
-            n = words.get(w)
-            if n is None:
-                if len(words) >= WORDS_KEPT:
-                    words.clear()
-                n = words[w] = self.run(w)
-            total += n
-        return total
+        return self.counts([normal])[0]
 
 
 _RESETS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
@@ -187,9 +192,10 @@ def transducer(path: str) -> Transducer:
 def _short(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        normalize, count = t.model.normalize, t.count
         for batch in batches:
-            tokens = [count(normalize(x)) if x else 0 for x in batch.column("text").to_pylist()]
+            tokens = []
+            for _, pack in packs(octets(batch.column("text")), PACK):
+                tokens += t.counts([t.model.normalize(x.decode()) if x else "" for x in pack])
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(tokens, pa.int64())}
             )
