@@ -27,4 +27,14 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """.replace("{doc_text}", _LOWER.format("text")).replace("{item_text}", _LOWER.format("text"))
 
-ORACLES = {"op2_decontamination": CONTAMINATION.replace("{documents}", "documents")}
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+m AS (SELECT h, max(page_id) AS largest FROM p WHERE payload_bytes >= 1000 GROUP BY h)
+SELECT page_id, payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN largest <> page_id THEN largest END AS refers_to
+FROM p LEFT JOIN m ON p.h = m.h
+"""
+
+ORACLES = {"op2_decontamination": CONTAMINATION.replace("{documents}", "documents"), "op8_warc": WARC}

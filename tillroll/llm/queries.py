@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, jaccard_join, mixing, sharding, token_count, toxicity
+from tillroll.llm import decontam, jaccard_join, mixing, sharding, token_count, toxicity, url_filter, warc
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,13 @@ def op9_sharding(spark, folder):
 @query
 def op4_mixing(spark, folder):
     return mixing.mixed_rows(table(spark, folder, "documents"))
+
+
+@query
+def op1_url_filter(spark, folder):
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query
+def op8_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"))
