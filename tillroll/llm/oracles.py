@@ -37,4 +37,19 @@ SELECT page_id, payload_bytes, sha1(p.h) AS payload_digest,
 FROM p LEFT JOIN m ON p.h = m.h
 """
 
-ORACLES = {"op2_decontamination": CONTAMINATION.replace("{documents}", "documents"), "op8_warc": WARC}
+VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
+u AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+good AS (SELECT * FROM u WHERE n > 0 AND isfinite(n)),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN n USING (vec_id)
+"""
+
+ORACLES = {"op3_embedding_dedup": VECTORS, "op2_decontamination": CONTAMINATION.replace("{documents}", "documents"), "op8_warc": WARC}

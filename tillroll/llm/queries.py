@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, jaccard_join, mixing, sharding, token_count, toxicity, url_filter, warc
+from tillroll.llm import decontam, embed_dedup, jaccard_join, mixing, sharding, token_count, toxicity, url_filter, warc
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op1_url_filter(spark, folder):
 @query
 def op8_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op3_embedding_dedup(spark, folder):
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
