@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, embed_dedup, jaccard_join, mixing, sharding, token_count, toxicity, url_filter, warc
+from tillroll.llm import decontam, embed_dedup, jaccard_join, mixing, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +70,13 @@ def op8_warc(spark, folder):
 @query
 def op3_embedding_dedup(spark, folder):
     return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op5_suffix_dedup(spark, folder):
+    return suffix_dedup.removals(table(spark, folder, "documents"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
