@@ -7,6 +7,7 @@ distance from the start. So only suffixes at anchors are sorted, and of those on
 KMER bytes stand in more than one document.
 
 Steps:
+0. Of equal texts only those with the smallest id take part; the others go whole.
 1. Texts are gathered in packs; each pack lists its anchors' hashes; hashes that only one document has
    are done with.
 2. For the others a pack sends what precedes the anchor and what follows it, as far as its windows reach. Those
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.text import mix
+from tillroll.session import settle
 
 WINDOW = 50
 KMER = 16
@@ -215,14 +217,19 @@ def classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pack:
-    """A pack's rows in an order that does not depend on how they arrived."""
-
-    def __init__(self, table: pa.Table):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("bytes").to_pylist()
-        rows = sorted(zip((NO_ID if i is None else i for i in ids), texts, ids), key=lambda r: r[:2])
+    """A pack's rows in an order that does not depend on how they arrived. Copies are texts that another
+    row with a smaller id has whole; they are read as empty, and are removed if a window fits."""
+
+    def __init__(self, table: pa.Table, copies: pa.Table):
+        known = copies.filter(pc.is_valid(copies.column("copy")))
+        known = set(zip(known.column("copy").to_pylist(), known.column("copy_rank").to_pylist()))
+        columns = (table.column(c).to_pylist() for c in ("doc_id", "digest", "bytes"))
+        rows = sorted(((NO_ID if i is None else i, d, t, i) for i, d, t in zip(*columns)), key=lambda r: r[:2])
         self.rank = np.array([r[0] for r in rows], dtype=np.int64)
-        self.texts = [r[1] for r in rows]
-        self.ids = [r[2] for r in rows]
+        self.copied = [(d, rank) in known for rank, d, _, _ in rows]
+        self.whole = [r[2] for r in rows]
+        self.texts = [b"" if c else t for c, t in zip(self.copied, self.whole)]
+        self.ids = [r[3] for r in rows]
 
 
 def _several(rank: np.ndarray, owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,13 +253,14 @@ def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _hashes(buckets: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        pack = Pack(table)
+    def run(key: tuple, docs: pa.Table, copies: pa.Table) -> pa.Table:
+        pack = Pack(docs, copies)
+        pack_number = (docs.column("pack") if len(docs) else copies.column("at"))[0].as_py()
         owner, _, _, _, h = anchors(pack.texts)
         distinct, n = _several(pack.rank, owner, h)
         order, which, sizes = _by_bucket((distinct % np.uint64(buckets)).astype(np.int64), buckets)
         return pa.table({
-            "bucket": pa.array(which, pa.int64()), "pack": pa.array(np.full(len(which), key[0].as_py()), pa.int64()),
+            "bucket": pa.array(which, pa.int64()), "pack": pa.array(np.full(len(which), pack_number), pa.int64()),
             "hashes": _list(sizes, pa.array(distinct[order].view(np.int64))), "n": _list(sizes, pa.array(n[order])),
         })
 
@@ -264,7 +272,7 @@ def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     lists = column.combine_chunks()
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.chunk(0)
-    return lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
 
 
 def _shared(hot: int):
@@ -303,7 +311,7 @@ class Met:
 
 def _contexts(buckets: int):
     def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        pack = Pack(docs)
+        pack = Pack(docs, shared)
         met = Met(pack, *(_flat(shared.column(c))[0].to_numpy(zero_copy_only=False) for c in ("hashes", "hot")))
         i = np.flatnonzero(~met.hot)
         order, which, sizes = _by_bucket((met.h[i] % np.uint64(buckets)).astype(np.int64), buckets)
@@ -319,7 +327,7 @@ def _contexts(buckets: int):
             "bucket": pa.array(which, pa.int64()), "pack": pa.array(np.full(n, key[0].as_py()), pa.int64()),
             "before": _list(sizes, pa.array(left, pa.binary())), "behind": _list(sizes, pa.array(right, pa.binary())),
             "low": _list(sizes, pa.array(met.low[i], pa.int8())), "rank": _list(sizes, pa.array(pack.rank[met.owner[i]])),
-            "owner": _list(sizes, pa.array(met.owner[i], pa.int32())), "place": _list(sizes, pa.array(met.at[i], pa.int64())),
+            "owner": _list(sizes, pa.array(met.owner[i], pa.int32())), "place": _list(sizes, pa.array(met.at[i], pa.int32())),
             "windows": pa.nulls(n, pa.list_(pa.binary())), "smallest": pa.nulls(n, pa.list_(pa.int64())),
         }
         best: dict[bytes, int] = {}
@@ -342,7 +350,7 @@ def _contexts(buckets: int):
 
 CONTEXT = (
     "bucket bigint, pack bigint, before array<binary>, behind array<binary>, low array<tinyint>, rank array<bigint>, "
-    "owner array<int>, place array<bigint>, windows array<binary>, smallest array<bigint>"
+    "owner array<int>, place array<int>, windows array<binary>, smallest array<bigint>"
 )
 
 
@@ -370,7 +378,7 @@ def _earlier(table: pa.Table) -> pa.Table:
     again = [(p, w, best[w]) for p, w in zip(pack_of, windows)]
     told = pa.table({
         "at": pa.array([x[0] for x in again], pa.int64()), "owner": pa.nulls(len(again), pa.int32()),
-        "place": pa.nulls(len(again), pa.int64()), "mask": pa.nulls(len(again), pa.int64()),
+        "place": pa.nulls(len(again), pa.int32()), "mask": pa.nulls(len(again), pa.int64()),
         "window": pa.array([x[1] for x in again], pa.binary()), "smallest": pa.array([x[2] for x in again], pa.int64()),
     })
     return pa.concat_tables([_sorted_out(table), told])
@@ -402,17 +410,17 @@ def _sorted_out(table: pa.Table) -> pa.Table:
     packs = table.column("pack").to_numpy()
     hit = mask != 0
     return pa.table({
-        "at": pa.array(packs[row[hit]]), "owner": pa.array(owner[hit], pa.int32()), "place": pa.array(place[hit]), "mask": pa.array(mask[hit]),
+        "at": pa.array(packs[row[hit]]), "owner": pa.array(owner[hit], pa.int32()), "place": pa.array(place[hit], pa.int32()), "mask": pa.array(mask[hit]),
         "window": pa.nulls(int(hit.sum()), pa.binary()), "smallest": pa.nulls(int(hit.sum()), pa.int64()),
     })
 
 
-FOUND = "at bigint, owner int, place bigint, mask bigint, window binary, smallest bigint"
+FOUND = "at bigint, owner int, place int, mask bigint, window binary, smallest bigint"
 
 
 def _cut(docs: pa.Table, found: pa.Table) -> Iterator[tuple]:
     """(id, bytes, starts and ends of the runs removed) of each row of a pack."""
-    pack = Pack(docs)
+    pack = Pack(docs, found)
     removed: dict[int, list[np.ndarray]] = {}
     hot = found.filter(pc.is_valid(found.column("window")))
     cold = found.filter(pc.is_valid(found.column("mask")))
@@ -431,9 +439,10 @@ def _cut(docs: pa.Table, found: pa.Table) -> Iterator[tuple]:
         for (o, start), w, rank in _hot_windows(pack, Met(pack, hashes, np.ones(len(hashes), dtype=bool))):
             if rank > best.get(w, NO_ID):
                 removed.setdefault(o, []).append(np.array([start]))
-    for i, t in enumerate(pack.texts):
+    for i, t in enumerate(pack.whole):
         if i not in removed:
-            yield pack.ids[i], t, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            n = int(pack.copied[i] and len(t) >= WINDOW)
+            yield pack.ids[i], t, np.zeros(n, dtype=np.int64), np.full(n, len(t))
             continue
         starts = np.unique(np.concatenate(removed[i]))
         gap = np.flatnonzero(np.diff(starts) > WINDOW)
@@ -465,19 +474,27 @@ def _texts(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
 
 
 def _deduplicate(docs: DataFrame, last, schema: str, pack_bytes: int, hot: int) -> DataFrame:
-    spark = docs.sparkSession
     content = F.coalesce("text", F.lit("")).cast("binary")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = max(1, -(-total // pack_bytes))
+    source = docs.select("doc_id", content.alias("bytes")).withColumn("digest", F.unhex(F.sha2("bytes", 256)))
+    rows = settle(source.select("doc_id", "digest", F.octet_length("bytes").alias("size")))
+    packs = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // pack_bytes))
     buckets = max(1, packs // 2)
-    source = docs.select("doc_id", content.alias("bytes"))
-    source = source.select(F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(packs)).alias("pack"), "doc_id", "bytes")
-
+    pack = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(packs))
+    source = source.select(pack.alias("pack"), "doc_id", "digest", "bytes")
+    rank = F.coalesce("doc_id", F.lit(NO_ID))
+    firsts = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = settle(
+        rows.select(pack.alias("at"), F.col("digest").alias("copy"), rank.alias("copy_rank"))
+        .join(firsts, F.col("copy") == F.col("digest")).where("copy_rank > first").select("at", "copy", "copy_rank").distinct()
+    )
     # one plan: the three steps that read the packs share one exchange of the texts
-    listed = source.groupBy("pack").applyInArrow(_hashes(buckets), "bucket bigint, pack bigint, hashes array<bigint>, n array<bigint>")
+    listed = source.groupBy("pack").cogroup(copies.groupBy("at")).applyInArrow(
+        _hashes(buckets), "bucket bigint, pack bigint, hashes array<bigint>, n array<bigint>"
+    )
     shared = listed.groupBy("bucket").applyInArrow(_shared(hot), "at bigint, hashes array<bigint>, hot array<boolean>")
+    shared = shared.unionByName(copies, allowMissingColumns=True)
     contexts = source.groupBy("pack").cogroup(shared.groupBy("at")).applyInArrow(_contexts(buckets), CONTEXT)
-    found = contexts.groupBy("bucket").applyInArrow(_earlier, FOUND)
+    found = contexts.groupBy("bucket").applyInArrow(_earlier, FOUND).unionByName(copies, allowMissingColumns=True)
     return source.groupBy("pack").cogroup(found.groupBy("at")).applyInArrow(last, schema)
 
 
