@@ -78,6 +78,13 @@ def test_transaction_ids(spark):
     assert rows(df.select(K.partition_of(F.col("c"), 4).alias("p")), "p") == [(0,), (1,), (1,), (3,)]
 
 
+@pytest.mark.parametrize("serial, connection", [(2**31, 0), (2**32 + 5, 0), (5, 2**31), (-(2**31) - 1, 1)])
+def test_transaction_ids_out_of_range_raise(spark, serial, connection):
+    df = spark.createDataFrame([(serial, connection)], "s long, c long").select(K.pack_txn(F.col("s"), F.col("c")).alias("t"))
+    with pytest.raises(Exception, match="transaction id out of range"):
+        df.collect()
+
+
 def test_text_rules(spark):
     df = spark.range(1).select(
         last_name(F.lit(371)).alias("n"), with_original(F.lit("0123456789abcdef"), F.lit(3)).alias("o"),
@@ -114,7 +121,8 @@ def test_logs_tables_and_metrics_on_disk(spark, tmp_path):
 
 
 def test_progress_becomes_metrics(spark, tmp_path):
-    listener = ProgressMetrics(limit=5)
+    written = []
+    listener = ProgressMetrics(limit=5, write=written.extend)
     spark.streams.addListener(listener)
     try:
         src = str(tmp_path / "in")
@@ -128,4 +136,6 @@ def test_progress_becomes_metrics(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     out = listener.drain(spark)
-    assert 0 < out.count() <= 5 and out.columns == ["t", "event", "duration"]
+    # handed over in full batches, none dropped
+    assert len(written) >= 5 and "triggerExecution" in {name for _, name, _ in written + [tuple(r) for r in out.collect()]}
+    assert out.columns == ["t", "event", "duration"]

@@ -48,7 +48,7 @@ def run(spark, tmp_path_factory):
 
     def accepted():
         log = P_stream(spark, path("accepted"), P.ACCEPTED)
-        return P.without_duplicates(log, ["type", "txn", "worker_w"], "3000 days")
+        return P.without_duplicates(log, ["type", "txn", "worker_w"])
 
     seen = {"accepted": 0, "rejected": 0, "written": 0}
     for i, _ in enumerate(write_requests(ledger, path("requests"))):
@@ -57,7 +57,7 @@ def run(spark, tmp_path_factory):
         if i == 1:
             # the whole accepted log of one partition arrives again
             again = spark.read.schema(P.ACCEPTED).parquet(path("accepted")).where("part = 1")
-            again.write.mode("append").partitionBy("part").parquet(path("accepted"))
+            again.withColumn("batch", F.col("batch") + 1000).write.mode("append").partitionBy("batch", "part").parquet(path("accepted"))
         P.start_log(P.stock_stream(accepted()), path("stock"), path("cp/stock")).awaitTermination()
         P.start_log(P.district_stream(accepted()), path("district"), path("cp/district")).awaitTermination()
         district = P_stream(spark, path("district"), P.DISTRICT_LOG)
@@ -106,9 +106,13 @@ def test_district_stream_equals_batch(spark, run):
 def test_balance_stream_ends_where_batch_ends(spark, run):
     ledger, path, _ = run
     got = spark.read.parquet(path("balances"))
-    last = got.groupBy("w", "d", "c").agg(F.sum("change_cents").alias("cents"))
-    want = ledger.current_balances.select("w", "d", "c", ((F.col("balance") + 10) * 100).cast("long").alias("cents"))
-    assert rows(last, "w", "d", "c", "cents") == rows(want, "w", "d", "c", "cents")
+    keys = ["w", "d", "c"]
+    ends = got.groupBy(*keys).agg(F.sum("change_cents").alias("change"), F.count("*").alias("n"))
+    want = ledger.current_balances.select(*keys, F.round(F.col("balance") * 100).cast("long").alias("cents"))
+    assert rows(ends.select(*keys, (F.col("change") - 1000).alias("cents")), *keys, "cents") == rows(want, *keys, "cents")
+    # every balance is one that the customer's changes in some order lead to, and the final one is among them
+    reached = got.join(want, keys).where("balance_cents = cents").select(*keys).distinct()
+    assert reached.count() == want.count()
 
 
 def test_state_can_be_read_from_outside(spark, run):
@@ -154,6 +158,50 @@ def test_initial_state(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "line", "role", "level") == [(0, "home", 47), (1, "home", 97)]
 
 
+def test_late_first_copies_pass(spark, tmp_path):
+    hour = 3_600_000
+    for i, part in enumerate([[(1, 9 * hour), (2, 10 * hour)], [(3, 11 * hour), (1, 9 * hour)], [(4, 5 * hour), (2, 10 * hour), (5, 12 * hour)]]):
+        spark.createDataFrame(part, "txn long, ts long").write.mode("append").parquet(str(tmp_path / "log"))
+        log = P_stream(spark, str(tmp_path / "log"), "txn long, ts long")
+        P.start_log(P.without_duplicates(log, ["txn"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "txn") == [(1,), (2,), (3,), (4,), (5,)]
+
+
+def test_a_request_sent_twice_is_decided_once(spark, tmp_path):
+    order = (
+        "SELECT 'neworder' AS type, 1L AS txn, 5L AS ts, 3 AS w, 1 AS d, 7L AS c, "
+        "array(named_struct('line', 0, 'item', 0L, 'supply_w', 3, 'quantity', 2)) AS lines, CAST(NULL AS int) AS carrier, "
+        "CAST(NULL AS string) AS last, CAST(NULL AS int) AS c_w, CAST(NULL AS int) AS c_d, CAST(NULL AS decimal(12,2)) AS amount"
+    )
+    items = spark.sql("SELECT 0L AS item, CAST(10.00 AS decimal(12,2)) AS price")
+    at = {n: str(tmp_path / n) for n in ("requests", "accepted", "approvals", "cp")}
+    for copies in (2, 1):  # twice in one batch, and again in a later one
+        for _ in range(copies):
+            spark.sql(order).write.mode("append").parquet(at["requests"])
+        requests = P_stream(spark, at["requests"], P.REQUEST)
+        P.start_verifier(requests, items, at["accepted"], at["approvals"], at["cp"]).awaitTermination()
+    assert spark.read.parquet(at["approvals"]).count() == 1
+    assert [float(r["total"]) for r in spark.read.schema(P.ACCEPTED).parquet(at["accepted"]).collect()] == [20.0]
+
+
+def test_queue_stream_from_an_earlier_run(spark, tmp_path):
+    accepted = str(tmp_path / "accepted")
+    empty = "CAST(array() AS array<struct<line:int,item:bigint,supply_w:int,quantity:int>>) AS lines"
+    rest = "CAST(NULL AS string) AS last, CAST(NULL AS int) AS c_w, CAST(NULL AS int) AS c_d, CAST(NULL AS decimal(12,2)) AS amount"
+    spark.sql(
+        f"SELECT 'delivery' AS type, t AS txn, t AS ts, 3 AS w, CAST(NULL AS int) AS d, CAST(NULL AS bigint) AS c, {empty}, 4 AS carrier, {rest}, "
+        "CAST(NULL AS decimal(22,2)) AS total, 3 AS worker_w, 0 AS part FROM VALUES (1L), (2L), (3L) AS x(t)"
+    ).write.parquet(accepted)
+    start = spark.createDataFrame(
+        [(3, 1, 6, 4, 70, 500), (3, 1, 6, 5, 71, 600), (3, 2, 9, None, None, None)],
+        "w int, d int, next_id long, order_id long, c long, total_cents long",
+    )
+    out = P.district_stream(P_stream(spark, accepted, P.ACCEPTED), start)
+    P.start_log(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "txn", "d", "order_id", "c", "total_cents")
+    assert got == [(1, 1, 4, 70, 500), (2, 1, 5, 71, 600)]
+
+
 def test_result_tail(spark, tmp_path):
     from tillroll.functions.keys import pack_txn
 

@@ -20,8 +20,14 @@ PADDED = {"modification": 12}
 
 
 def pack_txn(serial: Column, connection: Column) -> Column:
+    """Serial and connection, 32 bits each, in one long. A value that does not fit raises: cut off,
+    two transactions would share an id."""
+    low, top = -(1 << 31), (1 << 31) - 1
+    fits = serial.between(low, top) & connection.between(low, top)
+    wrong = F.raise_error(F.concat_ws(" ", F.lit("transaction id out of range:"), serial.cast("string"), connection.cast("string")))
     high = F.shiftleft(serial.cast("long"), 32)
-    return high.bitwiseOR(connection.cast("long").bitwiseAND(F.lit(LOW_WORD)))
+    packed = high.bitwiseOR(connection.cast("long").bitwiseAND(F.lit(LOW_WORD)))
+    return F.when(serial.isNull() | connection.isNull(), F.lit(None).cast("long")).when(fits, packed).otherwise(wrong)
 
 
 def _signed(value: Column, bits: int) -> Column:

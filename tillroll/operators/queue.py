@@ -31,7 +31,8 @@ def district_log(
 
     An order's id is its number in the district; a poll's is the order it pops,
     null if the queue is empty. ``orders``: txn, ts, w, d, c, total. ``start``
-    (w, d, next_id, pending) holds the queues left by an earlier run; ``bounds`` as for ``running``.
+    (w, d, next_id, pending) holds the queues left by an earlier run (see ``queues``; their orders go
+    to ``delivered``); ``bounds`` as for ``running``.
     """
     log = (
         orders.select("w", "d", "ts", F.lit(NEW_ORDER).alias("kind"), "txn", "c", "total", F.lit(None).cast("int").alias("carrier"))
@@ -68,15 +69,33 @@ def numbered_orders(log: DataFrame) -> DataFrame:
     return log.where(F.col("kind") == NEW_ORDER).drop("kind", "carrier")
 
 
-def delivered(log: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+def delivered(log: DataFrame, orders: DataFrame | None = None, waiting: DataFrame | None = None) -> DataFrame:
     """One row per delivered order: w, d, order_id, txn, ts, carrier, c, total.
 
-    (w, d, order_id) is unique on both sides, so the join spreads evenly.
+    ``waiting`` (w, d, order_id, c, total): the orders that were pending at the log's ``start``; polls take
+    those first, so without them their deliveries cannot be completed. (w, d, order_id) is unique on both sides, so the join spreads evenly.
     """
     hits = log.where((F.col("kind") == DELIVERY) & F.col("order_id").isNotNull())
     orders = numbered_orders(log) if orders is None else orders
-    return hits.select("w", "d", "order_id", "txn", "ts", "carrier").join(
-        orders.select("w", "d", "order_id", "c", "total"), ["w", "d", "order_id"]
+    placed = orders.select("w", "d", "order_id", "c", "total")
+    if waiting is not None:
+        placed = placed.unionByName(waiting.select("w", "d", "order_id", "c", "total"))
+    return hits.select("w", "d", "order_id", "txn", "ts", "carrier").join(placed, ["w", "d", "order_id"])
+
+
+def queues(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """The state a log leaves in each district, as ``district_log`` takes it: w, d, next_id, pending."""
+    placed = F.count(F.when(F.col("kind") == NEW_ORDER, True))
+    popped = F.count(F.when((F.col("kind") == DELIVERY) & F.col("order_id").isNotNull(), True))
+    moved = log.groupBy("w", "d").agg(placed.alias("placed"), popped.alias("popped"))
+    if start is None:
+        return moved.select("w", "d", (F.col("placed") + 1).alias("next_id"), (F.col("placed") - F.col("popped")).alias("pending"))
+    both = moved.join(start.select("w", "d", "next_id", "pending"), ["w", "d"], "full").fillna(
+        {"placed": 0, "popped": 0, "next_id": 1, "pending": 0}
+    )
+    return both.select(
+        "w", "d", (F.col("next_id") + F.col("placed")).alias("next_id"),
+        (F.col("pending") + F.col("placed") - F.col("popped")).alias("pending"),
     )
 
 

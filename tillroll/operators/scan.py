@@ -18,21 +18,6 @@ from pyspark.sql import functions as F
 from tillroll.session import settle
 
 HOT_ROWS = 4_000_000
-MAX_HOT_KEYS = 50_000
-
-
-def hot_groups(sizes: DataFrame, hot_rows: int) -> list:
-    """The keys in ``sizes`` (key columns and ``n``) with more than ``hot_rows`` rows.
-
-    There are at most total/hot_rows of them. Should that still be more than the
-    driver should hold, only the largest are split; the others stay correct in
-    the plain window, which sorts and spills.
-    """
-    hot = sizes.where(F.col("n") > hot_rows)
-    found = hot.limit(MAX_HOT_KEYS + 1).collect()
-    if len(found) > MAX_HOT_KEYS:
-        found = hot.orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
-    return found
 
 
 def running(
@@ -62,12 +47,13 @@ def running(
     if rows is not None and rows <= hot_rows:
         return _in_one_window(df, keys, order, sums, floors)
     counted = sizes() if sizes else df.groupBy(*keys).agg(F.count("*").alias("n"))
-    hot = hot_groups(counted, hot_rows)
-    if not hot:
+    # the hot keys stay a table; only their number and rows come to the driver
+    hot = settle(counted.where(F.col("n") > hot_rows))
+    hot_total = hot.agg(F.sum("n")).first()[0]
+    if not hot_total:
         return _in_one_window(df, keys, order, sums, floors)
     names = [c for c in counted.columns if c != "n"]
-    hot_keys = df.sparkSession.createDataFrame(hot, counted.schema).select(*names)
-    hot_total = sum(r["n"] for r in hot)
+    hot_keys = hot.select(*names)
     slices = -(-hot_total // hot_rows) + 1
     # both parts read ``df``: written once, with a number of its own for each of the
     # exact copies, so that the slices can cut between them
@@ -75,8 +61,8 @@ def running(
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         order = [*order, "_tie"]
     written = settle(df)
-    cold = written.join(F.broadcast(hot_keys), names, "left_anti")
-    warm = written.join(F.broadcast(hot_keys), names, "left_semi")
+    cold = written.join(hot_keys, names, "left_anti")
+    warm = written.join(hot_keys, names, "left_semi")
     out = _in_one_window(cold, keys, order, sums, floors).unionByName(
         _in_slices(warm, keys, order, sums, floors, slices)
     )
@@ -106,19 +92,20 @@ def _in_slices(df, keys, order, sums, floors, slices):
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
 
-    # one row per (hot key, slice): at most slices + number of hot keys
+    # one row per (key, slice). With sizes coarser than the keys these can be many, so
+    # whether to broadcast them is left to Spark
     totals = sliced.groupBy(*at).agg(*[F.sum(f"_v_{n}").alias(n) for n in sums])
     carried = totals.select(*at, *[F.sum(n).over(earlier).alias(f"_c_{n}") for n in sums])
     out = (
         sliced.withColumns({n: F.sum(f"_v_{n}").over(upto) for n in sums})
-        .join(F.broadcast(carried), at)
+        .join(carried, at)
         .withColumns({n: F.col(n) + F.coalesce(F.col(f"_c_{n}"), F.lit(0)) for n in sums})
     )
     if floors:
         lows = out.groupBy(*at).agg(*[F.min(e).alias(n) for n, e in floors.items()])
         low = lows.select(*at, *[F.min(n).over(earlier).alias(f"_l_{n}") for n in floors])
         out = out.withColumns({n: F.min(e).over(before) for n, e in floors.items()}).join(
-            F.broadcast(low), at
+            low, at
         )
         out = out.withColumns({n: F.least(F.col(n), F.col(f"_l_{n}")) for n in floors})
     # plain windows keep the type Spark gives a sum; so does this

@@ -13,6 +13,10 @@ from tillroll.sources import generate
 from tillroll.sources.shop import DISTRICTS, Shop, initial_stock
 
 
+# where the log is cut in two runs: 1998-01-01
+RESTART_MS = 883612800000
+
+
 class Ledger:
     def __init__(self, spark: SparkSession, folder: str):
         self.shop = Shop(configure(spark), folder)
@@ -118,6 +122,21 @@ class Ledger:
     def delivered(self) -> DataFrame:
         return queue.delivered(self.district_log)
 
+    @cached_property
+    def delivered_in_two_runs(self) -> DataFrame:
+        """As ``delivered``, the log cut in two: the second run starts from the queues and
+        pending orders that the first one left."""
+        cut = F.col("ts") <= RESTART_MS
+        placed = self.accepted_with_totals.select("w", "d", "ts", "txn", "c", "total")
+        first = settle(queue.district_log(placed.where(cut), self.shop.deliveries.where(cut), **self.order_bounds))
+        start = settle(queue.queues(first))
+        done = settle(queue.delivered(first))
+        waiting = queue.pending(queue.numbered_orders(first), done)
+        second = queue.district_log(
+            placed.where(~cut), self.shop.deliveries.where(~cut), start, **self.order_bounds
+        )
+        return done.unionByName(queue.delivered(settle(second), waiting=waiting))
+
     @cached_property
     def pending(self) -> DataFrame:
         return queue.pending(self.log_orders, self.delivered)

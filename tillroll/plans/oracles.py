@@ -234,6 +234,7 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (sw <> w) AS remote_count FROM aln GROUP BY ALL"""),
     "fifo_deliveries": _with(["fifo"], f"SELECT {_b('w', 'd', 'ts', 'txn')}, popped::bigint AS order_id FROM fifo WHERE kind = 1"),
     "deliveries": _with(["dd"], f"SELECT {_b('w', 'd', 'order_id', 'txn', 'ts', 'carrier')}, c, {_m('total')} FROM dd"),
+    "deliveries_in_two_runs": _with(["dd"], f"SELECT {_b('w', 'd', 'order_id', 'txn', 'ts', 'carrier')}, c, {_m('total')} FROM dd"),
     "delivery_result": _with(["dlv", "dd"], """SELECT dlv.txn::bigint AS txn, dlv.w::bigint AS w, dlv.carrier::bigint AS carrier,
         dd.d::bigint AS d, dd.order_id::bigint AS order_id FROM dlv LEFT JOIN dd ON dd.txn = dlv.txn"""),
     "pending_orders": _with(["pend"], f"SELECT {_b('w', 'd', 'order_id')}, txn, c, {_m('total')} FROM pend"),

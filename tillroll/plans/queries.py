@@ -465,6 +465,12 @@ def deliveries(x):
     return x.delivered
 
 
+@query
+def deliveries_in_two_runs(x):
+    """The log cut in two, the second run starting from the state of the first."""
+    return x.delivered_in_two_runs
+
+
 @query
 def delivery_result(x):
     """The district -> order map of each delivery, as rows; a delivery of nothing has one empty row."""

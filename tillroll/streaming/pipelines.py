@@ -26,6 +26,7 @@ REQUEST = (
     "lines array<struct<line: int, item: bigint, supply_w: int, quantity: int>>, "
     "carrier int, last string, c_w int, c_d int, amount decimal(12,2)"
 )
+REQUEST_KEY = ["type", "txn"]
 ACCEPTED = REQUEST + ", total decimal(22,2), worker_w int, part int"
 
 
@@ -40,7 +41,8 @@ def configure_state(spark: SparkSession) -> SparkSession:
 
 
 def decide(requests: DataFrame, items: DataFrame) -> DataFrame:
-    """Requests with ``approved`` and, for new orders, ``total``."""
+    """Requests with ``approved`` and, for new orders, ``total``. A request sent twice counts once."""
+    requests = requests.dropDuplicates(REQUEST_KEY)
     orders = requests.where("type = 'neworder'").select("txn")
     lines = requests.where("type = 'neworder'").select("txn", F.explode("lines").alias("l")).select("txn", "l.*")
     checked = verify.approve_with_totals(orders, lines, items).select(
@@ -73,18 +75,24 @@ def fan_out(approved: DataFrame, partitions: int) -> DataFrame:
 def start_verifier(
     requests: DataFrame, items: DataFrame, accepted_path: str, approvals_path: str, checkpoint: str, partitions: int = 4
 ) -> StreamingQuery:
-    """Write the accepted log (one folder per partition) and the approvals.
+    """Write the accepted log (one folder per batch and partition) and the approvals (one per batch).
 
-    A repeated batch may write a record twice; readers drop duplicates by key.
+    A request sent again, in whichever batch, is decided once. A batch that is run again after a
+    failure replaces what it wrote before; readers that have seen the earlier files drop
+    duplicates by key.
     """
 
+    def replace(df: DataFrame, batch_id: int, path: str, *parts: str) -> None:
+        writer = df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("batch", *parts).parquet(path)
+
     def each(batch: DataFrame, batch_id: int) -> None:
         decided = decide(batch, items).persist()
-        fan_out(decided, partitions).write.mode("append").partitionBy("part").parquet(accepted_path)
-        decided.select("type", "txn", "ts", "approved").write.mode("append").parquet(approvals_path)
+        replace(fan_out(decided, partitions), batch_id, accepted_path, "part")
+        replace(decided.select("type", "txn", "ts", "approved"), batch_id, approvals_path)
         decided.unpersist()
 
-    return _start(requests.writeStream.foreachBatch(each), checkpoint)
+    return _start(without_duplicates(requests, REQUEST_KEY).writeStream.foreachBatch(each), checkpoint)
 
 
 def _start(writer, checkpoint: str) -> StreamingQuery:
@@ -97,10 +105,10 @@ def start_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return _start(stream.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
 
-def without_duplicates(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Drop records whose key came before, remembering keys for ``delay`` of log time."""
-    timed = stream.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", delay)
-    return timed.dropDuplicatesWithinWatermark(keys).drop("at")
+def without_duplicates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop records whose key came before, however long ago. No watermark: a first copy passes however
+    late it is. The state is one entry per key in RocksDB, for as long as the log is kept."""
+    return stream.dropDuplicates(keys)
 
 
 # ---- workers --------------------------------------------------------------------
@@ -151,13 +159,15 @@ def district_events(accepted: DataFrame) -> DataFrame:
     )
 
 
-def district_stream(accepted: DataFrame) -> DataFrame:
-    """Numbered orders and deliveries."""
+def district_stream(accepted: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Numbered orders and deliveries. ``start`` holds the queues an earlier run left: w, d, next_id, and
+    order_id, c, total_cents of one pending order in each row (null in a district's only row: none)."""
     return district_events(accepted).groupBy("w", "d").transformWithStateInPandas(
         DistrictQueue(),
         "w int, d int, ts bigint, kind int, txn bigint, order_id bigint, c bigint, total_cents bigint, carrier int",
         outputMode="Append",
         timeMode="None",
+        initialState=start.groupBy("w", "d") if start is not None else None,
     )
 
 
@@ -225,13 +235,14 @@ def result_tail(results: DataFrame, connection: int, since_ms: int) -> DataFrame
 
 def start_callbacks(statuses: DataFrame, callbacks: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> StreamingQuery:
     """Call ``callbacks[status]`` with each batch's transactions of that status
-    (written, accepted, rejected, complete)."""
+    (written, accepted, rejected, complete); a transaction reaches a status once."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         for name, callback in callbacks.items():
             callback(batch.where(F.col("status") == name))
 
-    return _start(statuses.writeStream.foreachBatch(each), checkpoint)
+    once = without_duplicates(statuses, [*REQUEST_KEY, "status"])
+    return _start(once.writeStream.foreachBatch(each), checkpoint)
 
 
 def timeout_stream(sent: DataFrame, results: DataFrame, limit_ms: int, delay: str = "1 minute") -> DataFrame:
@@ -260,11 +271,13 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame
 class ProgressMetrics(StreamingQueryListener):
     """Collects ``t, event, duration`` (ns) from each batch's progress.
 
-    Keeps the newest ``limit`` records until ``drain`` hands them over for writing.
+    Records are handed to ``write`` whenever there are ``limit`` of them, and by ``drain`` at the end. Without a
+    ``write`` they wait for ``drain``. None is dropped.
     """
 
-    def __init__(self, limit: int = 10_000):
+    def __init__(self, limit: int = 10_000, write: Callable[[list[tuple[str, str, int]]], None] | None = None):
         self.limit = limit
+        self.write = write
         self._records: list[tuple[str, str, int]] = []
 
     def onQueryStarted(self, event) -> None:
@@ -274,7 +287,9 @@ class ProgressMetrics(StreamingQueryListener):
         p = event.progress
         for name, ms in p.durationMs.items():
             self._records.append((p.timestamp, name, int(ms) * 1_000_000))
-        del self._records[: -self.limit]
+        if self.write and len(self._records) >= self.limit:
+            full, self._records = self._records, []
+            self.write(full)
 
     def onQueryIdle(self, event) -> None:
         pass
