@@ -100,7 +100,7 @@ def _regression(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray) ->
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
     value = scale[col]
-    n = max(len(rows), 1)
+    n = len(rows)
     share = (toxic.sum() + SMOOTHING) / (n + 2 * SMOOTHING)
     start = np.log(share / (1 - share))
     w, b = np.zeros(len(scale)), start

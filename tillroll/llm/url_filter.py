@@ -139,7 +139,7 @@ def _ratio(model):
 
 def threshold(scored: DataFrame) -> float:
     """The cut of ``ratio`` with the best mean of the two classes' shares on the right side, from
-    (allowed boolean, ratio); 0 if a class is missing."""
+    (allowed boolean, ratio), in the middle of the gap if there is one; 0 if a class is missing."""
     bins = F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "ratio")) / BIN).alias("bin")
     rows = scored.groupBy(bins).agg(
         F.sum(F.col("allowed").cast("int")).alias("good"), F.sum((~F.col("allowed")).cast("int")).alias("bad")
@@ -147,11 +147,12 @@ def threshold(scored: DataFrame) -> float:
     good, bad = sum(r["good"] for r in rows), sum(r["bad"] for r in rows)
     if not good or not bad:
         return 0.0
-    best, cut, g, b = 1.0, min(r["bin"] for r in rows), good, 0
-    for r in sorted(rows, key=lambda r: r["bin"]):
+    rows = sorted(rows, key=lambda r: r["bin"])
+    best, cut, g, b = 1.0, rows[0]["bin"], good, 0
+    for r, after in zip(rows, rows[1:] + rows[-1:]):
         g, b = g - r["good"], b + r["bad"]
         if g / good + b / bad > best:
-            best, cut = g / good + b / bad, r["bin"] + 1
+            best, cut = g / good + b / bad, (r["bin"] + 1 + max(after["bin"], r["bin"] + 1)) / 2
     return cut * BIN
 
 
