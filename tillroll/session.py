@@ -16,6 +16,8 @@ SETTINGS = {
     # where the split costs one more exchange further up the plan
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # whole texts are handed to Python in batches of a few MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
