@@ -219,3 +219,15 @@ def test_checks_find_what_is_broken(spark):
     )
     opening = F.lit("-10.00").cast("decimal(22,2)")
     assert rows(checks.violations(checks.payment_delta(log, 2, opening)), "txn") == [(3,)]
+
+
+def test_line_without_stock_row_is_an_error(spark):
+    lines = spark.createDataFrame([(1, 2, 7, 3), (2, 2, 8, 1)], "txn int, supply_w int, item int, d int")
+    stock_rows = spark.createDataFrame([(2, 7)], "w int, item int")
+    dist = F.array(*[F.concat(F.lit(f"{d}-"), F.col("item").cast("string")) for d in range(1, 11)])
+    known = orders.with_dist_info(lines.where("item = 7"), stock_rows, dist)
+    assert rows(known, "txn", "dist_info") == [(1, "3-7")]
+    with pytest.raises(Exception, match="no stock row for 2 8"):
+        orders.with_dist_info(lines, stock_rows, dist).collect()
+    with pytest.raises(Exception, match="no row for key 2, 8"):
+        logs.lookup_strict(lines.withColumnRenamed("supply_w", "w"), stock_rows, ["w", "item"]).collect()

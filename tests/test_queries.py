@@ -27,7 +27,10 @@ def test_query_equals_sql(spark, con, name):
     assert difference(spark, con, TINY, name) is None
 
 
-@pytest.mark.parametrize("name", ["order_ids", "fifo_deliveries", "stock_levels", "middle_customer", "credit_data"])
+@pytest.mark.parametrize("name", [
+    "order_ids", "fifo_deliveries", "stock_levels", "middle_customer", "credit_data", "balances", "customers_by_name",
+    "json_decode", "duration_stats", "check_payment_delta", "gen_orders", "modification_log", "order_lines",
+])
 def test_query_equals_sql_with_hot_keys_split(spark, con, name):
     spark.conf.set("tillroll.hotRows", "300" if name == "fifo_deliveries" else "6")
     try:
@@ -75,3 +78,18 @@ def test_as_of_the_end_is_the_whole_log(spark):
     some = logs.as_of(x.log_orders, 883612800000).select("txn")
     early = x.accepted.where("ts <= 883612800000").select("txn")
     assert rows(some, "txn") == rows(early, "txn")
+
+
+def test_views_rebuild_from_the_modification_log_alone(spark):
+    x = Ledger(spark, TINY)
+    log = x.modifications.groupBy("type").agg(F.count("*").alias("n"))
+    counted = dict(rows(log, "type", "n"))
+    assert counted["neworder"] == x.accepted.count()
+    assert counted["neworder-line"] == x.unnumbered_lines.count()
+    assert counted["remote-stock"] == x.unnumbered_lines.where("supply_w <> w").count()
+    assert x.modifications.where("type = 'payment' and customer_data is not null").count() == x.credit_data.count()
+
+
+def test_stock_table_has_each_part_in_each_warehouse(spark):
+    x = Ledger(spark, TINY)
+    assert x.opening_stock.count() == x.shop.rows("part") * x.shop.rows("nation")

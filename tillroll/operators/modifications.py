@@ -11,16 +11,25 @@ NEW_ORDER_ID = 20
 PAYMENT_ID = 0
 
 
-def modification_log(numbered: DataFrame, moved: DataFrame, balances: DataFrame, payments: DataFrame, delivered: DataFrame) -> DataFrame:
-    """All modifications in one table, keyed (txn, modification_id, type).
+def modification_log(
+    numbered: DataFrame, lines: DataFrame, moved: DataFrame, balances: DataFrame, payments: DataFrame,
+    texts: DataFrame, delivered: DataFrame,
+) -> DataFrame:
+    """All modifications in one table, keyed (txn, modification_id, type, line).
 
-    New orders and their lines stay apart (``moved`` has the lines' levels), so an
-    order of any size is many short rows.
+    New orders and their lines stay apart, so an order of any size is many short rows.
+    ``lines`` have amount, dist_info and the home warehouse's level; ``moved`` the suppliers' levels;
+    ``texts`` (txn, data) the text after each payment of a bad-credit customer.
     """
     orders = numbered.select(
         F.lit("neworder").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
         "w", "d", "c", "order_id", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
+    bought = lines.select(
+        F.lit("neworder-line").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
+        "w", "d", "line", "item", "supply_w", "quantity", F.col("amount").cast("decimal(22,2)").alias("amount"),
+        "dist_info", F.col("level").alias("stock_level"),
+    )
     remote = moved.where("role = 'supply'").select(
         F.lit("remote-stock").alias("type"), "txn", F.col("line").alias("modification_id"), "ts",
         F.col("stock_w").alias("w"), "item", F.col("level").alias("stock_level"),
@@ -29,20 +38,24 @@ def modification_log(numbered: DataFrame, moved: DataFrame, balances: DataFrame,
         F.lit("payment").alias("type"), "txn", F.lit(PAYMENT_ID).alias("modification_id"), "ts",
         F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c",
         F.col("amount").cast("decimal(22,2)").alias("amount"), "balance",
-    )
+    ).join(texts.select("txn", F.col("data").alias("customer_data")), "txn", "left")
     done = delivered.select(
         F.lit("delivery").alias("type"), "txn", F.col("d").alias("modification_id"), "ts",
         "w", "d", "c", "order_id", "carrier", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
     out = orders
-    for part in (remote, paid, done):
+    for part in (bought, remote, paid, done):
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def stock_writes(moved: DataFrame) -> DataFrame:
-    """Levels the view is told: home levels with new orders, supplier levels otherwise."""
-    return moved.select("stock_w", "item", "ts", "txn", "line", "level")
+def stock_writes(log: DataFrame) -> DataFrame:
+    """Levels the view is told, from the modification log: home levels with new orders' lines, supplier
+    levels otherwise (their modification id is the line)."""
+    line = F.coalesce("line", "modification_id")
+    return log.where("type in ('neworder-line', 'remote-stock')").select(
+        F.col("w").alias("stock_w"), "item", "ts", "txn", line.alias("line"), F.col("stock_level").alias("level")
+    )
 
 
 def view_stock(writes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.text import district_info
@@ -31,12 +31,14 @@ def priced_lines(lines: DataFrame, items: DataFrame) -> DataFrame:
     return lines.join(items, "item").withColumn("amount", amount)
 
 
-def with_dist_info(lines: DataFrame, stock: DataFrame) -> DataFrame:
-    """Add the supplier's text for the home district (``stock``: w, item, dist array)."""
-    texts = stock.select(F.col("w").alias("supply_w"), "item", "dist")
-    return lines.join(texts, ["supply_w", "item"]).withColumn(
-        "dist_info", district_info(F.col("dist"), F.col("d"))
-    ).drop("dist")
+def with_dist_info(lines: DataFrame, stock: DataFrame, dist: Column) -> DataFrame:
+    """Add the supplier's text for the home district. ``stock``: w, item and what ``dist``, the array of
+    ten texts, is made from. Lines without a stock row are an error."""
+    rows = stock.withColumnRenamed("w", "supply_w").withColumn("_found", F.lit(True))
+    text = F.when(F.col("_found"), district_info(dist, F.col("d"))).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit("no stock row for"), F.col("supply_w"), F.col("item")))
+    )
+    return lines.join(rows, ["supply_w", "item"], "left").select(*lines.columns, text.alias("dist_info"))
 
 
 def summary(orders: DataFrame, lines: DataFrame) -> DataFrame:

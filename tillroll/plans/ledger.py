@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.operators import accounts, customers, orders, queue, stock, verify, views
+from tillroll.operators import accounts, customers, modifications, orders, queue, stock, verify, views
 from tillroll.session import configure, settle
 from tillroll.sources import generate
 from tillroll.sources.shop import DISTRICTS, Shop, initial_stock
@@ -182,13 +182,22 @@ class Ledger:
         )
 
     @cached_property
-    def stock_texts(self) -> DataFrame:
-        """District texts for the (warehouse, item) pairs the lines name."""
-        pairs = self.unnumbered_lines.select(F.col("supply_w").alias("w"), "item").distinct()
-        return pairs.select("w", "item", generate.stock_texts(F.col("w"), F.col("item")).alias("dist"))
+    def opening_stock(self) -> DataFrame:
+        """The stock table: each part in each warehouse."""
+        items = self.shop.table("part").select(F.col("p_partkey").alias("item"))
+        return generate.stock_keys(items, self.shop.rows("nation")).withColumn("quantity", initial_stock(F.col("item")))
+
+    def with_dist_info(self, lines: DataFrame) -> DataFrame:
+        """Lines with their text from the stock table; only its keys are joined."""
+        keys = self.opening_stock.select("w", "item")
+        return orders.with_dist_info(lines, keys, generate.stock_texts(F.col("supply_w"), F.col("item")))
+
+    # ---- modification log -----------------------------------------------------------
 
     @cached_property
-    def opening_stock(self) -> DataFrame:
-        """The stock table for the pairs the lines name."""
-        pairs = self.unnumbered_lines.select(F.col("supply_w").alias("w"), "item").distinct()
-        return pairs.withColumn("quantity", initial_stock(F.col("item")))
+    def modifications(self) -> DataFrame:
+        at_home = orders.priced_lines(self.moved.where("role <> 'supply'"), self.shop.items)
+        return modifications.modification_log(
+            self.log_orders, self.with_dist_info(at_home), self.moved, self.balances, self.payments,
+            self.credit_data, self.delivered,
+        )

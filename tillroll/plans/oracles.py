@@ -88,6 +88,7 @@ _PARTS: dict[str, tuple[list[str], str]] = {
         FROM mvk WHERE k = 1
         UNION ALL SELECT m.*, st.level - m.taken + CASE WHEN m.taken > 0 AND st.level - m.taken < 10 THEN 91 ELSE 0 END
         FROM st JOIN mvk m ON m.stock_w = st.stock_w AND m.item = st.item AND m.k = st.k + 1"""),
+    "stk": ([], "SELECT n_nationkey + 1 AS w, p_partkey AS item, p_partkey % 90 + 10 AS quantity FROM part, nation"),
     "lev": (["st"], "SELECT stock_w, item, arg_max(level, k) AS level FROM st GROUP BY ALL"),
     "bcpay": (["pay", "cust"], """SELECT p.txn, p.c, p.c_w, p.c_d, opening,
         p.c::varchar || p.c_d || p.c_w || p.d || p.w || p.amount AS prefix,
@@ -173,13 +174,18 @@ ORACLES: dict[str, str] = {
     "dedup_log": _with(["fan"], f"SELECT {_b('txn', 'w')}, 0::bigint AS copy FROM fan"),
     "compact_log": """SELECT user_id, value FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS value,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND value IS NOT NULL""",
-    "modification_log": _with(["num", "st", "bal", "pay", "dd"], """SELECT 'neworder' AS type, txn, 20::bigint AS modification_id, ts::bigint AS ts,
+    "modification_log": _with(["num", "st", "bal", "pay", "dd", "pln", "txt"], """SELECT 'neworder' AS type, txn, 20::bigint AS modification_id, ts::bigint AS ts,
           w::bigint AS w, d::bigint AS d, c, order_id, total::double AS amount, NULL::bigint AS item, NULL::bigint AS stock_level,
-          NULL::double AS balance, NULL::bigint AS carrier FROM num
-        UNION ALL SELECT 'remote-stock', txn, line, ts, stock_w, NULL, NULL, NULL, NULL, item, level, NULL, NULL FROM st WHERE role = 'supply'
-        UNION ALL SELECT 'payment', txn, 0, pay.ts, c_w, c_d, pay.c, NULL, amount, NULL, NULL, balance, NULL
-          FROM pay JOIN (SELECT txn, balance FROM bal WHERE kind = 2) USING (txn)
-        UNION ALL SELECT 'delivery', txn, d, ts, w, d, c, order_id, total, NULL, NULL, NULL, carrier FROM dd"""),
+          NULL::double AS balance, NULL::bigint AS carrier, NULL::bigint AS line, NULL::bigint AS supply_w, NULL::bigint AS quantity,
+          NULL::varchar AS dist_info, NULL::varchar AS customer_data FROM num
+        UNION ALL SELECT 'neworder-line', txn, 20, pln.ts, pln.w, pln.d, NULL, NULL, pln.amount, pln.item, level, NULL, NULL, line, pln.sw,
+          pln.q, rpad(pln.sw || '.' || pln.d || '.' || pln.item, 24, '*'), NULL
+          FROM pln JOIN (SELECT txn, line, level FROM st WHERE role <> 'supply') USING (txn, line)
+        UNION ALL SELECT 'remote-stock', txn, line, ts, stock_w, NULL, NULL, NULL, NULL, item, level, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+          FROM st WHERE role = 'supply'
+        UNION ALL SELECT 'payment', txn, 0, pay.ts, pay.c_w, pay.c_d, pay.c, NULL, amount, NULL, NULL, balance, NULL, NULL, NULL, NULL, NULL, t.data
+          FROM pay JOIN (SELECT txn, balance FROM bal WHERE kind = 2) USING (txn) LEFT JOIN (SELECT txn, data FROM txt) t USING (txn)
+        UNION ALL SELECT 'delivery', txn, d, ts, w, d, c, order_id, total, NULL, NULL, NULL, carrier, NULL, NULL, NULL, NULL, NULL FROM dd"""),
     "verify_orders": _with(["req", "bad"], "SELECT txn, txn NOT IN (SELECT txn FROM bad) AS approved FROM req"),
     "verify_all": _with(["allreq", "bad"], """SELECT type, txn, type <> 'neworder' OR txn NOT IN (SELECT txn FROM bad) AS approved FROM allreq
         UNION ALL SELECT 'view', event_id, false FROM events WHERE event_type = 'view'"""),
@@ -193,7 +199,7 @@ ORACLES: dict[str, str] = {
     "lookup_customer": _with(["cust", "payreq"], f"""SELECT {_b('w', 'd')}, c, first, last, credit, {_m('discount')}, phone,
         1514764800000::bigint AS since FROM cust WHERE c IN (SELECT c FROM payreq WHERE c IS NOT NULL)"""),
     "lookup_item": _with(["item"], f"SELECT item, item_name, {_m('price')} FROM item WHERE item IN (SELECT l_partkey FROM lineitem)"),
-    "lookup_stock": _with(["aln"], "SELECT DISTINCT sw::bigint AS w, item, (item % 90 + 10)::bigint AS quantity FROM aln"),
+    "lookup_stock": _with(["aln", "stk"], f"SELECT {_b('w', 'quantity')}, item FROM stk WHERE (w, item) IN (SELECT (sw, item) FROM aln)"),
     "lookup_pending": _with(["pend"], f"""SELECT {_b('w', 'd', 'order_id')}, txn, c, {_m('total')} FROM pend p
         WHERE order_id = (SELECT min(order_id) FROM pend o WHERE o.w = p.w AND o.d = p.d)"""),
     "order_ids": _with(["num"], f"SELECT txn, {_b('w', 'd', 'ts', 'order_id')}, c FROM num"),
@@ -293,8 +299,11 @@ ORACLES: dict[str, str] = {
     "sql_order_lines": _with(["pln", "num", "dd"], """SELECT pln.txn, item, sw::bigint AS supply_w, q::bigint AS quantity, amount::double AS amount,
         num.w::bigint AS w, num.d::bigint AS d, num.order_id, line::bigint + 1 AS number, dd.ts::bigint AS delivered
         FROM pln JOIN num ON num.txn = pln.txn LEFT JOIN dd ON dd.w = num.w AND dd.d = num.d AND dd.order_id = num.order_id"""),
-    "sql_stock": _with(["aln", "lev"], """SELECT sw::bigint AS w, a.item, level::bigint AS quantity, sum(q)::bigint AS ytd, count(*) AS order_count,
-        count(*) FILTER (sw <> a.w) AS remote_count FROM aln a JOIN lev ON stock_w = sw AND lev.item = a.item GROUP BY ALL"""),
+    "sql_stock": _with(["aln", "lev", "stk"], """SELECT stk.w::bigint AS w, stk.item, coalesce(level, quantity)::bigint AS quantity,
+        coalesce(y, 0)::bigint AS ytd, coalesce(n, 0) AS order_count, coalesce(r, 0) AS remote_count FROM stk
+        LEFT JOIN lev ON stock_w = stk.w AND lev.item = stk.item
+        LEFT JOIN (SELECT sw, item, sum(q) AS y, count(*) AS n, count(*) FILTER (sw <> w) AS r FROM aln GROUP BY ALL) a
+          ON sw = stk.w AND a.item = stk.item"""),
     "updated_customers": _with(["cust", "paysql", "dd"], """, pk AS (SELECT p.*, opening, p.c::varchar || p.c_d || p.c_w || p.d || p.w || p.amount AS prefix
           FROM paysql p JOIN cust ON cust.c = p.c WHERE credit = 'BC'),
         tx AS (SELECT c, left(string_agg(prefix, '' ORDER BY ts DESC, txn DESC) || any_value(opening), 500) AS data FROM pk GROUP BY c)

@@ -258,7 +258,7 @@ def compact_log(x):
 
 @query
 def modification_log(x):
-    return modifications.modification_log(x.log_orders, x.moved, x.balances, x.payments, x.delivered)
+    return x.modifications
 
 
 # ---- verification and lookups -----------------------------------------------------
@@ -336,9 +336,9 @@ def order_ids(x):
 
 @query
 def order_lines(x):
-    numbered = x.numbered.select("txn", "order_id")
-    priced = x.priced.drop("item_name", "price", "ts", "c")
-    return orders.with_dist_info(priced, x.stock_texts).join(numbered, "txn")
+    lines = x.shop.with_header(x.shop.request_lines, x.numbered.select("txn", "w", "d", "order_id"))
+    priced = orders.priced_lines(lines, x.shop.items.select("item", "price")).drop("price")
+    return x.with_dist_info(priced)
 
 
 @query
@@ -348,7 +348,7 @@ def enrich_lines(x):
 
 @query
 def line_dist_info(x):
-    texts = orders.with_dist_info(x.unnumbered_lines, x.stock_texts)
+    texts = x.with_dist_info(x.unnumbered_lines)
     return texts.groupBy("supply_w", "item", "d", "dist_info").agg(F.count("*").alias("n"))
 
 
@@ -428,7 +428,7 @@ def remote_stock(x):
 
 @query
 def view_stock(x):
-    return modifications.view_stock(modifications.stock_writes(x.moved))
+    return modifications.view_stock(modifications.stock_writes(x.modifications))
 
 
 @query
@@ -650,7 +650,7 @@ def state_as_of(x):
 @query
 def rebuild_equals_live(x):
     """Stock as replayed from the modification log next to stock as kept by the workers."""
-    rebuilt = modifications.view_stock(modifications.stock_writes(x.moved)).withColumnRenamed("level", "rebuilt")
+    rebuilt = modifications.view_stock(modifications.stock_writes(x.modifications)).withColumnRenamed("level", "rebuilt")
     live = x.levels.withColumnRenamed("level", "live")
     return rebuilt.join(live, ["stock_w", "item"], "full")
 

@@ -135,9 +135,14 @@ def customers(keys: DataFrame, names: int, seed: int | None = None) -> DataFrame
     )
 
 
+def stock_keys(ids: DataFrame, n_warehouses: int) -> DataFrame:
+    """Each item in each warehouse 1..n."""
+    return ids.select("item", F.explode(F.sequence(F.lit(1), F.lit(n_warehouses))).alias("w"))
+
+
 def stock(ids: DataFrame, n_warehouses: int, seed: int | None = None) -> DataFrame:
     """Each item in each warehouse 1..n: quantity, ten district texts, data."""
-    keys = ids.select("item", F.explode(F.sequence(F.lit(1), F.lit(n_warehouses))).alias("w"))
+    keys = stock_keys(ids, n_warehouses)
     i = F.col("item")
     if seed is None:
         dist = [F.lpad(text(i), 24, "0")] * DISTRICTS
