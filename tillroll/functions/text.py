@@ -22,6 +22,7 @@ def last_name(number: Column) -> Column:
     return F.concat(*[F.element_at(words, (d + 1).cast("int")) for d in digits])
 
 
+# The wording of addresses and customer texts in predictable data.
 def predictable_address(kind: str, number: Column) -> dict[str, Column]:
     def part(name):
         return F.concat(F.lit(f"{name}-{kind}-"), number.cast("string"))

@@ -128,10 +128,15 @@ def year_to_date(payments: DataFrame, deliveries: DataFrame) -> DataFrame:
     )
 
 
+def district_takings(payments: DataFrame) -> DataFrame:
+    """Per paying district the amount taken (ytd) and the number of payments (ytd_compat)."""
+    return payments.groupBy("w", "d").agg(F.sum("amount").alias("ytd"), F.count("*").alias("ytd_compat"))
+
+
 def ytd_by_district(payments: DataFrame, compat: bool = False) -> DataFrame:
     """Amount taken by each paying district; ``compat`` counts payments instead."""
-    total = F.count("*") if compat else F.sum("amount")
-    return payments.groupBy("w", "d").agg(total.alias("ytd"))
+    total = F.col("ytd_compat" if compat else "ytd")
+    return district_takings(payments).select("w", "d", total.alias("ytd"))
 
 
 def ytd_by_warehouse(payments: DataFrame, compat: bool = False) -> DataFrame:

@@ -537,9 +537,7 @@ def customer_ytd(x):
 
 @query
 def ytd_by_district(x):
-    by_amount = accounts.ytd_by_district(x.shop.payments)
-    by_count = accounts.ytd_by_district(x.shop.payments, compat=True).withColumnRenamed("ytd", "ytd_compat")
-    return by_amount.join(by_count, ["w", "d"])
+    return accounts.district_takings(x.shop.payments)
 
 
 @query

@@ -1,8 +1,7 @@
 """The logs as JSON records, and reading and writing them.
 
 A record is key columns next to a JSON payload, so filters on the key run before
-any JSON is parsed. Logs are folders by default; the format is a parameter, so a
-cluster with the Kafka connector reads topics through the same functions.
+any JSON is parsed. Logs are folders of files; the file format is a parameter.
 """
 
 from __future__ import annotations
@@ -76,16 +75,21 @@ def quarantine(log: DataFrame, schema: str) -> DataFrame:
     return out.withColumn("r", F.when(F.col("corrupt").isNull(), F.col("_p").dropFields("_corrupt_record"))).drop("_p")
 
 
+#: Files of a log that a micro-batch takes.
+FILES_PER_BATCH = 64
+
+
 def read_log(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet", **options) -> DataFrame:
     """The whole log, from its beginning."""
     return spark.read.format(fmt).schema(schema).options(**options).load(path)
 
 
 def stream_log(
-    spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet", files_per_batch: int | None = None,
-    **options,
+    spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet",
+    files_per_batch: int | None = FILES_PER_BATCH, **options,
 ) -> DataFrame:
-    """The log as a stream, from its beginning, then as it grows."""
+    """The log as a stream, from its beginning, then as it grows. A batch takes at most ``files_per_batch``
+    files (None: all there are), so that a replay of a long log is many batches."""
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

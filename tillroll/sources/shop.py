@@ -32,9 +32,6 @@ PAYMENT_BASE_MS = 788918400000
 EVENT_BASE_MS = 1704067200000
 PAYMENT_STRETCH = 80
 
-# no more month ends than this fit between the years 0 and 9999
-CALENDAR_MONTHS = 120_000
-
 
 def epoch_ms(column: str) -> Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
@@ -248,20 +245,22 @@ class Shop:
     def order_sizes(self) -> DataFrame:
         return self.table("lineitem").groupBy(F.col("l_orderkey").alias("txn")).agg(F.count("*").alias("n"))
 
-    def orders_per_customer(self) -> DataFrame:
-        return self.table("orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count("*").alias("n"))
-
     def district_sizes(self) -> DataFrame:
         """At most this many orders and polls per district, from per-customer counts.
 
-        A warehouse polls each district once per month it has orders in.
+        A warehouse polls each district once per month it has orders in, which is at most
+        the months from its first order to its last.
         """
         homes = self.table("customer").select(F.col("c_custkey").alias("c"), home("c_nationkey").alias("w"))
-        placed = (
-            self.orders_per_customer().join(homes, "c")
-            .groupBy("w", home_district("c").alias("d")).agg(F.sum("n").alias("placed"))
+        per_customer = self.table("orders").groupBy(F.col("o_custkey").alias("c")).agg(
+            F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")
+        )
+        placed = per_customer.join(homes, "c").groupBy("w", home_district("c").alias("d")).agg(
+            F.sum("n").alias("placed"), F.min("first").alias("first"), F.max("last").alias("last")
         )
-        months = placed.groupBy("w").agg(F.least(F.sum("placed"), F.lit(CALENDAR_MONTHS)).alias("months"))
+        first, last = (F.date_trunc("month", x) for x in (F.min("first"), F.max("last")))
+        span = F.round(F.months_between(last, first)).cast("long") + 1
+        months = placed.groupBy("w").agg(F.least(F.sum("placed"), span).alias("months"))
         return placed.join(months, "w").select("w", "d", (F.col("placed") + F.col("months")).alias("n"))
 
     def item_sizes(self) -> DataFrame:
