@@ -11,6 +11,20 @@ NEW_ORDER_ID = 20
 PAYMENT_ID = 0
 
 
+def stock_modifications(lines: DataFrame, moved: DataFrame) -> DataFrame:
+    """The log's rows that tell of stock; arguments as for ``modification_log``."""
+    bought = lines.select(
+        F.lit("neworder-line").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
+        "w", "d", "line", "item", "supply_w", "quantity", F.col("amount").cast("decimal(22,2)").alias("amount"),
+        "dist_info", F.col("level").alias("stock_level"),
+    )
+    remote = moved.where("role = 'supply'").select(
+        F.lit("remote-stock").alias("type"), "txn", F.col("line").alias("modification_id"), "ts",
+        F.col("stock_w").alias("w"), "item", F.col("level").alias("stock_level"),
+    )
+    return bought.unionByName(remote, allowMissingColumns=True)
+
+
 def modification_log(
     numbered: DataFrame, lines: DataFrame, moved: DataFrame, balances: DataFrame, payments: DataFrame,
     texts: DataFrame, delivered: DataFrame,
@@ -25,15 +39,6 @@ def modification_log(
         F.lit("neworder").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
         "w", "d", "c", "order_id", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
-    bought = lines.select(
-        F.lit("neworder-line").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
-        "w", "d", "line", "item", "supply_w", "quantity", F.col("amount").cast("decimal(22,2)").alias("amount"),
-        "dist_info", F.col("level").alias("stock_level"),
-    )
-    remote = moved.where("role = 'supply'").select(
-        F.lit("remote-stock").alias("type"), "txn", F.col("line").alias("modification_id"), "ts",
-        F.col("stock_w").alias("w"), "item", F.col("level").alias("stock_level"),
-    )
     paid = payments.join(balances.select("txn", "kind", "balance").where("kind = 2").drop("kind"), "txn").select(
         F.lit("payment").alias("type"), "txn", F.lit(PAYMENT_ID).alias("modification_id"), "ts",
         F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c",
@@ -44,7 +49,7 @@ def modification_log(
         "w", "d", "c", "order_id", "carrier", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
     out = orders
-    for part in (bought, remote, paid, done):
+    for part in (stock_modifications(lines, moved), paid, done):
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -194,10 +194,18 @@ class Ledger:
 
     # ---- modification log -----------------------------------------------------------
 
+    @cached_property
+    def lines_at_home(self) -> DataFrame:
+        """Lines with amount, text and the home warehouse's level."""
+        return self.with_dist_info(orders.priced_lines(self.moved.where("role <> 'supply'"), self.shop.items))
+
+    @cached_property
+    def stock_modifications(self) -> DataFrame:
+        return modifications.stock_modifications(self.lines_at_home, self.moved)
+
     @cached_property
     def modifications(self) -> DataFrame:
-        at_home = orders.priced_lines(self.moved.where("role <> 'supply'"), self.shop.items)
         return modifications.modification_log(
-            self.log_orders, self.with_dist_info(at_home), self.moved, self.balances, self.payments,
+            self.log_orders, self.lines_at_home, self.moved, self.balances, self.payments,
             self.credit_data, self.delivered,
         )

@@ -428,7 +428,7 @@ def remote_stock(x):
 
 @query
 def view_stock(x):
-    return modifications.view_stock(modifications.stock_writes(x.modifications))
+    return modifications.view_stock(modifications.stock_writes(x.stock_modifications))
 
 
 @query
