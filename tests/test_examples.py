@@ -192,12 +192,6 @@ def test_status_and_timeouts(spark):
     assert [t for (t,) in rows(results.timeouts(sent, answers), "txn")] == [2, 3, 4, 5]
 
 
-def test_huge_orders_become_several_records(spark):
-    lines = spark.range(2500).select(F.lit(1).alias("txn"), F.col("id").cast("int").alias("line"), F.lit(2).alias("quantity"))
-    got = results.ordered_lines(lines, ["quantity"], chunk=1000)
-    assert sorted((r.part, len(r.lines), r.lines[0].line) for r in got.collect()) == [(0, 1000, 0), (1, 1000, 1000), (2, 500, 2000)]
-
-
 def test_updates_change_only_the_named_rows(spark):
     table = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, name string, n int")
     updates = spark.createDataFrame([(2, None)], "k int, n int")

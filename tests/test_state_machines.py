@@ -37,6 +37,32 @@ def test_quantity_out_of_range_raises(spark):
         stock.movements(lines).collect()
 
 
+@pytest.mark.parametrize("hot_rows", [100_000, 25])
+def test_levels_of_any_quantity(spark, hot_rows):
+    """Quantities that one restocking does not make up for, looks in between, any opening level."""
+    rng = random.Random(11)
+    lines, starts, want, last = [], [], [], []
+    for item in range(12):
+        level = rng.choice([0, 5, 10, 50, 100, 400])
+        starts.append((1, item, level))
+        for ts in range(60):
+            quantity, look = rng.choice([0, 1, 5, 80, 91, 92, 200, 1000]) if rng.random() < 0.6 else 3, rng.random() < 0.2
+            lines.append((ts, ts, 0, item, 1, 2 if look else 1, quantity))
+            level = level if look else take(level, quantity)
+            want.append((item, ts, level))
+        last.append((item, level))
+    df = spark.createDataFrame(lines, "txn int, ts int, line int, item int, w int, supply_w int, quantity int")
+    moved = stock.movements(df, any_quantity=True).where("stock_w = 1")
+    start = spark.createDataFrame(starts, "stock_w int, item int, start_level int")
+    spark.conf.set("tillroll.hotRows", str(hot_rows))
+    try:
+        got = rows(stock.with_levels(moved, start, any_quantity=True), "item", "ts", "level")
+        ends = rows(stock.current_levels(moved, start, any_quantity=True), "item", "level")
+    finally:
+        spark.conf.unset("tillroll.hotRows")
+    assert got == sorted(want, key=repr) and ends == sorted(last, key=repr)
+
+
 @pytest.mark.parametrize("hot_rows", [100_000, 25])
 def test_queue_against_a_real_queue(spark, hot_rows):
     rng = random.Random(5)

@@ -158,6 +158,24 @@ def test_initial_state(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "line", "role", "level") == [(0, "home", 47), (1, "home", 97)]
 
 
+def test_stock_stream_of_any_quantity(spark, tmp_path):
+    accepted, want, level = str(tmp_path / "accepted"), [], 12
+    for i, quantities in enumerate([[200, 3], [92, 1, 1, 500], [0, 80, 2]]):
+        lines = ", ".join(f"named_struct('line', {n}, 'item', 0L, 'supply_w', 3, 'quantity', {q})" for n, q in enumerate(quantities))
+        spark.sql(
+            f"SELECT 'neworder' AS type, {i}L AS txn, {i}L AS ts, 3 AS w, 1 AS d, 7L AS c, array({lines}) AS lines, "
+            "CAST(NULL AS int) AS carrier, CAST(NULL AS string) AS last, CAST(NULL AS int) AS c_w, CAST(NULL AS int) AS c_d, "
+            "CAST(NULL AS decimal(12,2)) AS amount, CAST(1 AS decimal(22,2)) AS total, 3 AS worker_w, 0 AS part"
+        ).write.mode("append").parquet(accepted)
+        start = spark.createDataFrame([(3, 0, 12)], "stock_w int, item long, level int")
+        out = P.stock_stream(P_stream(spark, accepted, P.ACCEPTED), start)
+        P.start_log(out, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        for n, q in enumerate(quantities):
+            level = level - q + (91 if level - q < 10 else 0)
+            want.append((i, n, level))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "txn", "line", "level") == sorted(want, key=repr)
+
+
 def test_late_first_copies_pass(spark, tmp_path):
     hour = 3_600_000
     for i, part in enumerate([[(1, 9 * hour), (2, 10 * hour)], [(3, 11 * hour), (1, 9 * hour)], [(4, 5 * hour), (2, 10 * hour), (5, 12 * hour)]]):

@@ -3,6 +3,11 @@
 A line takes its quantity from the supplier's level; if that leaves less than 10,
 91 are added. Levels therefore stay in 10..100, which is 91 values, and the level
 after any number of lines is the running sum of quantities, modulo 91.
+
+A line of more than 81 may leave less than 10 even after its restocking, and the next line is then
+restocked whatever it takes. With need(n) the restockings that would bring the sum of n lines to 10 or more, the number
+made after n lines is the smaller of need(n) and one more than before, which is n plus the least of 0 and
+need(j) - j over all j up to n: a running minimum.
 """
 
 from __future__ import annotations
@@ -27,19 +32,27 @@ def level_after(start: Column, taken: Column) -> Column:
     return F.when((left >= LOWEST) | (taken == 0), left).otherwise(wrapped)
 
 
-def checked(quantity: Column) -> Column:
-    return F.when(quantity.between(0, MOST_PER_LINE), quantity).otherwise(
+def restocks_needed(start, taken):
+    """Restockings after which a level ``start`` less ``taken`` would be LOWEST or more."""
+    return F.greatest(F.lit(0), F.ceil((taken - start + LOWEST) / RESTOCK))
+
+
+def checked(quantity: Column, any_quantity: bool = False) -> Column:
+    fits = quantity >= 0 if any_quantity else quantity.between(0, MOST_PER_LINE)
+    return F.when(fits, quantity).otherwise(
         F.raise_error(F.concat(F.lit("quantity out of range: "), quantity.cast("string")))
     )
 
 
-def movements(lines: DataFrame) -> DataFrame:
+def movements(lines: DataFrame, any_quantity: bool = False) -> DataFrame:
     """What each line reads or takes, one row per warehouse it concerns.
 
+    Quantities from 0 to 81; with ``any_quantity`` also larger ones. Others raise.
+
     A line from another warehouse takes stock there and only looks at the level at
     home: a movement of zero. ``lines``: txn, ts, line, item, w, supply_w, quantity.
     """
-    quantity = checked(F.col("quantity"))
+    quantity = checked(F.col("quantity"), any_quantity)
 
     def at(role, warehouse, taken):
         return F.struct(
@@ -52,28 +65,42 @@ def movements(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_m", F.explode(rows)).select("*", "_m.*").drop("_m")
 
 
-def with_levels(moved: DataFrame, start: DataFrame | None = None, **bounds) -> DataFrame:
+def with_levels(
+    moved: DataFrame, start: DataFrame | None = None, any_quantity: bool = False, **bounds
+) -> DataFrame:
     """Add ``level``, the stock after each movement in log order.
 
-    ``start`` (stock_w, item, start_level) replaces the default opening level;
-    ``bounds`` as for ``running``.
+    ``start`` (stock_w, item, start_level) replaces the default opening level; ``any_quantity``: lines may
+    take more than 81; ``bounds`` as for ``running``.
     """
     opening = initial_stock(F.col("item"))
     if start is not None:
         moved = moved.join(start, ["stock_w", "item"], "left")
         opening = F.coalesce("start_level", opening)
+    sums, floors = {"_total": F.col("taken")}, {}
+    over = restocks_needed(F.col("_opening"), F.col("_total")) - F.col("_served")
+    if any_quantity:
+        sums["_served"] = (F.col("role") != "look").cast("int")
+        floors["_low"] = over
     out = running(
-        moved.withColumn("_opening", opening),
-        ["stock_w", "item"],
-        ["ts", "txn", "line"],
-        {"_total": F.col("taken")},
-        **bounds,
+        moved.withColumn("_opening", opening), ["stock_w", "item"], ["ts", "txn", "line"], sums, floors, **bounds
     )
-    return out.withColumn("level", level_after(F.col("_opening"), F.col("_total"))).drop("_opening", "_total", "start_level")
-
-
-def current_levels(moved: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Final level per (stock_w, item) touched: a plain sum, order does not matter."""
+    if any_quantity:
+        restocked = F.col("_served") + F.least(F.lit(0), F.col("_low"), over)
+        level = (F.col("_opening") - F.col("_total") + restocked * RESTOCK).cast("bigint")
+    else:
+        level = level_after(F.col("_opening"), F.col("_total"))
+    return out.withColumn("level", level).drop("_opening", "_total", "_served", "_low", "start_level")
+
+
+def current_levels(
+    moved: DataFrame, start: DataFrame | None = None, any_quantity: bool = False, **bounds
+) -> DataFrame:
+    """Final level per (stock_w, item) touched: a plain sum, order does not matter. With ``any_quantity``
+    it does, and the last level in log order is taken."""
+    if any_quantity:
+        last = F.max_by("level", F.struct("ts", "txn", "line")).alias("level")
+        return with_levels(moved, start, True, **bounds).groupBy("stock_w", "item").agg(last)
     total = moved.groupBy("stock_w", "item").agg(F.sum("taken").alias("taken"))
     opening = initial_stock(F.col("item"))
     if start is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillroll.operators import accounts, customers, modifications, orders, queue, stock, verify, views
 from tillroll.session import configure, settle
 from tillroll.sources import generate
-from tillroll.sources.shop import DISTRICTS, Shop, initial_stock
+from tillroll.sources.shop import DISTRICTS, Shop, epoch_ms, initial_stock
 
 
 # where the log is cut in two runs: 1998-01-01
@@ -97,6 +97,11 @@ class Ledger:
         """Every look at and change of a stock level, with the level after it."""
         return stock.with_levels(stock.movements(self.lines), **self.stock_bounds)
 
+    @cached_property
+    def bulk_lines(self) -> DataFrame:
+        """The lines in units of 25: up to 250 at once."""
+        return self.lines.withColumn("quantity", F.col("quantity") * 25)
+
     @cached_property
     def levels(self) -> DataFrame:
         return stock.current_levels(stock.movements(self.unnumbered_lines))
@@ -141,6 +146,20 @@ class Ledger:
     def pending(self) -> DataFrame:
         return queue.pending(self.log_orders, self.delivered)
 
+    @cached_property
+    def delivery_times(self) -> DataFrame:
+        """txn and result, the time of its delivery, of each delivered order."""
+        at = self.delivered.select("w", "d", "order_id", F.col("ts").alias("result"))
+        return self.log_orders.select("w", "d", "order_id", "txn").join(at, ["w", "d", "order_id"]).select("txn", "result")
+
+    @cached_property
+    def shipping_times(self) -> DataFrame:
+        """txn, first and last: when the first and the last line of each order were shipped."""
+        at = epoch_ms("l_shipdate")
+        return self.shop.table("lineitem").groupBy(F.col("l_orderkey").alias("txn")).agg(
+            F.min(at).alias("first"), F.max(at).alias("last")
+        )
+
     # ---- money --------------------------------------------------------------------
 
     @cached_property

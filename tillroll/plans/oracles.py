@@ -105,9 +105,14 @@ _PARTS: dict[str, tuple[list[str], str]] = {
     "rec": (["num"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY w, d ORDER BY order_id DESC) AS r FROM num) WHERE r <= 20"),
     "thr": (["dist"], "SELECT w, d, (w * 10 + d) % 11 + 10 AS threshold FROM dist"),
     "fan": (["acc", "aln"], "SELECT txn, w FROM acc UNION SELECT txn, sw FROM aln"),
-    "times": (["req", "bad"], """SELECT txn, txn NOT IN (SELECT txn FROM bad) AS approved, ts AS sent, ts + txn % 5 AS written,
-        ts + txn % 50 AS accepted, ts + txn % 50 + 10 AS routed,
-        CASE WHEN txn NOT IN (SELECT txn FROM bad) AND txn % 97 <> 0 THEN ts + txn % 120 * 1000 END AS result FROM req"""),
+    "decided": (["req", "bad"], "SELECT txn, ts, txn NOT IN (SELECT txn FROM bad) AS approved FROM req"),
+    "shipped": (["num", "dd"], """SELECT num.txn, num.ts, dd.ts AS result FROM num
+        LEFT JOIN dd ON dd.w = num.w AND dd.d = num.d AND dd.order_id = num.order_id"""),
+    "bulk": (["mvk"], "SELECT * REPLACE (taken * 25 AS taken, q * 25 AS q) FROM mvk"),
+    "bulkst": (["bulk"], """SELECT bulk.*, (item % 90 + 10) - taken + CASE WHEN role <> 'look' AND (item % 90 + 10) - taken < 10 THEN 91 ELSE 0 END AS level
+        FROM bulk WHERE k = 1
+        UNION ALL SELECT m.*, s.level - m.taken + CASE WHEN m.role <> 'look' AND s.level - m.taken < 10 THEN 91 ELSE 0 END
+        FROM bulkst s JOIN bulk m ON m.stock_w = s.stock_w AND m.item = s.item AND m.k = s.k + 1"""),
     "allreq": (["req", "dlv", "payreq"], """SELECT 'neworder' AS type, 0 AS kind, txn, ts, w FROM req
         UNION ALL SELECT 'delivery', 1, txn, ts, w FROM dlv UNION ALL SELECT 'payment', 2, txn, ts, c_w FROM payreq"""),
     "gord": (["cust"], """SELECT w, d, c, row_number() OVER (PARTITION BY w, d ORDER BY c) AS order_id,
@@ -128,7 +133,7 @@ def _with(names: list[str], body: str) -> str:
         add(name)
     # parts read more than once are worked out once
     parts = ",\n".join(
-        f"{n} AS {'' if n in ('fifo', 'st', 'txt') else 'MATERIALIZED '}({_PARTS[n][1]})" for n in needed
+        f"{n} AS {'' if n in ('fifo', 'st', 'txt', 'bulkst') else 'MATERIALIZED '}({_PARTS[n][1]})" for n in needed
     )
     return f"WITH RECURSIVE {parts}\n{body}" if parts else body
 
@@ -147,8 +152,8 @@ _D_ADDR = ", ".join(f"d_{x}" for x in ("street1", "street2", "city", "state", "z
 ORACLES: dict[str, str] = {
     "request_log": _with(["allreq"], f"SELECT type, {_b('kind', 'txn', 'ts', 'w')} FROM allreq"),
     "route_counts": _with(["allreq"], f"SELECT type, {_b('w')}, count(*) AS n FROM allreq GROUP BY ALL"),
-    "results_for_connection": _with(["times"], """SELECT txn * 4294967296 + txn % 8 AS id, txn % 8 AS connection, txn, approved
-        FROM times WHERE txn % 2 = 0"""),
+    "results_for_connection": _with(["decided"], """SELECT txn * 4294967296 + txn % 8 AS id, txn % 8 AS connection, txn, approved
+        FROM decided WHERE txn % 2 = 0"""),
     "result_log": _with(["allreq", "bad", "fan"], """SELECT type, txn, true AS is_approval, NULL::bigint AS w,
           type <> 'neworder' OR txn NOT IN (SELECT txn FROM bad) AS approved FROM allreq
         UNION ALL SELECT 'neworder', txn, false, w, NULL FROM fan
@@ -279,13 +284,17 @@ ORACLES: dict[str, str] = {
         FROM state s JOIN pln ON pln.txn = s.txn"""),
     "merge_results": _with(["pln", "st"], f"""SELECT pln.txn, pln.line::bigint AS line, item_name, {_m('price', 'amount')}, level::bigint AS stock_quantity,
         true AS complete FROM pln JOIN st ON st.txn = pln.txn AND st.line = pln.line AND role <> 'look'"""),
-    "txn_status": _with(["req", "times"], f"""SELECT txn, {_b('w', 'd')}, CASE WHEN txn % 89 <> 0 AND NOT approved THEN 'rejected'
-        WHEN result IS NOT NULL THEN 'complete' WHEN txn % 89 <> 0 AND approved THEN 'accepted' ELSE 'written' END AS status
-        FROM req JOIN times USING (txn)"""),
-    "stage_latency": _with(["times"], """SELECT txn, (txn % 5)::bigint AS written_ms, (txn % 50)::bigint AS accepted_ms,
-        (txn % 50 + 10)::bigint AS routed_ms, (txn % 120 * 1000)::bigint AS result_ms FROM times WHERE result IS NOT NULL"""),
-    "timeouts": _with(["times"], f"""SELECT txn, {_b('sent', 'result')} FROM times
-        WHERE approved AND (result IS NULL OR txn % 120 > 90)"""),
+    "txn_status": _with(["req", "shipped", "bad"], f"""SELECT req.txn, {_b('w', 'd')}, CASE WHEN result <= 883612800000 THEN 'complete'
+        WHEN req.ts > 883612800000 THEN 'written' WHEN req.txn IN (SELECT txn FROM bad) THEN 'rejected' ELSE 'accepted' END AS status
+        FROM req LEFT JOIN shipped ON shipped.txn = req.txn"""),
+    "stage_latency": _with(["shipped"], """SELECT txn, 0::bigint AS written_ms, (first - ts)::bigint AS accepted_ms,
+        (last - ts)::bigint AS routed_ms, (result - ts)::bigint AS result_ms FROM shipped
+        JOIN (SELECT l_orderkey AS txn, epoch_ms(min(l_shipdate)) AS first, epoch_ms(max(l_shipdate)) AS last FROM lineitem GROUP BY 1) USING (txn)
+        WHERE result IS NOT NULL"""),
+    "timeouts": _with(["shipped"], """SELECT txn, ts::bigint AS sent, result::bigint AS result FROM shipped
+        WHERE result IS NULL OR result - ts > 2592000000"""),
+    "bulk_stock_levels": _with(["bulkst"], f"SELECT {_b('stock_w', 'ts', 'line', 'level')}, item, txn, q::bigint AS quantity FROM bulkst WHERE role <> 'look'"),
+    "bulk_stock": _with(["bulkst"], "SELECT stock_w::bigint AS stock_w, item, arg_max(level, k)::bigint AS level FROM bulkst GROUP BY ALL"),
     "duration_stats": """SELECT event_type AS event, epoch_ms(date_trunc('day', ts)::timestamp)::bigint AS start, count(*) AS n,
         sum(value::decimal(12,2))::double / count(*) AS mean, count(*) FILTER (value > 90) AS over_limit,
         quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY ALL""",

@@ -119,20 +119,19 @@ def log_peek(x):
 
 
 def encoded_requests(x: Ledger) -> DataFrame:
-    nested = results.ordered_lines(
-        x.shop.lines.withColumns(
-            {"itemId": F.col("item").cast("int"), "supplyingWarehouseId": F.col("supply_w")}
-        ),
-        ["itemId", "supplyingWarehouseId", "quantity"],
-    ).select("txn", "part", F.transform("lines", lambda v: v.dropFields("line")).alias("lines"))
-    new = x.shop.orders.join(nested, "txn", "left").select(
-        F.lit("neworder").alias("type"),
-        "txn",
-        F.coalesce("part", F.lit(0)).alias("part"),
+    """The request log with JSON payloads. A new order is its header and a record for each line, whatever
+    its size; ``part`` is the line's number."""
+    new = x.shop.orders.select(
+        F.lit("neworder").alias("type"), "txn", F.lit(0).alias("part"),
+        records.encode(
+            type=F.lit("neworder"), customerId=F.col("c"), districtId=F.col("d"), warehouseId=F.col("w"), date=F.col("ts")
+        ).alias("value"),
+    )
+    lines = x.shop.lines.select(
+        F.lit("neworder-line").alias("type"), "txn", F.col("line").alias("part"),
         records.encode(
-            type=F.lit("neworder"), customerId=F.col("c"), districtId=F.col("d"), warehouseId=F.col("w"),
-            date=F.col("ts"),
-            lines=F.coalesce("lines", F.array().cast("array<struct<itemId:int,supplyingWarehouseId:int,quantity:int>>")),
+            type=F.lit("neworder-line"), lineNumber=F.col("line"), itemId=F.col("item"),
+            supplyingWarehouseId=F.col("supply_w"), quantity=F.col("quantity"),
         ).alias("value"),
     )
     paid = x.shop.payments.select(
@@ -144,7 +143,7 @@ def encoded_requests(x: Ledger) -> DataFrame:
             type=F.lit("delivery"), warehouseId=F.col("w"), carrierId=F.col("carrier"), deliveryDate=F.col("ts")
         ).alias("value"),
     )
-    return new.unionByName(paid).unionByName(done)
+    return new.unionByName(lines).unionByName(paid).unionByName(done)
 
 
 def encoded_payment():
@@ -162,13 +161,11 @@ def json_decode(x):
     new = records.decode(log, "neworder", records.REQUESTS).select(
         F.lit("neworder").alias("type"), "txn", F.col("r.warehouseId").alias("w"), F.col("r.districtId").alias("d"),
         F.col("r.customerId").alias("c"), F.col("r.date").alias("date"),
-        F.size("r.lines").alias("n_lines"),
-        F.aggregate("r.lines", F.lit(0), lambda a, v: a + v["quantity"]).alias("quantity"),
     )
-    # a huge order is several records
-    new = new.groupBy("type", "txn", "w", "d", "c", "date").agg(
-        F.sum("n_lines").alias("n_lines"), F.sum("quantity").alias("quantity")
+    lines = records.decode(log, "neworder-line", records.REQUESTS).groupBy("txn").agg(
+        F.count("*").alias("n_lines"), F.sum("r.quantity").alias("quantity")
     )
+    new = new.join(lines, "txn", "left").fillna(0, ["n_lines", "quantity"])
     paid = records.decode(log, "payment", records.REQUESTS).select(
         F.lit("payment").alias("type"), "txn", F.col("r.warehouseId").alias("w"), F.col("r.districtId").alias("d"),
         F.col("r.customerId").alias("c"), F.col("r.customerLastName").alias("last"), F.col("r.amount").alias("amount"),
@@ -415,6 +412,21 @@ def stock_levels(x):
     return x.moved.where("role <> 'look'").select("stock_w", "item", "ts", "txn", "line", "quantity", "level")
 
 
+@query
+def bulk_stock_levels(x):
+    """Levels where lines take up to 250 at once, so that one restocking may not do."""
+    moved = stock.movements(x.bulk_lines, any_quantity=True)
+    levels = stock.with_levels(moved, any_quantity=True, **x.stock_bounds)
+    return levels.where("role <> 'look'").select("stock_w", "item", "ts", "txn", "line", "quantity", "level")
+
+
+@query
+def bulk_stock(x):
+    """The levels these lines end with."""
+    moved = stock.movements(x.bulk_lines, any_quantity=True)
+    return stock.current_levels(moved, any_quantity=True, **x.stock_bounds)
+
+
 @query
 def home_stock_asof(x):
     """For every line, the level of its item at home just then."""
@@ -585,41 +597,32 @@ def merge_results(x):
     return results.merge_partials(parts, ["txn", "line"], ["item_name", "price", "amount", "stock_quantity"])
 
 
-def stage_times(x: Ledger) -> DataFrame:
-    """Made-up times per order: written, accepted, routed, result (null: none)."""
-    txn, ts = F.col("txn"), F.col("ts")
-    return x.approvals.select(
-        "txn", "approved", ts.alias("sent"),
-        (ts + txn % 5).alias("written"),
-        (ts + txn % 50).alias("accepted"),
-        (ts + txn % 50 + 10).alias("routed"),
-        F.when(F.col("approved") & (txn % 97 != 0), ts + txn % 120 * 1000).alias("result"),
-    )
-
-
 @query
 def txn_status(x):
-    times = stage_times(x)
-    seen = times.where("txn % 89 <> 0").select("txn", "approved")
-    done = times.where("result is not null").select("txn", F.lit(True).alias("done"))
+    """Each order request as seen at the start of 1998: approvals and deliveries up to then are known."""
+    seen = x.approvals.where(F.col("ts") <= AS_OF_MS).select("txn", "approved")
+    done = x.delivery_times.where(F.col("result") <= AS_OF_MS).select("txn", F.lit(True).alias("done"))
     return results.status(x.shop.orders.select("txn", "w", "d"), seen, done)
 
 
 @query
 def stage_latency(x):
-    times = stage_times(x).where("approved")
+    """From the request's entry in the log to the shipping of its first line, of its last line, and to its
+    delivery: times from the request log, the lines and the delivery log."""
+    sent = x.accepted.select("txn", F.col("ts").alias("sent"), F.col("ts").alias("written"))
     return results.stage_latency(
-        times.select("txn", "sent", "written"),
-        times.select("txn", "accepted"),
-        times.select("txn", "routed"),
-        times.select("txn", "result").where("result is not null"),
+        sent,
+        x.shipping_times.select("txn", F.col("first").alias("accepted")),
+        x.shipping_times.select("txn", F.col("last").alias("routed")),
+        x.delivery_times,
     )
 
 
 @query
 def timeouts(x):
-    times = stage_times(x).where("approved")
-    return results.timeouts(times.select("txn", "sent"), times.select("txn", "result"))
+    """Accepted orders not delivered within thirty days."""
+    sent = x.accepted.select("txn", F.col("ts").alias("sent"))
+    return results.timeouts(sent, x.delivery_times, 30 * 86_400_000)
 
 
 @query

@@ -13,12 +13,13 @@ from pyspark.sql import types as T
 # Payload fields per request type (schema DDL).
 REQUESTS = {
     "neworder": (
-        "type string, customerId int, districtId int, warehouseId int, date bigint, "
-        "lines array<struct<itemId: int, supplyingWarehouseId: int, quantity: int>>, "
-        "items array<struct<itemId: int, supplyingWarehouseId: int, quantity: int>>"
+        "type string, customerId bigint, districtId int, warehouseId int, date bigint, "
+        "lines array<struct<itemId: bigint, supplyingWarehouseId: int, quantity: int>>, "
+        "items array<struct<itemId: bigint, supplyingWarehouseId: int, quantity: int>>"
     ),
+    "neworder-line": "type string, lineNumber int, itemId bigint, supplyingWarehouseId int, quantity int",
     "payment": (
-        "type string, customerId int, customerLastName string, districtId int, warehouseId int, "
+        "type string, customerId bigint, customerLastName string, districtId int, warehouseId int, "
         "customerDistrictId int, customerWarehouseId int, amount decimal(12,2)"
     ),
     "delivery": "type string, warehouseId int, carrierId int, deliveryDate bigint",
@@ -27,19 +28,19 @@ REQUESTS = {
 # Payload fields per modification type (schema DDL).
 MODIFICATIONS = {
     "neworder": (
-        "type string, customerId int, districtId int, warehouseId int, orderId int, date bigint, "
-        "lines array<struct<lineNumber: int, itemId: int, supplyWarehouseId: int, deliveryDate: bigint, "
+        "type string, customerId bigint, districtId int, warehouseId int, orderId bigint, date bigint, "
+        "lines array<struct<lineNumber: int, itemId: bigint, supplyWarehouseId: int, deliveryDate: bigint, "
         "quantity: int, amount: decimal(12,2), distInfo: string, homeWarehouseStockLevel: int>>"
     ),
     "payment": (
-        "type string, districtId int, warehouseId int, customerId int, customerDistrictId int, "
+        "type string, districtId int, warehouseId int, customerId bigint, customerDistrictId int, "
         "customerWarehouseId int, amount decimal(12,2), balance decimal(12,2), customerData string"
     ),
     "delivery": (
-        "type string, orderId int, districtId int, warehouseId int, carrierId int, customerId int, "
+        "type string, orderId bigint, districtId int, warehouseId int, carrierId int, customerId bigint, "
         "deliveryDate bigint, orderTotal decimal(12,2)"
     ),
-    "remote-stock": "type string, itemId int, warehouseId int, stockLevel int",
+    "remote-stock": "type string, itemId bigint, warehouseId int, stockLevel int",
 }
 
 

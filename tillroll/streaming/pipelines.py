@@ -125,7 +125,7 @@ def stock_movements(accepted: DataFrame) -> DataFrame:
         "ts", "txn",
         F.col("l.line").alias("line"),
         F.when(supplies & at_home, "home").when(supplies, "supply").otherwise("look").alias("role"),
-        F.when(supplies, stock.checked(F.col("l.quantity"))).otherwise(0).alias("taken"),
+        F.when(supplies, stock.checked(F.col("l.quantity"), any_quantity=True)).otherwise(0).alias("taken"),
         initial_stock(F.col("l.item")).alias("opening"),
     )
 
