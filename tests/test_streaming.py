@@ -220,6 +220,29 @@ def test_queue_stream_from_an_earlier_run(spark, tmp_path):
     assert got == [(1, 1, 4, 70, 500), (2, 1, 5, 71, 600)]
 
 
+def test_status_stream(spark, tmp_path):
+    at = {n: str(tmp_path / n) for n in ("requests", "approvals", "results", "cp", "view")}
+    schema = {"requests": "type string, txn long", "approvals": "type string, txn long, approved boolean", "results": "type string, txn long"}
+    steps = [
+        ([("neworder", 1), ("neworder", 2), ("payment", 1), ("neworder", 3)], [("neworder", 1, True), ("neworder", 2, False)], []),
+        ([("neworder", 4)], [("payment", 1, True), ("neworder", 1, True)], [("neworder", 1), ("payment", 1)]),
+        ([], [], [("neworder", 3)]),  # a result before its approval
+    ]
+    seen = {}
+
+    def upsert(batch, n):
+        seen.update({(r.type, r.txn): r.status for r in batch.collect()})
+
+    for step in steps:
+        for name, part in zip(schema, step):
+            spark.createDataFrame(part, schema[name]).write.mode("append").parquet(at[name])
+        logs = [P_stream(spark, at[n], schema[n]) for n in schema]
+        P.start_view(P.status_stream(*logs), upsert, at["cp"]).awaitTermination()
+    assert seen == {
+        ("neworder", 1): "complete", ("neworder", 2): "rejected", ("payment", 1): "complete", ("neworder", 3): "complete", ("neworder", 4): "written"
+    }
+
+
 def test_result_tail(spark, tmp_path):
     from tillroll.functions.keys import pack_txn
 

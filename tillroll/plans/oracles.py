@@ -225,6 +225,11 @@ ORACLES: dict[str, str] = {
         {_m('w_tax', 'd_tax', 'discount')}, last, credit
         FROM req LEFT JOIN num ON num.txn = req.txn LEFT JOIN (SELECT txn, count(*) AS n FROM ln GROUP BY txn) l ON l.txn = req.txn
         JOIN cust ON cust.c = req.c JOIN wh ON wh.w = req.w JOIN dist ON dist.w = req.w AND dist.d = req.d"""),
+    "stream_order_status": _with(["state"], f"SELECT {_b('w', 'd', 'order_id', 'ts', 'txn', 'carrier', 'delivered')}, c, {_m('balance')} FROM state"),
+    "stream_recent_orders": _with(["rec"], f"SELECT {_b('w', 'd', 'order_id')}, txn, c FROM rec"),
+    "stream_deliveries": _with(["dd"], f"SELECT {_b('w', 'd', 'order_id', 'txn', 'ts', 'carrier')}, c, {_m('total')} FROM dd"),
+    "stream_balances": _with(["bal"], f"SELECT {_b('w', 'd', 'ts', 'kind', 'txn')}, c, {_m('change', 'balance')} FROM bal"),
+    "stream_credit_data": _with(["txt"], f"SELECT txn, c, {_b('c_w', 'c_d')}, data FROM txt"),
     "recent_orders": _with(["rec"], f"SELECT {_b('w', 'd', 'order_id')}, txn, c FROM rec"),
     "latest_orders": _with(["lastord"], f"SELECT {_b('w', 'd', 'order_id', 'ts')}, txn, c FROM lastord"),
     "latest_order_lines": _with(["lastord", "pln"], """SELECT txn, l.w::bigint AS w, l.d::bigint AS d, l.c, order_id, line::bigint AS line, item,

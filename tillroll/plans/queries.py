@@ -28,11 +28,14 @@ from tillroll.operators import (
 )
 from tillroll.plans.ledger import Ledger
 from tillroll.sources import generate, records
+from tillroll.streaming import pipelines as P
+from tillroll.streaming.replay import Replay
 from tillroll.sources.shop import MONEY, OPENING_BALANCE, PAYMENT, Shop, home, home_district
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 AS_OF_MS = 883612800000  # 1998-01-01
+BALANCE_LOG = "w int, d int, c bigint, ts bigint, kind int, txn bigint, change_cents bigint, balance_cents bigint"
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -656,6 +659,69 @@ def rebuild_equals_live(x):
     return rebuilt.join(live, ["stock_w", "item"], "full")
 
 
+# ---- kept up to date by streams ----------------------------------------------------------------
+
+
+def district_streams(r: Replay) -> None:
+    r.log(P.district_stream(r.accepted()), "district")
+
+
+@query
+def stream_deliveries(x):
+    """The queues as a stream: every order delivered."""
+    log = Replay(x).run(district_streams).read("district", P.DISTRICT_LOG)
+    total = (F.col("total_cents") / 100).alias("total")
+    return log.where("kind = 1").select("w", "d", "order_id", "txn", "ts", "carrier", "c", total)
+
+
+@query
+def stream_order_status(x):
+    """The view of customers as a stream: newest order, its delivery, balance."""
+    opening = round(float(OPENING_BALANCE) * 100)
+
+    def streams(r: Replay) -> None:
+        district_streams(r)
+        r.view(P.view_customers(r.accepted(), r.district(), r.middle, opening), "customers")
+
+    state = Replay(x).run(streams).latest("customers", ["w", "d", "c"]).where("order_id is not null")
+    balance = (F.col("balance_cents") / 100).alias("balance")
+    return state.select("w", "d", "c", "order_id", "ts", "txn", "carrier", "delivered", balance)
+
+
+@query
+def stream_recent_orders(x):
+    """The view of each district's newest orders as a stream."""
+
+    def streams(r: Replay) -> None:
+        district_streams(r)
+        r.log(P.recent_stream(r.district()), "recent")
+
+    log = Replay(x).run(streams).read("recent", P.RECENT_LOG)
+    newest = log.groupBy("w", "d").agg(F.max("newest").alias("newest"))
+    return log.join(newest, ["w", "d", "newest"]).select("w", "d", "order_id", "txn", "c")
+
+
+@query
+def stream_credit_data(x):
+    """The bad-credit texts as a stream."""
+    replay = Replay(x).run(lambda r: r.log(P.credit_stream(r.accepted(), r.middle, x.shop.customers), "credit"))
+    return replay.read("credit", P.CREDIT_LOG).select("txn", "c", "c_w", "c_d", "data")
+
+
+@query
+def stream_balances(x):
+    """Every balance the workers keep as a stream, payments and deliveries of a slice together."""
+    opening = round(float(OPENING_BALANCE) * 100)
+
+    def streams(r: Replay) -> None:
+        district_streams(r)
+        changes = P.balance_changes(r.accepted(), r.district(), r.middle)
+        r.log(P.balance_stream(changes, opening), "balances")
+
+    log = Replay(x).run(streams).read("balances", BALANCE_LOG)
+    return log.select("w", "d", "c", "ts", "kind", "txn", (F.col("change_cents") / 100).alias("change"), (F.col("balance_cents") / 100).alias("balance"))
+
+
 # ---- relational form -------------------------------------------------------------------------
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tillroll.functions.keys import txn_connection
+from tillroll.functions.text import bad_credit_prefix
 from tillroll.operators import stock, verify
+from tillroll.operators.accounts import DATA_LIMIT, PAYER
 from tillroll.sources.shop import DISTRICTS, PAYMENT, initial_stock
-from tillroll.streaming.state import Balances, DistrictQueue, StockLevels
+from tillroll.streaming.state import Balances, CreditText, DistrictQueue, RecentOrders, StockLevels
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -176,18 +178,20 @@ DISTRICT_LOG = (
 )
 
 
-def balance_changes(accepted: DataFrame, district_log: DataFrame, middle: DataFrame) -> DataFrame:
-    """Payments, their customer found by name where needed, and deliveries."""
+def resolved_payments(accepted: DataFrame, middle: DataFrame) -> DataFrame:
+    """Payments, their customer found by name where needed."""
     named = middle.select(
         F.col("w").alias("c_w"), F.col("d").alias("c_d"), "last", F.col("c").alias("_named")
     )
-    paid = (
-        accepted.where("type = 'payment'")
-        .join(named, ["c_w", "c_d", "last"], "left")
-        .select(
-            F.col("c_w").alias("w"), F.col("c_d").alias("d"), F.coalesce("c", "_named").alias("c"), "ts",
-            F.lit(PAYMENT).alias("kind"), "txn", (-cents(F.col("amount"))).alias("change_cents"),
-        )
+    paid = accepted.where("type = 'payment'").join(named, ["c_w", "c_d", "last"], "left")
+    return paid.withColumn("c", F.coalesce("c", "_named")).drop("_named")
+
+
+def balance_changes(accepted: DataFrame, district_log: DataFrame, middle: DataFrame) -> DataFrame:
+    """Payments and deliveries."""
+    paid = resolved_payments(accepted, middle).select(
+        F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c", "ts",
+        F.lit(PAYMENT).alias("kind"), "txn", (-cents(F.col("amount"))).alias("change_cents"),
     )
     owed = district_log.where("kind = 1").select(
         "w", "d", "c", "ts", "kind", "txn", F.col("total_cents").alias("change_cents")
@@ -206,7 +210,20 @@ def balance_stream(changes: DataFrame, opening_cents: int, start: DataFrame | No
     )
 
 
-# ---- views: plain streaming aggregates ---------------------------------------------
+def credit_stream(accepted: DataFrame, middle: DataFrame, customers: DataFrame) -> DataFrame:
+    """The text of each bad-credit customer after each payment; ``customers`` as the shop has them."""
+    bad = customers.where("credit = 'BC'").select(F.col("w").alias("c_w"), F.col("d").alias("c_d"), "c", "opening_data")
+    prefix = bad_credit_prefix(*[F.col(x) for x in ("c", "c_d", "c_w", "d", "w", "amount")])
+    theirs = resolved_payments(accepted, middle).join(bad, PAYER).withColumn("prefix", prefix)
+    return theirs.select(*PAYER, "ts", "txn", "prefix", "opening_data").groupBy(*PAYER).transformWithStateInPandas(
+        CreditText(DATA_LIMIT), CREDIT_LOG, outputMode="Append", timeMode="None"
+    )
+
+
+CREDIT_LOG = "c_w int, c_d int, c bigint, ts bigint, txn bigint, data string"
+
+
+# ---- views: plain streaming aggregates, but for the list of recent orders ---------------------------------------------
 
 
 def view_stock(levels: DataFrame) -> DataFrame:
@@ -220,6 +237,40 @@ def view_latest_orders(district_log: DataFrame) -> DataFrame:
     )
 
 
+def view_customers(accepted: DataFrame, district_log: DataFrame, middle: DataFrame, opening_cents: int) -> DataFrame:
+    """Per customer with orders or payments: balance, newest order, and its carrier and delivery time once it is
+    delivered. A district delivers in order, so that is when the newest order delivered is the newest."""
+    paid = resolved_payments(accepted, middle).select(
+        F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c", F.lit(PAYMENT).alias("kind"), (-cents(F.col("amount"))).alias("change"),
+    )
+    ordered = district_log.select(
+        "w", "d", "c", "kind", "ts", "txn", "order_id", "carrier", F.when(F.col("kind") == 1, F.col("total_cents")).alias("change")
+    )
+    placed = F.when(F.col("kind") == 0, F.col("order_id"))
+    done = F.when(F.col("kind") == 1, F.col("order_id"))
+    state = ordered.unionByName(paid, allowMissingColumns=True).groupBy("w", "d", "c").agg(
+        F.max(placed).alias("order_id"), F.max_by(F.struct("ts", "txn"), placed).alias("placed"),
+        F.max(done).alias("done_id"), F.max_by(F.struct("ts", "carrier"), done).alias("done"),
+        F.coalesce(F.sum("change"), F.lit(0)).alias("change"),
+    )
+    is_done = F.col("order_id") == F.col("done_id")
+    return state.select(
+        "w", "d", "c", "order_id", F.col("placed.ts").alias("ts"), F.col("placed.txn").alias("txn"),
+        F.when(is_done, F.col("done.carrier")).alias("carrier"), F.when(is_done, F.col("done.ts")).alias("delivered"),
+        (F.col("change") + opening_cents).alias("balance_cents"),
+    )
+
+
+def recent_stream(district_log: DataFrame, depth: int = 20) -> DataFrame:
+    """The newest orders of each district whenever it gets one; a reader keeps those with the largest ``newest``."""
+    return district_log.where("kind = 0").select("w", "d", "order_id", "txn", "c").groupBy("w", "d").transformWithStateInPandas(
+        RecentOrders(depth), RECENT_LOG, outputMode="Append", timeMode="None"
+    )
+
+
+RECENT_LOG = "w int, d int, order_id bigint, txn bigint, c bigint, newest bigint"
+
+
 def start_view(view: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand each batch's changed rows to ``upsert``."""
     return _start(view.writeStream.outputMode("update").foreachBatch(upsert), checkpoint)
@@ -233,6 +284,23 @@ def result_tail(results: DataFrame, connection: int, since_ms: int) -> DataFrame
 # ---- clients --------------------------------------------------------------------------
 
 
+def status_stream(requests: DataFrame, approvals: DataFrame, results: DataFrame) -> DataFrame:
+    """The status of each transaction as the logs tell it: written, accepted, rejected or complete.
+
+    ``requests``: type, txn; ``approvals``: type, txn, approved; ``results``: type, txn, one row when the result is
+    complete. Repeated records change nothing. A plain streaming aggregate, for update mode.
+    """
+    seen = requests.select("type", "txn").unionByName(approvals.select("type", "txn", "approved"), True).unionByName(
+        results.select("type", "txn", F.lit(True).alias("done")), True
+    )
+    flags = seen.groupBy(*REQUEST_KEY).agg(F.bool_and("approved").alias("approved"), F.bool_or("done").alias("done"))
+    return flags.select(
+        *REQUEST_KEY,
+        F.when(F.col("approved") == F.lit(False), "rejected").when(F.col("done"), "complete")
+        .when(F.col("approved"), "accepted").otherwise("written").alias("status"),
+    )
+
+
 def start_callbacks(statuses: DataFrame, callbacks: dict[str, Callable[[DataFrame], None]], checkpoint: str) -> StreamingQuery:
     """Call ``callbacks[status]`` with each batch's transactions of that status
     (written, accepted, rejected, complete); a transaction reaches a status once."""
