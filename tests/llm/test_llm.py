@@ -213,6 +213,22 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_gives_small_sources_their_targets(spark):
+    # few slots make blocks of a thousand words: larger than, or a few times, the small sources
+    sizes = {"a": 30, "b": 60_000, "c": 700, "d": 2500, None: 90}
+    rows = [(s, i) for s, n in sizes.items() for i in range(n // 10)]
+    df = spark.createDataFrame([(k, "w " * 10, s) for k, (s, _) in enumerate(rows)], "doc_id long, text string, source string")
+    for slots in (64, 1000, mixing.SLOTS):
+        taken, target = defaultdict(int), {}
+        for r in mixing.mixed_rows(df, slots=slots).collect():
+            taken[r.source_size] += r.taken
+            target[r.source_size] = r.target
+            assert 0 <= r.taken <= 3 * r.size
+        assert all(abs(taken[n] - target[n]) < 1 for n in sizes.values()) and sum(taken.values()) == sum(sizes.values())
+    mixed = mixing.mix(df, slots=64)
+    assert mixed.where("source = 'a'").count() == 9 and mixed.where("source = 'd'").select("doc_id").distinct().count() == 250
+
+
 # ---- 5 ---------------------------------------------------------------------------
 
 

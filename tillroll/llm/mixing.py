@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-The mix is at most SLOTS blocks of equal numbers of words. Slot k belongs to the source on whose stretch of the
-cumulative targets the golden-ratio point frac(k / golden ratio) falls; such points fill every stretch
-evenly from the start, so any run of slots has the sources near their shares, and the whole is within a
-few blocks of the targets. A source's slots are ranked, and its r-th slot takes the r-th block of its
-documents in shuffled order, starting again after the last. Blocks cut documents where they must.
+Slot k of the mix belongs to the source on whose stretch of the cumulative targets the golden-ratio point
+frac(k / golden ratio) falls; such points fill every stretch evenly from the start, so any run of slots has
+the sources near their shares. A source too small for a point gets one slot all the same. A source's
+quota, its target in whole words, is cut into as many equal blocks as it has slots, and its slot of rank r
+takes the r-th block of its documents in shuffled order, starting again after the last. So each source
+gives its quota to the word, whatever the number of slots. Blocks cut documents where they must.
 
 All of it is DataFrame operations. Running totals within a source are taken in buckets of the shuffled
 order, so that a large source is spread over as many tasks as it needs.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tillroll.session import settle
 
+#: Slots at most: how finely sources take turns, not how much is taken of them.
 SLOTS = 1 << 17
 #: The golden ratio's inverse times 2^32, rounded to an odd number.
 GOLDEN = 2654435769
@@ -36,12 +38,13 @@ def words_in(text: str) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target, position) for ``sizes`` (source, source_size), one row per source.
+    """(source, source_size, target, total, weight, upto, quota) for ``sizes`` (source, source_size), one row per source.
 
     The sources by code point, null last, weigh ``weights`` in turn and share the sum of all sizes. A target
     stops at REPEATS times its source's size; what is over goes to the others by weight. With the sources in
     order of the level (size by weight) at which they stop, the common level follows from running sums.
-    ``position`` is the sum of the targets before. Sources are few: one row each in one window.
+    ``upto`` is the sum of the targets so far, ``quota`` the target in whole words: what the rounded sum
+    grows by, so that quotas share the sum of all sizes too. Sources are few: one row each in one window.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -59,30 +62,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     s = s.withColumn("level", F.max("level").over(Window.partitionBy()))
     s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
     upto = F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))
-    return s.select("source", "source_size", "target", "total", "weight", upto.alias("upto"))
+    s = s.select("source", "source_size", "target", "total", "weight", "cap", upto.alias("upto"))
+    whole = F.round("upto").cast("bigint")
+    quota = F.greatest(F.lit(0), F.least(F.col("cap"), whole - F.coalesce(F.lag(whole).over(by_name), F.lit(0))))
+    return s.withColumn("quota", quota).drop("cap")
 
 
 def stretches(goals: DataFrame) -> DataFrame:
-    """(source, low, high): each source's stretch of the points 0 to 2^32, from ``targets``."""
+    """(source, low, high, used): each source's stretch of the points 0 to 2^32, from ``targets`` with used."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     whole = F.max("upto").over(Window.partitionBy())
     s = goals.withColumn("high", F.when(whole > 0, F.floor(F.col("upto") / whole * POINTS)).otherwise(F.lit(0)))
     s = s.withColumn("low", F.coalesce(F.lag("high").over(by_name), F.lit(0)))
-    return s.select("source", "low", "high")
+    return s.select("source", "low", "high", "used")
 
 
 def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(slot, source, rank): which source each slot takes its block from, and the rank of the slot among
-    the source's own, from 0. A source with target 0 has none."""
+    the source's own, from 0. There are no more slots than words. A source with quota 0 may have slots
+    that take nothing; one with a quota, but no point, shares a slot."""
     spark = goals.sparkSession
     width = POINTS // CELLS
+    # as many slots as blocks of equal size that hold all words
+    block = F.greatest(F.lit(1), F.ceil(F.col("total") / slots))
+    goals = goals.withColumn("used", F.ceil(F.col("total") / block))
     cells = stretches(goals).where("high > low").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))
     )
     point = F.pmod(F.col("id") * GOLDEN, F.lit(POINTS))
     drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"))
     drawn = drawn.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell")
-    drawn = drawn.where("point >= low and point < high").select("slot", "source", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    drawn = settle(drawn.where("point >= low and point < high and slot < used").select("slot", "source"))
+    having = drawn.select(F.col("source").alias("_source")).distinct()
+    small = goals.where("quota > 0").join(having, F.col("source").eqNullSafe(F.col("_source")), "left_anti")
+    drawn = drawn.union(small.select(F.pmod(F.xxhash64("source"), "used").alias("slot"), "source"))
+    drawn = drawn.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     before = _before(drawn, ["source"], "chunk", F.count("*"))
     inside = Window.partitionBy("source", "chunk").orderBy("slot")
     ranked = drawn.withColumn("at", F.row_number().over(inside) - 1).join(
@@ -114,7 +128,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int =
 
     Size: runs of anything but space and tab to carriage return (null and empty texts: 0). ``targets`` has
     the source's target; taken is the number of the document's words in the mix, repeats counted: between
-    0 and REPEATS times its size, and over a source near its target. Null is a source of its own. The
+    0 and REPEATS times its size, and over a source less than a word off its target. Null is a source of its own. The
     order within a source is by md5 of doc_id, then doc_id and size, so reruns agree; repeated rows stand
     one behind the other. An empty table gives no rows; if all sizes are 0, nothing is taken.
     """
@@ -132,27 +146,27 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int =
         .withColumn("at", F.col("at") + F.col("before"))
         .select("doc_id", "source", "size", "at")
     )
-    goal = goals.select(F.col("source").alias("_source"), "source_size", "target", "total")
-    placed = settle(placed.join(goal, same("source", "_source")).drop("_source"))
-
-    block = F.greatest(F.lit(1), F.ceil(F.col("total") / slots))
-    # how often each block is taken: the slots' ranks go round the source's blocks
-    blocks = F.ceil(F.col("source_size") / block)
-    ranked = schedule(goals, slots).join(goal, same("source", "_source"))
-    taken = (
-        ranked.where((F.col("slot") * block < F.col("total")) & (F.col("rank") < REPEATS * blocks))
-        .groupBy("source", F.pmod("rank", blocks).alias("block")).agg(F.count("*").alias("times"))
-        .withColumnsRenamed({"source": "_source", "block": "_block"})
-    )
-    parts = placed.where("size > 0").withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block)))
+    ranked = settle(schedule(goals, slots).select(F.col("source").alias("_source"), F.col("rank").alias("_rank")))
+    counts = ranked.groupBy(F.col("_source").alias("_of")).agg(F.count("*").alias("n"))
+    goal = goals.select(F.col("source").alias("_source"), "source_size", "target", "quota").join(counts, same("_source", "_of"), "left")
+    # written, so that its size is known and the join with the documents is not dealt by source
+    placed = settle(placed.join(settle(goal.drop("_of")), same("source", "_source")).drop("_source"))
+
+    # the source's words, round after round, end at its quota; block r starts at r * quota div n
+    parts = (
+        placed.where("size > 0 and quota > 0")
+        .withColumn("round", F.explode(F.expr("sequence(0L, (quota - 1) div source_size)")))
+        .withColumn("start", F.col("round") * F.col("source_size") + F.col("at"))
+        .withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("quota")))
+        .where("start < stop")
+        .withColumn("rank", F.explode(F.expr("sequence(((start + 1) * n - 1) div quota, (stop * n - 1) div quota)")))
     )
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("at"), F.col("block") * block)
+    words = F.least(F.col("stop"), F.expr("(rank + 1) * quota div n")) - F.greatest(F.col("start"), F.expr("rank * quota div n"))
     # source and place name a document with words; texts are not needed
     found = (
         parts.withColumn("words", words)
-        .join(taken, same("source", "_source") & (F.col("block") == F.col("_block")))
-        .groupBy("_source", F.col("at").alias("_at")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+        .join(ranked, same("source", "_source") & (F.col("rank") == F.col("_rank")))
+        .groupBy("_source", F.col("at").alias("_at")).agg(F.sum("words").alias("taken"))
     )
     out = placed.join(found, same("source", "_source") & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
