@@ -100,6 +100,38 @@ def test_models_tell_urls_apart(spark):
     assert len(right) == 80 and np.mean(right) > 0.9
 
 
+def test_ratios_use_every_count(spark):
+    rng, order = random.Random(4), url_filter.ORDER
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    urls = [f"http://{word(8)}.{end}/{word(70)}" for _ in range(4000) for end in ("com", "net/es")]
+    free = [f"http://{word(8)}.org/{word(9)}" for _ in range(20)] + [u.replace(".com/", ".org/") for u in urls[:400:20]]
+    df = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string").repartition(5)
+    got = url_filter.judge(df).withColumn("text", F.concat("host", "path"))
+    got = got.withColumn("aside", F.pmod(F.xxhash64("text"), F.lit(url_filter.HELD_OUT)) == 0).collect()
+    places = lambda t: (lambda s: ((s[i - j : i + 1], s[i - j : i]) for i in range(order, len(s)) for j in range(order + 1)))(
+        "\x02" * order + t + "\x03"
+    )
+    counts = defaultdict(lambda: [0, 0])
+    for r in got:
+        if r.rule is not None and not r.aside:
+            for gram, context in places(r.text):
+                for key in ((gram, 1), (context, 0)):
+                    counts[key][r.verdict == "block"] += 1
+    assert len(counts) > 1 << 20
+    seen = dict(counts)
+    for r in got:
+        if r.rule is None:
+            ratio, n = 0.0, len(r.text) + 1
+            steps = list(places(r.text))
+            for i in range(n):
+                p = [1 / 256, 1 / 256]
+                for gram, context in steps[i * (order + 1) : (i + 1) * (order + 1)]:
+                    g, c = seen.get((gram, 1), [0, 0]), seen.get((context, 0), [0, 0])
+                    p = [(g[k] + url_filter.SMOOTHING * p[k]) / (c[k] + url_filter.SMOOTHING) for k in (0, 1)]
+                ratio += np.log(p[0]) - np.log(p[1])
+            assert r.ratio == pytest.approx(ratio / n, abs=1e-9)
+
+
 # ---- 2 ---------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Two smoothed variable-order Markov models, of URLs that rules allow and of URLs
 each byte from up to ORDER bytes before it; a context that was never seen leaves the prediction to the next
 shorter one. The score is the difference of the two log-likelihoods per byte; the threshold is the one that
 separates best on rule-judged URLs that were not counted. N-grams are counted over all other
-rule-judged URLs; the models keep the MAX_GRAMS most frequent.
+rule-judged URLs, and every count is used: the counts stay a table. URLs are dealt to blocks of bounded size,
+each block asks the table for its distinct n-grams and contexts, and is scored with what is found.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ RULES = (
 )
 #: Bytes of context at most.
 ORDER = 4
-#: N-grams and contexts that the models keep: a bound on what is broadcast.
-MAX_GRAMS = 1 << 20
+#: Bytes of the texts, about, that are scored together.
+BLOCK_BYTES = 1 << 16
 #: Weight of the next shorter context's prediction, in counts.
 SMOOTHING = 2.0
 #: One rule-judged URL in so many is kept for the threshold.
@@ -114,27 +115,43 @@ class Model:
         return np.bincount(owner, np.log(p[0]) - np.log(p[1]), minlength=len(texts)) / n
 
 
-def fit(judged: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
-    """The models from (text, allowed boolean). Each n-gram is counted over all rows, pre-summed in tasks."""
-    counts = judged.mapInArrow(_count, "key bigint, allowed bigint, blocked bigint").groupBy("key").agg(
+def fit(judged: DataFrame) -> DataFrame:
+    """(key, allowed, blocked): all counts of the models, from (text, allowed boolean), pre-summed in tasks."""
+    return judged.mapInArrow(_count, "key bigint, allowed bigint, blocked bigint").groupBy("key").agg(
         F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")
     )
-    kept = counts.orderBy(F.desc(F.col("allowed") + F.col("blocked")), "key").limit(max_grams).toArrow().sort_by("key")
-    return Model(
-        kept.column("key").to_numpy().view(np.uint64), np.array([kept.column(c).to_numpy() for c in ("allowed", "blocked")], float)
-    )
 
 
-def _ratio(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [model.value.ratios(pack) for _, pack in packs(octets(batch.column("text")))]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(np.concatenate(out) if out else np.empty(0))], names=[*names, "ratio"]
-            )
+def _needed(rows: pa.Table) -> pa.Table:
+    """The distinct keys by which a block's texts are scored."""
+    keys = []
+    for _, pack in packs(octets(rows.column("text").combine_chunks())):
+        _, grams, contexts = _grams(pack)
+        keys.append(np.unique(np.concatenate(grams + contexts)))
+    key = np.unique(np.concatenate(keys))
+    return pa.table({"block": pa.array(np.full(len(key), rows.column("block")[0].as_py(), dtype=np.int64)), "key": pa.array(key.view(np.int64))})
+
 
-    return run
+def _ratio(rows: pa.Table, counts: pa.Table) -> pa.Table:
+    """A block's rows with their ratios, by the counts of its keys. A key that was not found was never seen."""
+    counts = counts.sort_by("key")
+    model = Model(
+        counts.column("key").to_numpy().view(np.uint64), np.array([counts.column(c).to_numpy() for c in ("allowed", "blocked")], float)
+    )
+    out = [model.ratios(pack) for _, pack in packs(octets(rows.column("text").combine_chunks()))]
+    return rows.select(["page_id", "host", "path", "rule"]).append_column("ratio", pa.array(np.concatenate(out) if out else np.empty(0)))
+
+
+def score(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(page_id, host, path, rule, ratio) for ``rows`` (the same, text, place) by the ``counts`` of ``fit``. Place is
+    a number dealt evenly from 0 on, by which rows go to blocks; ratios do not depend on it."""
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    rows = rows.withColumn("block", F.pmod("place", F.lit(size // BLOCK_BYTES + 1)).cast("bigint")).drop("place")
+    needed = rows.select("block", "text").groupBy("block").applyInArrow(_needed, "block bigint, key bigint")
+    found = needed.join(counts, "key").select("block", "key", "allowed", "blocked")
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+        _ratio, "page_id bigint, host string, path string, rule string, ratio double"
+    )
 
 
 def threshold(scored: DataFrame) -> float:
@@ -156,7 +173,7 @@ def threshold(scored: DataFrame) -> float:
     return cut * BIN
 
 
-def judge(pages: DataFrame, rules=RULES, order_limit: int = MAX_GRAMS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Returns (page_id, host, path, rule, verdict, ratio) for every row of ``pages`` (page_id bigint, url).
 
     The longest rule that fits decides; ``ratio`` decides the others. Null urls, and those without
@@ -164,16 +181,15 @@ def judge(pages: DataFrame, rules=RULES, order_limit: int = MAX_GRAMS) -> DataFr
     the plan. Repeated rows are counted and returned each; other columns are ignored. Without rule-judged
     URLs every ratio is 0 and all is allowed.
     """
-    spark = pages.sparkSession
     url = F.col("url")
     parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
-    parts = settle(parts.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)))
-    rows = parts.withColumn("text", F.concat("host", "path"))
-    judged = rows.where("rule is not null").select("text", (verdict_of(F.col("rule"), rules) == ALLOW).alias("allowed"))
-    aside = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    model = spark.sparkContext.broadcast(fit(judged.where(~aside), order_limit))
-    cut = threshold(judged.where(aside).mapInArrow(_ratio(model), "allowed boolean, ratio double"))
-    scored = rows.mapInArrow(_ratio(model), "page_id bigint, host string, path string, rule string, ratio double")
+    parts = parts.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
+    rows = settle(parts.withColumn("place", F.floor(F.rand(1) * (1 << 40)))).withColumn("text", F.concat("host", "path"))
+    allowed = (verdict_of(F.col("rule"), rules) == ALLOW).alias("allowed")
+    aside = F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(HELD_OUT)) == 0
+    counts = settle(fit(rows.where(F.col("rule").isNotNull() & ~aside).select("text", allowed)))
+    scored = settle(score(rows, counts))
+    cut = threshold(scored.where(F.col("rule").isNotNull() & aside).select(allowed, "ratio"))
     by_ratio = F.when(F.col("ratio") >= cut, F.lit(ALLOW)).otherwise(F.lit(BLOCK))
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce(verdict_of(F.col("rule"), rules), by_ratio).alias("verdict"), "ratio"
