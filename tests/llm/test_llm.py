@@ -444,6 +444,25 @@ def test_best_fit_decreasing():
         assert max(bins) < 5
 
 
+@pytest.mark.parametrize("share", [1 / 3, 1 / 10])
+def test_sharding_with_a_large_group(spark, share):
+    copies = int(6000 * share)
+    rows = [(i, "x" * 99) for i in range(copies)] + [(i, f"{i:099}") for i in range(copies, 6000)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()
+    loads, hot = defaultdict(int), {r.shard for r in got if r.doc_id < copies}
+    for r in got:
+        loads[r.shard] += r["size"]
+    assert sorted(loads) == list(range(16)) and len(hot) == 1
+    assert loads.pop(hot.pop()) == 100 * copies
+    assert max(loads.values()) - min(loads.values()) <= 0.05 * (6000 - copies) * 100 / 15
+
+
+def test_fewest_with_sizes_beyond_the_mean():
+    bins, capacity = sharding.fewest([1000, 500] + [1] * 100, 6)
+    assert bins[:2] == [0, 1] and capacity == 25
+    assert sorted(bins[2:].count(b) for b in range(6)) == [0, 0, 25, 25, 25, 25]
+
+
 # ---- 10 --------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Packing is done in two levels, so that no task and not the driver sees all group
 dealt by hash to tasks, and each task packs its own, largest first, each into the box with the
 tightest remaining room that holds it. Boxes hold a fixed share of all bytes, so there are a bounded number of
 them, however many groups there are; a group larger than a box is a box of its own. Then the boxes are
-packed the same way into as few shards of the given capacity as the method finds.
+packed the same way into the shards: a box beyond a shard's even share of what is left alone, the others with the
+smallest capacity that the method finds.
 
 Remaining rooms are kept in a balanced search tree (a treap), so a fit takes logarithmic time.
 """
@@ -89,16 +90,22 @@ def best_fit(sizes: Iterable[int], capacity: int) -> list[int]:
 
 
 def fewest(sizes: list[int], shards: int) -> tuple[list[int], int]:
-    """The smallest capacity, to about a ten-thousandth of the mean load, with which best fit needs no more than
-    ``shards`` bins; and the bins."""
-    total = sum(sizes)
-    low = max([math.ceil(total / shards), *sizes[:1], 1])
-    step = max(1, total // shards // 10_000)
+    """Bins for the sizes, given in descending order, no more than ``shards`` of them; and the capacity of the
+    shared ones. A size beyond the mean load of the bins left is alone in one. For the others it is the
+    smallest capacity, to about a ten-thousandth of the mean load, with which best fit needs no more bins
+    than are left."""
+    alone, total = 0, sum(sizes)
+    while alone < min(len(sizes), shards - 1) and sizes[alone] * (shards - alone) > total:
+        total -= sizes[alone]
+        alone += 1
+    rest, left = sizes[alone:], shards - alone
+    low = max([math.ceil(total / left), *rest[:1], 1])
+    step = max(1, total // left // 10_000)
     capacity = low
-    while max(bins := best_fit(sizes, capacity), default=0) >= shards:
+    while max(bins := best_fit(rest, capacity), default=0) >= left:
         capacity += step
         step += step // 4 + 1
-    return bins, capacity
+    return [*range(alone), *(alone + b for b in bins)], capacity
 
 
 def _boxes(capacity: int):
@@ -126,8 +133,8 @@ def _boxes(capacity: int):
 def pack(groups: DataFrame, shards: int, boxes: int = BOXES) -> DataFrame:
     """(key, shard) for ``groups`` (key, size bigint): into ``shards`` shards of near equal size.
 
-    Every group is in one shard whole. Sizes differ by about one part in ``boxes`` unless a single group is
-    larger than a shard's share, which then has a shard (almost) for itself. No groups: no rows.
+    Every group is in one shard whole. A group larger than the mean load of the shards left has a shard for
+    itself; the others differ by about one part in ``boxes``. No groups: no rows.
     """
     spark = groups.sparkSession
     stats = groups.agg(F.sum("size").alias("total"), F.count("*").alias("n")).first()
