@@ -65,7 +65,7 @@ def test_queries_equal_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
 
 
 # ---- 1 ---------------------------------------------------------------------------

@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import decontam, embed_dedup, jaccard_join, mixing, sharding, suffix_dedup, token_count, toxicity, url_filter, warc
+from tillroll.llm import (
+    collocation, decontam, embed_dedup, jaccard_join, mixing, quality, sharding, spelling, suffix_dedup, token_count, toxicity, url_filter, warc,
+)
 from tillroll.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,21 @@ def op2_decontamination(spark, folder):
     return decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op11_collocations(spark, folder):
+    return collocation.collocations(table(spark, folder, "documents"))
+
+
+@query
+def op12_quality(spark, folder):
+    return quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_spelling(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
 @query
 def op7_jaccard_join(spark, folder):
     return jaccard_join.jaccard_components(table(spark, folder, "documents"), 4, 85, 100)
