@@ -25,31 +25,46 @@ def stock_modifications(lines: DataFrame, moved: DataFrame) -> DataFrame:
     return bought.unionByName(remote, allowMissingColumns=True)
 
 
-def modification_log(
-    numbered: DataFrame, lines: DataFrame, moved: DataFrame, balances: DataFrame, payments: DataFrame,
-    texts: DataFrame, delivered: DataFrame,
-) -> DataFrame:
-    """All modifications in one table, keyed (txn, modification_id, type, line).
-
-    New orders and their lines stay apart, so an order of any size is many short rows.
-    ``lines`` have amount, dist_info and the home warehouse's level; ``moved`` the suppliers' levels;
-    ``texts`` (txn, data) the text after each payment of a bad-credit customer.
-    """
-    orders = numbered.select(
+def order_modifications(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
         F.lit("neworder").alias("type"), "txn", F.lit(NEW_ORDER_ID).alias("modification_id"), "ts",
         "w", "d", "c", "order_id", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
-    paid = payments.join(balances.select("txn", "kind", "balance").where("kind = 2").drop("kind"), "txn").select(
+
+
+def payment_modifications(paid: DataFrame) -> DataFrame:
+    """``paid``: payments with the balance and the customer's text (customer_data) after them."""
+    return paid.select(
         F.lit("payment").alias("type"), "txn", F.lit(PAYMENT_ID).alias("modification_id"), "ts",
         F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c",
-        F.col("amount").cast("decimal(22,2)").alias("amount"), "balance",
-    ).join(texts.select("txn", F.col("data").alias("customer_data")), "txn", "left")
-    done = delivered.select(
+        F.col("amount").cast("decimal(22,2)").alias("amount"), "balance", "customer_data",
+    )
+
+
+def delivery_modifications(delivered: DataFrame) -> DataFrame:
+    return delivered.select(
         F.lit("delivery").alias("type"), "txn", F.col("d").alias("modification_id"), "ts",
         "w", "d", "c", "order_id", "carrier", F.col("total").cast("decimal(22,2)").alias("amount"),
     )
-    out = orders
-    for part in (stock_modifications(lines, moved), paid, done):
+
+
+def modification_log(
+    numbered: DataFrame, lines: DataFrame, moved: DataFrame, balances: DataFrame, payments: DataFrame,
+    texts: DataFrame, delivered: DataFrame, customers: DataFrame,
+) -> DataFrame:
+    """All modifications in one table, keyed (txn, modification_id, type, line).
+
+    New orders and their lines stay apart, so an order of any size is many short rows.
+    ``lines`` have amount, dist_info and the home warehouse's level; ``moved`` the suppliers' levels;
+    ``texts`` (txn, data) the text after each payment of a bad-credit customer. Others keep the text
+    they opened with (``customers``: w, d, c, opening_data).
+    """
+    opening = customers.select(F.col("w").alias("c_w"), F.col("d").alias("c_d"), "c", "opening_data")
+    paid = payments.join(balances.select("txn", "kind", "balance").where("kind = 2").drop("kind"), "txn").join(
+        texts.select("txn", "data"), "txn", "left"
+    ).join(opening, ["c_w", "c_d", "c"], "left").withColumn("customer_data", F.coalesce("data", "opening_data"))
+    out = order_modifications(numbered)
+    for part in (stock_modifications(lines, moved), payment_modifications(paid), delivery_modifications(delivered)):
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -226,5 +226,5 @@ class Ledger:
     def modifications(self) -> DataFrame:
         return modifications.modification_log(
             self.log_orders, self.lines_at_home, self.moved, self.balances, self.payments,
-            self.credit_data, self.delivered,
+            self.credit_data, self.delivered, self.shop.customers,
         )

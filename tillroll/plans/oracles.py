@@ -149,6 +149,28 @@ def _m(*columns: str) -> str:
 _W_ADDR = ", ".join(f"w_{x}" for x in ("street1", "street2", "city", "state", "zip"))
 _D_ADDR = ", ".join(f"d_{x}" for x in ("street1", "street2", "city", "state", "zip"))
 
+# the parts of results, each from the warehouse that has it
+_RESULT_PARTS = """SELECT 'neworder' AS type, txn, ts::bigint AS ts, num.w::bigint AS w, (-1)::bigint AS line, 0::bigint AS seq,
+          (1 + 2 * n_lines)::bigint AS parts, order_id::bigint AS order_id, last, credit, discount::double AS discount,
+          w_tax::double AS w_tax, d_tax::double AS d_tax, NULL::varchar AS item_name, NULL::double AS price, NULL::double AS amount,
+          NULL::bigint AS stock_quantity, num.c::bigint AS c, NULL::double AS balance, NULL::varchar AS data, num.d::bigint AS d, NULL::bigint AS carrier
+        FROM num JOIN cust ON cust.c = num.c JOIN wh ON wh.w = num.w JOIN dist ON dist.w = num.w AND dist.d = num.d
+        UNION ALL SELECT 'neworder', txn, ts, w, line, 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL, item_name, price, amount, NULL, NULL, NULL, NULL, NULL, NULL FROM pln
+        UNION ALL SELECT 'neworder', txn, ts, stock_w, line, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, level, NULL, NULL, NULL, NULL, NULL
+          FROM st WHERE role <> 'look'
+        UNION ALL SELECT 'delivery', dlv.txn, dlv.ts, dlv.w, i, 0, 10, dd.order_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, i, dlv.carrier
+          FROM dlv CROSS JOIN range(1, 11) t(i) LEFT JOIN dd ON dd.txn = dlv.txn AND dd.d = i
+        UNION ALL SELECT 'payment', pay.txn, pay.ts, c_w, -1, 0, 1, NULL, cust.last, credit, discount, NULL, NULL, NULL, NULL, amount, NULL, pay.c, b.balance,
+          left(x.data, 200), c_d, NULL
+          FROM pay JOIN (SELECT txn, balance FROM bal WHERE kind = 2) b USING (txn) JOIN cust ON cust.c = pay.c AND cust.w = c_w AND cust.d = c_d
+          LEFT JOIN (SELECT txn, data FROM txt) x ON x.txn = pay.txn"""
+_LAST_PARTS = ", ".join(
+    f"arg_max({f}, seq) AS {f}" for f in (
+        "order_id", "last", "credit", "discount", "w_tax", "d_tax", "item_name", "price", "amount", "stock_quantity", "c", "balance",
+        "data", "d", "carrier",
+    )
+)
+
 ORACLES: dict[str, str] = {
     "request_log": _with(["allreq"], f"SELECT type, {_b('kind', 'txn', 'ts', 'w')} FROM allreq"),
     "route_counts": _with(["allreq"], f"SELECT type, {_b('w')}, count(*) AS n FROM allreq GROUP BY ALL"),
@@ -179,7 +201,7 @@ ORACLES: dict[str, str] = {
     "dedup_log": _with(["fan"], f"SELECT {_b('txn', 'w')}, 0::bigint AS copy FROM fan"),
     "compact_log": """SELECT user_id, value FROM (SELECT user_id, CASE WHEN event_type <> 'error' THEN value END AS value,
         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND value IS NOT NULL""",
-    "modification_log": _with(["num", "st", "bal", "pay", "dd", "pln", "txt"], """SELECT 'neworder' AS type, txn, 20::bigint AS modification_id, ts::bigint AS ts,
+    "modification_log": _with(["num", "st", "bal", "pay", "dd", "pln", "txt", "cust"], """SELECT 'neworder' AS type, txn, 20::bigint AS modification_id, ts::bigint AS ts,
           w::bigint AS w, d::bigint AS d, c, order_id, total::double AS amount, NULL::bigint AS item, NULL::bigint AS stock_level,
           NULL::double AS balance, NULL::bigint AS carrier, NULL::bigint AS line, NULL::bigint AS supply_w, NULL::bigint AS quantity,
           NULL::varchar AS dist_info, NULL::varchar AS customer_data FROM num
@@ -188,8 +210,10 @@ ORACLES: dict[str, str] = {
           FROM pln JOIN (SELECT txn, line, level FROM st WHERE role <> 'supply') USING (txn, line)
         UNION ALL SELECT 'remote-stock', txn, line, ts, stock_w, NULL, NULL, NULL, NULL, item, level, NULL, NULL, NULL, NULL, NULL, NULL, NULL
           FROM st WHERE role = 'supply'
-        UNION ALL SELECT 'payment', txn, 0, pay.ts, pay.c_w, pay.c_d, pay.c, NULL, amount, NULL, NULL, balance, NULL, NULL, NULL, NULL, NULL, t.data
+        UNION ALL SELECT 'payment', txn, 0, pay.ts, pay.c_w, pay.c_d, pay.c, NULL, amount, NULL, NULL, balance, NULL, NULL, NULL, NULL, NULL,
+          coalesce(t.data, cust.opening)
           FROM pay JOIN (SELECT txn, balance FROM bal WHERE kind = 2) USING (txn) LEFT JOIN (SELECT txn, data FROM txt) t USING (txn)
+          LEFT JOIN cust ON cust.c = pay.c AND cust.w = pay.c_w AND cust.d = pay.c_d
         UNION ALL SELECT 'delivery', txn, d, ts, w, d, c, order_id, total, NULL, NULL, NULL, carrier, NULL, NULL, NULL, NULL, NULL FROM dd"""),
     "verify_orders": _with(["req", "bad"], "SELECT txn, txn NOT IN (SELECT txn FROM bad) AS approved FROM req"),
     "verify_all": _with(["allreq", "bad"], """SELECT type, txn, type <> 'neworder' OR txn NOT IN (SELECT txn FROM bad) AS approved FROM allreq
@@ -229,6 +253,11 @@ ORACLES: dict[str, str] = {
     "stream_recent_orders": _with(["rec"], f"SELECT {_b('w', 'd', 'order_id')}, txn, c FROM rec"),
     "stream_deliveries": _with(["dd"], f"SELECT {_b('w', 'd', 'order_id', 'txn', 'ts', 'carrier')}, c, {_m('total')} FROM dd"),
     "stream_balances": _with(["bal"], f"SELECT {_b('w', 'd', 'ts', 'kind', 'txn')}, c, {_m('change', 'balance')} FROM bal"),
+    "stream_result_log": _with(["num", "cust", "wh", "dist", "pln", "st", "pay", "bal", "txt", "dlv", "dd"], _RESULT_PARTS),
+    "stream_results": _with(["num", "cust", "wh", "dist", "pln", "st", "pay", "bal", "txt", "dlv", "dd"], f"""
+        SELECT type, txn, line, 'complete' AS status, max(ts) AS ts, arg_max(w, seq) AS w, max(seq) AS seq, {_LAST_PARTS}
+        FROM ({_RESULT_PARTS}) GROUP BY type, txn, line"""),
+    "stream_views": _with(["state"], f"SELECT {_b('w', 'd', 'order_id', 'ts', 'txn', 'carrier', 'delivered')}, c, {_m('balance')} FROM state"),
     "stream_credit_data": _with(["txt"], f"SELECT txn, c, {_b('c_w', 'c_d')}, data FROM txt"),
     "recent_orders": _with(["rec"], f"SELECT {_b('w', 'd', 'order_id')}, txn, c FROM rec"),
     "latest_orders": _with(["lastord"], f"SELECT {_b('w', 'd', 'order_id', 'ts')}, txn, c FROM lastord"),
@@ -368,3 +397,6 @@ ORACLES: dict[str, str] = {
         CASE WHEN order_id * 10 <= n * 7 THEN order_id % 10 + 1 END AS carrier
         FROM gord, range(0, 15) t(i) WHERE i < 5 + order_id % 11"""),
 }
+
+ORACLES["stream_modification_log"] = ORACLES["modification_log"]
+ORACLES["stream_stock_level"] = ORACLES["stock_level"]

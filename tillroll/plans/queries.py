@@ -29,6 +29,7 @@ from tillroll.operators import (
 from tillroll.plans.ledger import Ledger
 from tillroll.sources import generate, records
 from tillroll.streaming import pipelines as P
+from tillroll.streaming import workers
 from tillroll.streaming.replay import Replay
 from tillroll.sources.shop import MONEY, OPENING_BALANCE, PAYMENT, Shop, home, home_district
 
@@ -722,6 +723,63 @@ def stream_balances(x):
     return log.select("w", "d", "c", "ts", "kind", "txn", (F.col("change_cents") / 100).alias("change"), (F.col("balance_cents") / 100).alias("balance"))
 
 
+def worked(r: Replay) -> None:
+    r.work()
+    r.account()
+
+
+@query
+def stream_modification_log(x):
+    """The modification log as the workers' streams write it."""
+    return Replay(x).run(worked, lines=True).read("modifications", workers.MODIFICATION)
+
+
+@query
+def stream_result_log(x):
+    """The parts of results as the workers' streams write them, each from the warehouse that has it."""
+    return Replay(x).run(worked, lines=True).read("results", workers.RESULT)
+
+
+@query
+def stream_results(x):
+    """Each transaction's result, put together from its parts as they come."""
+
+    def streams(r: Replay) -> None:
+        worked(r)
+        r.log(workers.merged_stream(r.results()), "merged")
+
+    return Replay(x).run(streams, lines=True).read("merged", workers.MERGED)
+
+
+@query
+def stream_stock_level(x):
+    """Items of each district's newest orders that are low, kept up to date from the modification log."""
+    threshold = ((F.col("w") * 10 + F.col("d")) % 11 + 10).alias("threshold")
+
+    def streams(r: Replay) -> None:
+        r.work()
+        r.log(workers.stock_level_stream(r.modifications(), r.modifications(), threshold), "low")
+
+    low = Replay(x).run(streams, lines=True).read("low", workers.LOW).groupBy("w", "d").agg(F.sum("change").alias("low"))
+    return x.thresholds.join(low, ["w", "d"], "left").withColumn("low", F.coalesce("low", F.lit(0)))
+
+
+@query
+def stream_views(x):
+    """The view of customers from the modification log alone, repeats left out."""
+    opening = round(float(OPENING_BALANCE) * 100)
+
+    def streams(r: Replay) -> None:
+        worked(r)
+        with workers.once(r.spark):
+            r.log(workers.first_copies(r.modifications(), workers.MODIFICATION_KEY), "told")
+        r.view(P.customer_view(workers.customer_events(r._stream("told", workers.MODIFICATION)), opening), "customers")
+
+    state = Replay(x).run(streams, lines=True).latest("customers", ["w", "d", "c"]).where("order_id is not null")
+    balance = (F.col("balance_cents") / 100).alias("balance")
+    return state.select("w", "d", "c", "order_id", "ts", "txn", "carrier", "delivered", balance)
+
+
 # ---- relational form -------------------------------------------------------------------------
 
 

@@ -147,8 +147,8 @@ def cents(money: Column) -> Column:
     return (money * 100).cast("long")
 
 
-def district_events(accepted: DataFrame) -> DataFrame:
-    """Orders (kind 0, at their home warehouse) and polls (kind 1, ten per delivery)."""
+def district_events(accepted: DataFrame, *more: str) -> DataFrame:
+    """Orders (kind 0, at their home warehouse) and polls (kind 1, ten per delivery), with ``more`` of their columns."""
     is_order = F.col("type") == "neworder"
     districts = F.when(is_order, F.array("d")).otherwise(F.sequence(F.lit(1), F.lit(DISTRICTS)))
     return (
@@ -156,7 +156,7 @@ def district_events(accepted: DataFrame) -> DataFrame:
         .withColumn("d", F.explode(districts))
         .select(
             "w", "d", "ts", F.when(is_order, 0).otherwise(1).alias("kind"), "txn", "c",
-            cents(F.col("total")).alias("total_cents"), "carrier",
+            cents(F.col("total")).alias("total_cents"), "carrier", *more,
         )
     )
 
@@ -238,17 +238,25 @@ def view_latest_orders(district_log: DataFrame) -> DataFrame:
 
 
 def view_customers(accepted: DataFrame, district_log: DataFrame, middle: DataFrame, opening_cents: int) -> DataFrame:
-    """Per customer with orders or payments: balance, newest order, and its carrier and delivery time once it is
-    delivered. A district delivers in order, so that is when the newest order delivered is the newest."""
+    """``customer_view`` of the accepted and district logs."""
     paid = resolved_payments(accepted, middle).select(
         F.col("c_w").alias("w"), F.col("c_d").alias("d"), "c", F.lit(PAYMENT).alias("kind"), (-cents(F.col("amount"))).alias("change"),
     )
     ordered = district_log.select(
         "w", "d", "c", "kind", "ts", "txn", "order_id", "carrier", F.when(F.col("kind") == 1, F.col("total_cents")).alias("change")
     )
+    return customer_view(ordered.unionByName(paid, allowMissingColumns=True), opening_cents)
+
+
+def customer_view(events: DataFrame, opening_cents: int) -> DataFrame:
+    """Per customer with orders or payments: balance, newest order, and its carrier and delivery time once it is
+    delivered. A district delivers in order, so that is when the newest order delivered is the newest.
+
+    ``events``: w, d, c, kind (0 order, 1 delivery), ts, txn, order_id, carrier, change (of the balance, in cents).
+    """
     placed = F.when(F.col("kind") == 0, F.col("order_id"))
     done = F.when(F.col("kind") == 1, F.col("order_id"))
-    state = ordered.unionByName(paid, allowMissingColumns=True).groupBy("w", "d", "c").agg(
+    state = events.groupBy("w", "d", "c").agg(
         F.max(placed).alias("order_id"), F.max_by(F.struct("ts", "txn"), placed).alias("placed"),
         F.max(done).alias("done_id"), F.max_by(F.struct("ts", "carrier"), done).alias("done"),
         F.coalesce(F.sum("change"), F.lit(0)).alias("change"),
