@@ -13,6 +13,9 @@ family of edited copies, that is the least edited one). Then only pairs whose tw
 are not yet in one component are formed, each with one side outside the shingle's most frequent
 component. A pair left out is one whose nodes are connected already, so components are exact.
 
+Prefix rows travel packed: those of many documents that go to one bucket of shingles are one compressed block, in which
+each node stands once. Texts travel compressed, one for each node of a pair to verify.
+
 Rarity comes from counts in 2^20 hashed slots over all documents. Slots shared by chance add nearly the
 same to every count; the order only has to be the same everywhere for results to be right. Shingles
 are compared by 64-bit hashes, equal sets by a 64-bit digest of them.
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import graph, sums
-from tillroll.llm.text import octets, packs, shingle_sets, signed
+from tillroll.llm.text import PACK_BYTES, mix, octets, packs, shingle_sets, signed
 from tillroll.session import settle
 
 SLOT_BITS = 20
@@ -37,6 +40,10 @@ SLOTS = 1 << SLOT_BITS
 #: Nodes at one prefix shingle above which they are dealt over several hubs.
 HOT = 50_000
 SUFFIX_PARTS = 64
+#: Prefix rows of a bucket of shingles, about; and rows a task packs at a time.
+BUCKET_ROWS = 400_000
+PACKED_ROWS = 1_000_000
+_ZSTD = pa.Codec("zstd")
 
 
 def node_of(s: np.ndarray) -> int:
@@ -48,46 +55,101 @@ def slots_of(s: np.ndarray) -> np.ndarray:
 
 
 def _profile(size: int):
-    """Per document its set's size and node; per task the slot counts."""
+    """Per document its set's size and node, and the compressed text where the node is new to the task; per task the
+    slot counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
+        seen: set[int] = set()
         for batch in batches:
-            n, nodes = [], []
+            n, nodes, texts = [], [], []
             for _, pack in packs(octets(batch.column("text"))):
                 sets = shingle_sets(pack, size)
                 n += [len(s) for s in sets]
-                nodes += [node_of(s) if len(s) else None for s in sets]
+                for s, text in zip(sets, pack):
+                    node = node_of(s) if len(s) else None
+                    nodes.append(node)
+                    texts.append(None if node is None or node in seen else squeeze(text))
+                    seen.add(node)
                 counts += np.bincount(slots_of(np.concatenate(sets)), minlength=SLOTS)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "check": batch.column("check"), "n": pa.array(n, pa.int64()),
-                "node": pa.array(nodes, pa.int64()), "segment": pa.nulls(len(n), pa.int32()),
+                "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()),
+                "node": pa.array(nodes, pa.int64()), "packed": pa.array(texts, pa.binary()), "segment": pa.nulls(len(n), pa.int32()),
                 "counts": pa.nulls(len(n), pa.binary()),
             })
         ids, parts = sums.segments(counts)
         none = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": none, "check": none, "n": none, "node": none,
+            "doc_id": none, "n": none, "node": none, "packed": pa.nulls(len(ids), pa.binary()),
             "segment": pa.array(ids, pa.int32()), "counts": pa.array(parts, pa.binary()),
         })
 
     return run
 
 
-PROFILE = "doc_id bigint, check bigint, n bigint, node bigint, segment int, counts binary"
+PROFILE = "doc_id bigint, n bigint, node bigint, packed binary, segment int, counts binary"
+
+
+def squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: what is alike stands together."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
-def _prefixes(size: int, num: int, den: int, shared, hot: int):
-    """A row for each prefix shingle of each set: shingle, deal (the hub group of hot shingles), node,
-    and set size and position packed in ``np``. Equal sets of one task come once."""
+def _block(token: np.ndarray, deal: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray) -> bytes:
+    """Rows sorted by token as one compressed block."""
+    nodes, first, which = np.unique(node, return_index=True, return_inverse=True)
+    step = np.diff(token, prepend=np.uint64(0))
+    columns = [
+        step.astype("<u8"), deal.astype("<i4"), which.astype("<i4"), at.astype("<i4"), nodes.astype("<i8"), n[first].astype("<i8"),
+    ]
+    return len(token).to_bytes(8, "little") + squeeze(b"".join(_planes(c) for c in columns))
+
+
+def _rows(block: bytes) -> tuple[np.ndarray, ...]:
+    """token, deal, node, n and place of a block's rows."""
+    size, data = int.from_bytes(block[:8], "little"), unsqueeze(block[8:])
+    step, deal, which, at = (_numbers(data[a * size : b * size], k) for a, b, k in ((0, 8, "<u8"), (8, 12, "<i4"), (12, 16, "<i4"), (16, 20, "<i4")))
+    rest = data[20 * size :]
+    nodes, n = _numbers(rest[: len(rest) // 2], "<i8"), _numbers(rest[len(rest) // 2 :], "<i8")
+    return np.cumsum(step), deal.astype(np.int64), nodes[which], n[which], at.astype(np.int64)
+
+
+def _prefixes(size: int, num: int, den: int, shared, hot: int, buckets: int):
+    """The prefix shingles of each set, in blocks by bucket: shingle, deal (the hub group of hot shingles), node, set size and
+    place. Equal sets of one task come once."""
+
+    def blocks(held: list[tuple]) -> pa.RecordBatch:
+        token, deal, node, n, at = (np.concatenate(c) for c in zip(*held))
+        bucket = (mix(token ^ (deal.astype(np.uint64) << np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((token, bucket))
+        bucket = bucket[order]
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = order[a:b]
+            out.append(_block(token[rows], deal[rows], node[rows], n[rows], at[rows]))
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]].astype(np.int32)), "rows": pa.array(out, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         usual = counts.mean()
         seen: set[int] = set()
+        held, rows = [], 0
         for batch in batches:
             for _, pack in packs(octets(batch.column("text"))):
-                out = []
                 for s in shingle_sets(pack, size):
                     n = len(s)
                     if not n or (node := node_of(s)) in seen:
@@ -97,18 +159,43 @@ def _prefixes(size: int, num: int, den: int, shared, hot: int):
                     rare_first = np.argsort(count, kind="stable")[: n - (num * n + den - 1) // den + 1]
                     deals = (np.maximum(count[rare_first] - usual - 6 * usual**0.5, 0) // hot).astype(np.int64)
                     deal = np.where(deals > 0, np.abs(node) % (deals + 1) + 1, 0)
-                    out.append((s[rare_first], deal, np.full(len(deal), node), (n << 32) + np.arange(len(deal))))
-                if out:
-                    token, deal, node, at = (np.concatenate(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_pydict({
-                        "token": pa.array(signed(token)), "deal": pa.array(deal.astype(np.int32)),
-                        "node": pa.array(node), "np": pa.array(at),
-                    })
+                    held.append((s[rare_first], deal, np.full(len(deal), node), np.full(len(deal), n), np.arange(len(deal))))
+                    rows += len(deal)
+                if rows > PACKED_ROWS:
+                    yield blocks(held)
+                    held, rows = [], 0
+        if held:
+            yield blocks(held)
 
     return run
 
 
-PREFIX = "token bigint, deal int, node bigint, np bigint"
+MET = "token bigint, node bigint, n bigint, i bigint, hub bigint"
+
+
+def _meet(num: int, den: int):
+    """Of one bucket the rows of shingles that several nodes have: with the shingle's hub, where that can match."""
+
+    def run(table: pa.Table) -> pa.Table:
+        token, deal, node, n, i = (np.concatenate(c) for c in zip(*(_rows(b) for b in table.column("rows").to_pylist())))
+        order = np.lexsort((node, i, deal, token))
+        token, deal, node, n, i = (c[order] for c in (token, deal, node, n, i))
+        # a node that came from several tasks counts once
+        again = np.concatenate([[False], (token[1:] == token[:-1]) & (deal[1:] == deal[:-1]) & (i[1:] == i[:-1]) & (node[1:] == node[:-1])])
+        token, deal, node, n, i = (c[~again] for c in (token, deal, node, n, i))
+        first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (deal[1:] != deal[:-1])]))
+        size = np.diff(np.append(first, len(token)))
+        hub = np.repeat(first, size)
+        keep = np.flatnonzero((np.repeat(size, size) > 1) | (deal > 0))
+        token, node, n, i, hub, hub_n, hub_i = token[keep], node[keep], n[keep], i[keep], node[hub[keep]], n[hub[keep]], i[hub[keep]]
+        needed = -(-(n + hub_n) * num // (num + den))
+        match = (np.minimum(n, hub_n) * den >= np.maximum(n, hub_n) * num) & (1 + np.minimum(n - i - 1, hub_n - hub_i - 1) >= needed)
+        match &= node != hub
+        return pa.table({
+            "token": pa.array(signed(token)), "node": pa.array(node), "n": pa.array(n), "i": pa.array(i), "hub": pa.array(hub, mask=~match),
+        })
+
+    return run
 
 
 def overlap_needed(na: Column, nb: Column, num: int, den: int) -> Column:
@@ -140,11 +227,12 @@ def reaches(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 def _verify(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = octets(batch.column("text_a")), octets(batch.column("text_b"))
             keep = []
-            for first, pack in packs([(x or b"") for x in a]):
-                others = [x or b"" for x in b[first : first + len(pack)]]
-                sets = zip(shingle_sets(pack, size), shingle_sets(others, size))
+            # a few pairs at a time, by their size compressed
+            a, b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
+            for first, pack in packs(a, PACK_BYTES // 4):
+                others = b[first : first + len(pack)]
+                sets = zip(*(shingle_sets([unsqueeze(x) for x in side], size) for side in (pack, others)))
                 keep += [reaches(x, y, num, den) for x, y in sets]
             yield pa.RecordBatch.from_pydict({
                 "a": batch.column("a").filter(pa.array(keep, pa.bool_())),
@@ -169,48 +257,36 @@ def jaccard_components(
     """
     spark = docs.sparkSession
     source = docs.select("doc_id", "text")
-    profile = settle(source.withColumn("check", F.xxhash64("text")).select("doc_id", "check", "text").mapInArrow(_profile(size), PROFILE))
-    known = profile.where("segment is null").drop("segment", "counts")
+    profile = settle(source.mapInArrow(_profile(size), PROFILE))
+    known = profile.where("segment is null").select("doc_id", "n", "node")
     counts = sums.total(profile.where("segment is not null"), SLOTS)
     shared = spark.sparkContext.broadcast(counts)  # 2^20 numbers, whatever the input
 
-    prefix = source.select("text").mapInArrow(_prefixes(size, num, den, shared, hot), PREFIX)
-    group = Window.partitionBy("token", "deal")
-    met = settle(
-        prefix.withColumn("hub", F.min(F.struct((F.col("np") % (1 << 32)).alias("i"), "node", "np")).over(group))
-        .withColumn("last", F.max("node").over(group))
-        .withColumn("first", F.min("node").over(group))
-        .where("first <> last or deal > 0")
-        .select(
-            "token", "node", F.shiftright("np", 32).alias("n"), (F.col("np") % (1 << 32)).alias("i"),
-            F.col("hub.node").alias("hub"), F.shiftright("hub.np", 32).alias("hub_n"), F.col("hub.i").alias("hub_i"),
-        )
-        .distinct()
-    )
-    # one text for each node that meets another
-    nodes = met.select("node").distinct()
-    chosen = (
-        known.where("doc_id is not null").join(nodes, "node", "left_semi")
-        .groupBy("node").agg(F.min(F.struct("doc_id", "check")).alias("x")).select("node", "x.*")
-    )
-    found = source.withColumn("check", F.xxhash64("text")).join(chosen, ["doc_id", "check"]).select("node", "text")
-    texts = settle(found.dropDuplicates(["node"]))
+    rows = known.agg(F.sum(F.col("n") * (den - num) / den + 1)).first()[0] or 0
+    buckets = max(1, -(-int(rows) // BUCKET_ROWS))
+    prefix = source.select("text").mapInArrow(_prefixes(size, num, den, shared, hot, buckets), "bucket int, rows binary")
+    met = settle(prefix.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(num, den), MET))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(left, "a").join(right, "b").mapInArrow(_verify(size, num, den), "a bigint, b bigint")
+        pairs = settle(pairs)
+        # one text for each node of a pair; other texts stay where they are while the pairs are few
+        nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        texts = profile.where("packed is not null").select("node", "packed").join(nodes, "node", "left_semi")
+        texts = texts.groupBy("node").agg(F.first("packed").alias("packed"))
+        left = texts.select(F.col("node").alias("a"), F.col("packed").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("packed").alias("text_b"))
+        # dealt by node at every size: one plan, whose shuffles grow with the texts
+        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").mapInArrow(_verify(size, num, den), "a bigint, b bigint")
 
     def ends(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     c = F.col
-    stars = met.where("node <> hub").where(_can_match(c("n"), c("i"), c("hub_n"), c("hub_i"), num, den))
-    links = settle(linked(stars.select(*ends("node", "hub")).distinct()))
+    links = settle(linked(met.where("hub is not null").select(*ends("node", "hub")).distinct()))
     so_far = graph.components(links)
 
     # what stars leave: pairs at one shingle between different components
-    placed = met.select("token", "node", "n", "i").distinct().join(so_far, "node", "left")
+    placed = met.select("token", "node", "n", "i").join(so_far, "node", "left")
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("token", "component").agg(F.count("*").alias("k"))
     mixed = sizes.groupBy("token").agg(
