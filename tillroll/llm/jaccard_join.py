@@ -4,7 +4,7 @@ Method. A set's shingles are put in one global order, rare ones first. Two sets
 threshold share a shingle within their *prefixes*, the first ``n - ceil(t n) + 1`` shingles, so
 documents meet only at prefix shingles. Of those that meet, the length filter (sizes within
 t), the positional filter (what can still follow the shared shingle) and the suffix filter (a lower
-bound on the difference, from counts by hash range) remove what cannot reach t; each remaining pair
+bound on the difference, from counts by hash range, a few bytes a set) remove what cannot reach t; each remaining pair
 is verified once, on the texts' full sets.
 
 Groups of copies do not become all their pairs. Equal sets are one node from the start. At each prefix
@@ -62,32 +62,53 @@ def _profile(size: int):
         counts = np.zeros(SLOTS, dtype=np.int64)
         seen: set[int] = set()
         for batch in batches:
-            n, nodes, texts = [], [], []
+            n, nodes, texts, parts = [], [], [], []
             for _, pack in packs(octets(batch.column("text"))):
                 sets = shingle_sets(pack, size)
                 n += [len(s) for s in sets]
                 for s, text in zip(sets, pack):
                     node = node_of(s) if len(s) else None
                     nodes.append(node)
-                    texts.append(None if node is None or node in seen else squeeze(text))
+                    new = node is not None and node not in seen
+                    texts.append(squeeze(text) if new else None)
+                    parts.append(part_counts(s) if new else None)
                     seen.add(node)
                 counts += np.bincount(slots_of(np.concatenate(sets)), minlength=SLOTS)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()),
-                "node": pa.array(nodes, pa.int64()), "packed": pa.array(texts, pa.binary()), "segment": pa.nulls(len(n), pa.int32()),
+                "node": pa.array(nodes, pa.int64()), "packed": pa.array(texts, pa.binary()), "parts": pa.array(parts, pa.binary()), "segment": pa.nulls(len(n), pa.int32()),
                 "counts": pa.nulls(len(n), pa.binary()),
             })
         ids, parts = sums.segments(counts)
         none = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": none, "n": none, "node": none, "packed": pa.nulls(len(ids), pa.binary()),
+            "doc_id": none, "n": none, "node": none, "packed": pa.nulls(len(ids), pa.binary()), "parts": pa.nulls(len(ids), pa.binary()),
             "segment": pa.array(ids, pa.int32()), "counts": pa.array(parts, pa.binary()),
         })
 
     return run
 
 
-PROFILE = "doc_id bigint, n bigint, node bigint, packed binary, segment int, counts binary"
+PROFILE = "doc_id bigint, n bigint, node bigint, packed binary, parts binary, segment int, counts binary"
+
+
+def part_counts(s: np.ndarray) -> bytes:
+    """A set's shingles by hash range, a byte each: counts from 255 on are 255, which brings no two sets further apart."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - 6)).astype(np.int64), minlength=SUFFIX_PARTS), 255).astype(np.uint8).tobytes()
+
+
+def _near_enough(num: int, den: int):
+    """The pairs whose counts by hash range allow num/den: |a ^ b| is at least what the counts differ by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SUFFIX_PARTS).astype(np.int64) for c in ("parts_a", "parts_b"))
+            apart = np.abs(a - b).sum(axis=1)
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            keep = pa.array((den + num) * (total - apart) >= 2 * num * total)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("a", "b")})
+
+    return run
 
 
 def squeeze(data: bytes) -> bytes:
@@ -267,8 +288,13 @@ def jaccard_components(
     prefix = source.select("text").mapInArrow(_prefixes(size, num, den, shared, hot, buckets), "bucket int, rows binary")
     met = settle(prefix.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_meet(num, den), MET))
 
+    shapes = profile.where("packed is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    shapes = settle(shapes.select("node", "n", "parts"))
+
     def linked(pairs: DataFrame) -> DataFrame:
-        pairs = settle(pairs)
+        for side in ("a", "b"):
+            pairs = pairs.join(shapes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}")), side)
+        pairs = settle(pairs.mapInArrow(_near_enough(num, den), "a bigint, b bigint"))
         # one text for each node of a pair; other texts stay where they are while the pairs are few
         nodes = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         texts = profile.where("packed is not null").select("node", "packed").join(nodes, "node", "left_semi")
