@@ -45,7 +45,9 @@ def edge_rows():
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(edge_rows(), "doc_id long, text string, source string")
-    clash = "n node token size block first key pack rank bytes a b component check toxic score text_crc32 shard slot order bucket".split()
+    clash = "n node token size block first key pack rank bytes a b component check toxic score text_crc32 shard slot order bucket "
+    clash += "_key _bucket _at _before _n _times _copy _source row own id mark key its_key times slots"
+    clash = clash.split()
     return df.withColumns({c: F.lit(f"other {c}") for c in clash}).repartition(3)
 
 
@@ -89,6 +91,16 @@ def test_rules_and_ratio(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_queries_of_urls_are_read(spark):
+    urls = [f"http://a{i}.net/es/?{w}={i}" for i in range(200) for w in ("casino", "poker")]
+    urls += [f"http://a{i}.com/de/?{w}={i}" for i in range(200) for w in ("garden", "school")]
+    free = ["http://z.org/a?casino=1&poker", "http://z.org/a?garden"]
+    df = spark.createDataFrame(list(enumerate(urls + free)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge(df).where("host = 'z.org'").collect()}
+    casino, garden = got[len(urls)], got[len(urls) + 1]
+    assert casino.ratio < garden.ratio and (casino.path, garden.path) == ("/a", "/a")
+
+
 def test_models_tell_urls_apart(spark):
     rng = random.Random(1)
     urls = [f"http://{rng.choice(['bets', 'casino', 'poker'])}{rng.randrange(99)}.net/es/{i}" for i in range(300)]
@@ -245,19 +257,66 @@ def test_mixing(spark, docs):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mixing_follows_its_schedule(spark):
+    rows = [(i, "w " * 10, "abc"[0 if i % 3 else 1 + i % 2]) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert 90_000 // 10 > mixing.SLOTS  # slots of 10 words
+
+    def unevenness(got):
+        """How many slots the sources taken once are off their shares, at worst, in any run from the start."""
+        worst = 0
+        for s in "ac":
+            slots = sorted(r.first_slot for r in got if r.source == s)
+            worst = max(worst, *(abs(seen - k * len(slots) / 9000) for seen, k in enumerate(slots)))
+        return worst
+
+    first = lambda **kw: mixing.mixed_rows(df, block=10, **kw).join(df.select("doc_id", "source"), "doc_id").where("taken > 0").collect()
+    drawn = lambda slot: F.pmod(F.xxhash64(slot), F.lit(mixing.POINTS))
+    even, random_ = unevenness(first()), unevenness(first(point=drawn))
+    assert even < random_ / 2
+
+    # the schedule itself, in plain Python
+    goals = mixing.targets(df.groupBy("source").agg(F.sum(mixing.words_in("text")).alias("source_size")))
+    plan = {r.source: r for r in goals.collect()}
+    block, slots = 10, 9000
+    got = sorted((r.slot, r.source, r.rank) for r in mixing.schedule(goals, block, slots).collect())
+    edges, at = [], 0.0
+    for s in "abc":
+        edges.append((s, int(plan[s].upto / plan["c"].upto * mixing.POINTS)))
+    ranks, want = defaultdict(int), []
+    need = {s: -(-plan[s].quota // block) for s in "abc"}
+    for k in range(slots):
+        s = next(s for s, high in edges if k * mixing.GOLDEN % mixing.POINTS < high)
+        if ranks[s] < need[s]:
+            want.append((k, s, ranks[s]))
+        ranks[s] += 1
+    behind = slots
+    for s in "abc":
+        for r in range(ranks[s], need[s]):
+            want.append((behind, s, r))
+            behind += 1
+    assert got == sorted(want) and behind - slots < 30
+
+    placed = mixing.mix(df, block=10, slot="place")
+    assert placed.columns == [*df.columns, "place"]
+    assert placed.agg(F.max("place")).first()[0] < behind
+    big = spark.range(5).select((F.col("id") * (1 << 40) + 3).alias("id"))
+    assert [r[0] for r in big.select(mixing.golden_point(F.col("id"))).collect()] == [((i << 40) + 3) * mixing.GOLDEN % mixing.POINTS for i in range(5)]
+
+
 def test_mixing_gives_small_sources_their_targets(spark):
     # few slots make blocks of a thousand words: larger than, or a few times, the small sources
     sizes = {"a": 30, "b": 60_000, "c": 700, "d": 2500, None: 90}
     rows = [(s, i) for s, n in sizes.items() for i in range(n // 10)]
     df = spark.createDataFrame([(k, "w " * 10, s) for k, (s, _) in enumerate(rows)], "doc_id long, text string, source string")
-    for slots in (64, 1000, mixing.SLOTS):
+    for block in (1, 7, mixing.BLOCK):
         taken, target = defaultdict(int), {}
-        for r in mixing.mixed_rows(df, slots=slots).collect():
+        for r in mixing.mixed_rows(df, block=block).collect():
             taken[r.source_size] += r.taken
             target[r.source_size] = r.target
             assert 0 <= r.taken <= 3 * r.size
         assert all(abs(taken[n] - target[n]) < 1 for n in sizes.values()) and sum(taken.values()) == sum(sizes.values())
-    mixed = mixing.mix(df, slots=64)
+    mixed = mixing.mix(df, block=9)
     assert mixed.where("source = 'a'").count() == 9 and mixed.where("source = 'd'").select("doc_id").distinct().count() == 250
 
 
@@ -394,6 +453,12 @@ def test_archives_round_trip(spark, tmp_path):
     path = str(tmp_path / "archives")
     got = warc.round_trip(pages, path=path)
     assert values(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    headers = []
+    for part in (tmp_path / "archives").glob("*.gz"):
+        headers += [h for _, h, _ in warc.records(warc.inflated(part.read_bytes()))]
+    responses = {h["WARC-Record-ID"] for h in headers if h["WARC-Type"] == "response"}
+    revisits = [h["WARC-Refers-To"] for h in headers if h["WARC-Type"] == "revisit"]
+    assert revisits and set(revisits) <= responses
     captures = warc.history(warc.read_archives(spark, path)).collect()
     keys = [(r.url_key, r.captured) for r in captures]
     assert keys == sorted(keys) and len(keys) == len(rows)
@@ -492,9 +557,52 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(df, labels).columns == df.columns
 
 
+def test_toxicity_counts_every_label(spark):
+    rows = [(i, ("idiot " if i % 4 == 0 else "") + f"river stone {i % 7}", int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    # slots that stand out are found in all texts, also when the regression has 50 of them
+    few, all_ = toxicity.fit(df, labels, 50), toxicity.fit(df, labels)
+    assert (few.keep == all_.keep).all() and few.keep.any()
+    long = spark.createDataFrame([(1, "river " * 500_000 + "idiot"), (2, "river " * 500_000)], "doc_id long, text string")
+    a, b = sorted(toxicity.without_toxic(long, labels.limit(0)).collect())
+    assert (a.doc_id, b.doc_id) == (1, 2)
+
+
 # ---- pipeline --------------------------------------------------------------------
 
 
+def test_stages_judge_rows_by_their_own_texts(spark, docs):
+    a, c = " ".join(f"a{i}" for i in range(40)), " ".join(f"c{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, " ".join(f"b{i}" for i in range(40))), (2, c), (None, c), (None, None), (3, ""), (3, "")], "doc_id long, text string")
+    df = df.withColumns({n: F.lit(n) for n in "_copy _times _key row key id own mark slot".split()})
+    kept = jaccard_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert values(kept, "doc_id", "text") == sorted([(i, t) for i, t in values(df, "doc_id", "text") if (i, t) != (None, c)], key=repr)
+    # rows that agree in id and text are told apart by their other columns
+    twice = df.where("doc_id = 2").unionAll(df.where("doc_id = 2").withColumn("_copy", F.lit("A"))).unionAll(df.where("doc_id = 2"))
+    assert [r["_copy"] for r in jaccard_join.keep_one(twice).collect()] == ["A"]
+
+    bench = spark.createDataFrame([("i", c)], "item_id string, text string")
+    clean = decontam.clean(df.unionAll(df.where("doc_id = 2").withColumn("doc_id", F.lit(1).cast("long"))), bench)
+    assert clean.columns == df.columns
+    assert values(clean, "doc_id", "text") == sorted([(i, t) for i, t in values(df, "doc_id", "text") if t != c], key=repr)
+
+    mixed = mixing.mix(df.withColumn("source", F.lit(None).cast("string")))
+    assert set(df.columns) <= set(mixed.columns) and mixed.where("_copy = '_copy' and _times = '_times'").count() == mixed.count() == 4
+    sharded = sharding.shard(df, 3)
+    assert set(df.columns) <= set(sharded.columns) and sharded.where("_key = '_key'").count() == df.count()
+    assert sharding.shard(docs, 3).count() == docs.count()
+
+
+def test_stages_take_any_rows(spark, docs):
+    docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, TINY)
+        assert set(docs.columns) <= set(out.columns), name
+        assert out.select("_key", "text").join(docs.select("_key", "text"), F.expr("true") & out["text"].eqNullSafe(docs["text"]), "left_anti").count() == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
     out = corpus_pipeline.run(spark, TINY)

@@ -231,7 +231,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, share:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns. An id is taken out if
-    any of its rows is contaminated; rows without an id stay."""
-    bad = contamination(docs, items).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` that are not contaminated, with all their columns. Every row is judged by its
+    own text, known by a hash of id and text: rows that share an id, or have none, have their own verdicts."""
+    own = F.xxhash64("doc_id", "text")
+    bad = contamination(docs.select(own.alias("doc_id"), "text"), items).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("own")).distinct()
+    return docs.select(F.struct("*").alias("row"), own.alias("own")).join(bad, "own", "left_anti").select("row.*")

@@ -28,7 +28,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm import graph, sums
@@ -336,11 +336,32 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: the one whose id is the
-    component's. Documents without words stay; so do rows without an id. Rows that repeat one id
-    become one row, with its smallest text."""
-    kept = jaccard_components(docs, size, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*docs.columns)))
-    one = chosen.withColumn("_copy", F.row_number().over(w)).where("_copy = 1").drop("_copy")
-    return one.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay when one row of each component does: that with the smallest id (null
+    last), then the smallest hash of its text, then the smallest row as JSON.
+
+    Every row is judged by its own text, so rows that share an id, or have none, go only if another row of
+    their component stays. Rows without words stay. Any names of other columns will do.
+    """
+    key = F.xxhash64("text")
+    wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups = (
+        jaccard_components(docs.select(key.alias("doc_id"), "text"), size, num, den).where("n_shingles > 0")
+        .select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    )
+    # each text's smallest id and how many rows have both, before anything is joined
+    ids = docs.where(~wordless).groupBy(key.alias("key"), F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
+    first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key", "rows").alias("first")
+    least = ids.select("key", first).groupBy("key").agg(F.min("first").alias("first"))
+    stay = settle(least.join(groups, "key").groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+
+    row = docs.select(F.struct("*").alias("row"), key.alias("key"), F.col("doc_id").alias("id"), wordless.alias("wordless"))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select(F.col("key").alias("its_key"), F.col("id").alias("its_id"))
+        same = (F.col("key") == F.col("its_key")) & F.col("id").eqNullSafe(F.col("its_id"))
+        return row.where(~F.col("wordless")).join(chosen, same, "left_semi")
+
+    # only rows that agree in id and text have to be told apart
+    repeated = rows_of(stay.where("rows > 1")).groupBy("key", "id").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    out = rows_of(stay.where("rows = 1")).select("row").unionAll(repeated.select("row")).unionAll(row.where("wordless").select("row"))
+    return out.select("row.*")

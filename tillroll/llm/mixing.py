@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot k of the mix belongs to the source on whose stretch of the cumulative targets the golden-ratio point
-frac(k / golden ratio) falls; such points fill every stretch evenly from the start, so any run of slots has
-the sources near their shares. A source too small for a point gets one slot all the same. A source's
-quota, its target in whole words, is cut into as many equal blocks as it has slots, and its slot of rank r
-takes the r-th block of its documents in shuffled order, starting again after the last. So each source
-gives its quota to the word, whatever the number of slots. Blocks cut documents where they must.
+The mix is a row of slots that hold BLOCK words each. Slot k belongs to the source on whose stretch of the
+cumulative targets the golden-ratio point frac(k / golden ratio) falls; such points fill every stretch
+evenly from the start, so any run of slots has the sources near their shares. A source's slots are
+ranked, and the slot of rank r takes the r-th block of its documents in shuffled order, starting again
+after the last. So the points a source gets make up its quota but for a few blocks: what is missing to its
+target in whole words comes in slots of its own behind the others, points beyond it stay empty, and
+a source too small for a point gets its words too. Slots grow with the words. Blocks cut documents where
+they must.
 
 All of it is DataFrame operations. Running totals within a source are taken in buckets of the shuffled
 order, so that a large source is spread over as many tasks as it needs.
@@ -13,13 +15,16 @@ order, so that a large source is spread over as many tasks as it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import settle
 
-#: Slots at most: how finely sources take turns, not how much is taken of them.
-SLOTS = 1 << 17
+#: Words in a slot, at every size but the smallest: a mix has SLOTS of them at least, if it has the words.
+BLOCK = 1 << 10
+SLOTS = 1 << 12
 #: The golden ratio's inverse times 2^32, rounded to an odd number.
 GOLDEN = 2654435769
 POINTS = 1 << 32
@@ -69,40 +74,61 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def stretches(goals: DataFrame) -> DataFrame:
-    """(source, low, high, used): each source's stretch of the points 0 to 2^32, from ``targets`` with used."""
+    """(source, low, high, quota): each source's stretch of the points 0 to 2^32, from ``targets``."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     whole = F.max("upto").over(Window.partitionBy())
     s = goals.withColumn("high", F.when(whole > 0, F.floor(F.col("upto") / whole * POINTS)).otherwise(F.lit(0)))
     s = s.withColumn("low", F.coalesce(F.lag("high").over(by_name), F.lit(0)))
-    return s.select("source", "low", "high", "used")
+    return s.select("source", "low", "high", "quota")
+
+
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo 2^32, in two halves, so that no product passes 64 bits."""
+    slot, half = F.pmod(slot, F.lit(POINTS)), 1 << 16
+    high = F.pmod(F.floor(slot / half) * GOLDEN, F.lit(POINTS)) * half
+    return F.pmod(high + F.pmod(slot, F.lit(half)) * GOLDEN, F.lit(POINTS))
 
 
-def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, source, rank): which source each slot takes its block from, and the rank of the slot among
-    the source's own, from 0. There are no more slots than words. A source with quota 0 may have slots
-    that take nothing; one with a quota, but no point, shares a slot."""
-    spark = goals.sparkSession
+def slots_for(total: int, block: int) -> int:
+    return -(-total // block)
+
+
+def schedule(goals: DataFrame, block: int, slots: int, point: Callable[[Column], Column] = golden_point) -> DataFrame:
+    """(slot, source, rank): which source each slot takes its block of ``block`` words from, and the rank of
+    the slot among the source's own, from 0. ``slots`` are drawn by ``point``, a number below 2^32 for each; slots that a
+    source's quota has no words for are left out, and what the quota needs beyond them follows, source by source."""
     width = POINTS // CELLS
-    # as many slots as blocks of equal size that hold all words
-    block = F.greatest(F.lit(1), F.ceil(F.col("total") / slots))
-    goals = goals.withColumn("used", F.ceil(F.col("total") / block))
     cells = stretches(goals).where("high > low").withColumn(
         "cell", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width)))
     )
-    point = F.pmod(F.col("id") * GOLDEN, F.lit(POINTS))
-    drawn = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"))
+    drawn = goals.sparkSession.range(slots).select(F.col("id").alias("slot"), point(F.col("id")).alias("point"))
     drawn = drawn.withColumn("cell", F.floor(F.col("point") / width)).join(cells, "cell")
-    drawn = settle(drawn.where("point >= low and point < high and slot < used").select("slot", "source"))
-    having = drawn.select(F.col("source").alias("_source")).distinct()
-    small = goals.where("quota > 0").join(having, F.col("source").eqNullSafe(F.col("_source")), "left_anti")
-    drawn = drawn.union(small.select(F.pmod(F.xxhash64("source"), "used").alias("slot"), "source"))
+    drawn = settle(drawn.where("point >= low and point < high").select("slot", "source"))
     drawn = drawn.withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     before = _before(drawn, ["source"], "chunk", F.count("*"))
     inside = Window.partitionBy("source", "chunk").orderBy("slot")
     ranked = drawn.withColumn("at", F.row_number().over(inside) - 1).join(
         before, drawn["source"].eqNullSafe(before["_source"]) & (drawn["chunk"] == before["_chunk"])
     )
-    return ranked.select("slot", "source", (F.col("at") + F.col("before")).alias("rank"))
+    ranked = ranked.select("slot", "source", (F.col("at") + F.col("before")).alias("rank"))
+
+    # the remainder: as many blocks as points and shares differ by, so few for each source
+    points = drawn.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("points"))
+    need = F.ceil(F.col("quota") / block)
+    short = settle(
+        goals.join(points, F.col("source").eqNullSafe(F.col("_source")), "left")
+        .select("source", F.coalesce("points", F.lit(0)).alias("points"), need.alias("need"))
+    )
+    extra = F.greatest(F.lit(0), F.col("need") - F.col("points"))
+    behind = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    added = (
+        short.withColumn("from", F.coalesce(F.sum(extra).over(behind), F.lit(0)) + slots)
+        .where("need > points").withColumn("rank", F.explode(F.expr("sequence(points, need - 1)")))
+        .select((F.col("from") + F.col("rank") - F.col("points")).alias("slot"), "source", "rank")
+    )
+    full = short.select(F.col("source").alias("_source"), "need")
+    used = ranked.join(full, F.col("source").eqNullSafe(F.col("_source"))).where("rank < need").select("slot", "source", "rank")
+    return used.unionAll(added)
 
 
 def _before(df: DataFrame, keys: list[str], bucket: str, total: Column) -> DataFrame:
@@ -114,70 +140,102 @@ def _before(df: DataFrame, keys: list[str], bucket: str, total: Column) -> DataF
     )
 
 
+def _mark() -> Column:
+    """Tells rows of one id apart by source and text."""
+    return F.xxhash64("text", F.col("text").isNull(), "source", F.col("source").isNull())
+
+
 def _measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, order (the shuffled order), bucket (its first digits)."""
+    """doc_id, source, size, mark, order (the shuffled order), bucket (its first digits)."""
     order = F.md5(F.concat(F.lit("mix "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     return docs.select(
-        "doc_id", "source", words_in("text").alias("size"), order.alias("order"),
+        "doc_id", "source", words_in("text").alias("size"), _mark().alias("mark"), order.alias("order"),
         F.substring(order, 1, BUCKET_DIGITS).alias("bucket"),
     )
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
-    """Returns (doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, source, text).
-
-    Size: runs of anything but space and tab to carriage return (null and empty texts: 0). ``targets`` has
-    the source's target; taken is the number of the document's words in the mix, repeats counted: between
-    0 and REPEATS times its size, and over a source less than a word off its target. Null is a source of its own. The
-    order within a source is by md5 of doc_id, then doc_id and size, so reruns agree; repeated rows stand
-    one behind the other. An empty table gives no rows; if all sizes are 0, nothing is taken.
-    """
+def _mixed(docs: DataFrame, weights: tuple[int, ...], block: int, point: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, mark, size, source_size, target, taken, slots): ``slots`` has, for each time the source's words are gone
+    through, the first slot with words of the row, null if there is none."""
     rows = settle(_measured(docs))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = settle(targets(sizes, weights))
+    # one number; the table has a row for each source
+    total = goals.agg(F.max("total")).first()[0] or 0
+    block = max(1, min(block, total // SLOTS))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     # where each document starts in its source's shuffled words
     before = _before(rows, ["source"], "bucket", F.sum("size"))
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "mark")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         rows.withColumn("at", F.sum("size").over(upto) - F.col("size"))
         .join(before, same("source", "_source") & (F.col("bucket") == F.col("_bucket")))
         .withColumn("at", F.col("at") + F.col("before"))
-        .select("doc_id", "source", "size", "at")
+        .select("doc_id", "mark", "source", "size", "at")
     )
-    ranked = settle(schedule(goals, slots).select(F.col("source").alias("_source"), F.col("rank").alias("_rank")))
-    counts = ranked.groupBy(F.col("_source").alias("_of")).agg(F.count("*").alias("n"))
-    goal = goals.select(F.col("source").alias("_source"), "source_size", "target", "quota").join(counts, same("_source", "_of"), "left")
+    goal = goals.select(F.col("source").alias("_source"), "source_size", "target", "quota")
     # written, so that its size is known and the join with the documents is not dealt by source
-    placed = settle(placed.join(settle(goal.drop("_of")), same("source", "_source")).drop("_source"))
+    placed = settle(placed.join(settle(goal), same("source", "_source")).drop("_source"))
+    ranked = schedule(goals, block, slots_for(total, block), point)
+    ranked = settle(ranked.select("slot", F.col("source").alias("_source"), F.col("rank").alias("_rank")))
 
-    # the source's words, round after round, end at its quota; block r starts at r * quota div n
+    # the source's words, round after round, end at its quota; block r starts at r * block
     parts = (
         placed.where("size > 0 and quota > 0")
         .withColumn("round", F.explode(F.expr("sequence(0L, (quota - 1) div source_size)")))
         .withColumn("start", F.col("round") * F.col("source_size") + F.col("at"))
         .withColumn("stop", F.least(F.col("start") + F.col("size"), F.col("quota")))
         .where("start < stop")
-        .withColumn("rank", F.explode(F.expr("sequence(((start + 1) * n - 1) div quota, (stop * n - 1) div quota)")))
+        .withColumn("rank", F.explode(F.expr(f"sequence(start div {block}, (stop - 1) div {block})")))
     )
-    words = F.least(F.col("stop"), F.expr("(rank + 1) * quota div n")) - F.greatest(F.col("start"), F.expr("rank * quota div n"))
+    words = F.least(F.col("stop"), (F.col("rank") + 1) * block) - F.greatest(F.col("start"), F.col("rank") * block)
     # source and place name a document with words; texts are not needed
     found = (
         parts.withColumn("words", words)
         .join(ranked, same("source", "_source") & (F.col("rank") == F.col("_rank")))
-        .groupBy("_source", F.col("at").alias("_at")).agg(F.sum("words").alias("taken"))
+        .groupBy("_source", F.col("at").alias("_at"))
+        .agg(F.sum("words").alias("taken"), *[F.min(F.when(F.col("round") == r, F.col("slot"))).alias(f"slot{r}") for r in range(REPEATS)])
     )
     out = placed.join(found, same("source", "_source") & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    return out.select(
+        "doc_id", "mark", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        F.array(*[f"slot{r}" for r in range(REPEATS)]).alias("slots"),
+    )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int = SLOTS) -> DataFrame:
+def mixed_rows(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, point: Callable[[Column], Column] = golden_point
+) -> DataFrame:
+    """Returns (doc_id, size, source_size, target, taken, first_slot) for every row of ``docs`` (doc_id, source, text).
+
+    Size: runs of anything but space and tab to carriage return (null and empty texts: 0). ``targets`` has
+    the source's target; taken is the number of the document's words in the mix, repeats counted: between
+    0 and REPEATS times its size, and over a source less than a word off its target. first_slot is the place in the mix
+    where its words come first, null if none is taken. Null is a source of its own. The
+    order within a source is by md5 of doc_id, then doc_id, size and text, so reruns agree; repeated rows stand
+    one behind the other. An empty table gives no rows; if all sizes are 0, nothing is taken.
+    """
+    out = _mixed(docs, weights, block, point)
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, slot: str | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: words taken by size, rounded, at least once if any
-    word is taken. A document without words is not taken. Columns stay as they are; rows of one id
+    word is taken. A document without words is not taken. Columns stay as they are, whatever their names;
+    ``slot``, if given, is a column more: the place of each copy in the schedule, by which the mix is put in
+    order. Rows of one id with other texts or sources are told apart; those that agree in all three
     come as often as the one with the most words taken."""
-    times = mixed_rows(docs, weights, slots).where("taken > 0").groupBy("doc_id").agg(
-        F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias("_times")
+    times = _mixed(docs, weights, block, golden_point).where("taken > 0").groupBy("doc_id", "mark").agg(
+        F.max(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")))).cast("int").alias("times"),
+        F.array(*[F.min(F.col("slots")[r]) for r in range(REPEATS)]).alias("slots"),
+    )
+    # the copies of rows with words begin with the first time the source is gone through that has them
+    copies = times.select(
+        F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark"),
+        F.expr("slice(filter(slots, s -> s is not null), 1, times)").alias("slots"),
     )
-    often = docs.join(times, docs["doc_id"].eqNullSafe(times["doc_id"])).select(*[docs[c] for c in docs.columns], "_times")
-    return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_copy")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), _mark().alias("mark"))
+    often = rows.join(copies, F.col("id").eqNullSafe(F.col("its_id")) & (F.col("mark") == F.col("its_mark")))
+    often = often.select("row", F.explode("slots").alias("slot"))
+    return often.select("row.*", *([F.col("slot").alias(slot)] if slot else []))

@@ -16,7 +16,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import settle
@@ -155,9 +155,10 @@ def pack(groups: DataFrame, shards: int, boxes: int = BOXES) -> DataFrame:
     return boxed.join(F.broadcast(where), "box").select("key", "shard")
 
 
-def _measured(docs: DataFrame, carried: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, *carried: Column) -> DataFrame:
     return docs.select(
         *carried,
+        "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2("text", 256), F.lit("none")).alias("_key"),
@@ -195,14 +196,15 @@ def shard(docs: DataFrame, shards: int = 16, boxes: int = BOXES) -> DataFrame:
     shard's rows from 0 without gaps, by hash of doc_id, then doc_id and text, so reruns agree;
     equal rows are interchangeable. Columns with the added names are replaced.
     """
-    given = [c for c in docs.columns if c not in ADDED]
-    return _numbered(_measured(docs, given), shards, boxes).select(*given, *ADDED)
+    # the row travels as one column, so that none of its names can clash
+    given = F.struct(*[F.col(c) for c in docs.columns if c not in ADDED]).alias("row")
+    return _numbered(_measured(docs, given), shards, boxes).select("row.*", *ADDED)
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, boxes: int = BOXES) -> DataFrame:
     """The shards without the texts: (doc_id, size, text_crc32, law, shard, slot, grown_shard). The law is
     ``bytes``: sizes near equal; nothing is said of one shard more, so grown_shard is null."""
-    rows = settle(_measured(docs, ["doc_id"]))
+    rows = settle(_measured(docs))
     return _numbered(rows, shards, boxes).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),

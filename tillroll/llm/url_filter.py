@@ -47,6 +47,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def text_of(url: Column) -> Column:
+    """What the models read: the whole url without its scheme, its host in lower case; without ://, all of it."""
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    return F.coalesce(F.when(url.contains("://"), F.concat(host_of(url), rest)).otherwise(url), F.lit(""))
+
+
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     """The longest rule (host and path) that fits, or null."""
     out = F.lit(None).cast("string")
@@ -176,15 +182,15 @@ def threshold(scored: DataFrame) -> float:
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Returns (page_id, host, path, rule, verdict, ratio) for every row of ``pages`` (page_id bigint, url).
 
-    The longest rule that fits decides; ``ratio`` decides the others. Null urls, and those without
-    ://, have an empty host and path, no rule, and are judged by an empty text. Rules are a short list, part of
+    The longest rule that fits decides; ``ratio`` decides the others, by the whole url but its scheme. Null urls, and
+    those without ://, have an empty host and path and no rule; null is judged by an empty text. Rules are a short list, part of
     the plan. Repeated rows are counted and returned each; other columns are ignored. Without rule-judged
     URLs every ratio is 0 and all is allowed.
     """
     url = F.col("url")
-    parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), text_of(url).alias("text"))
     parts = parts.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    rows = settle(parts.withColumn("place", F.floor(F.rand(1) * (1 << 40)))).withColumn("text", F.concat("host", "path"))
+    rows = settle(parts.withColumn("place", F.floor(F.rand(1) * (1 << 40))))
     allowed = (verdict_of(F.col("rule"), rules) == ALLOW).alias("allowed")
     aside = F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(HELD_OUT)) == 0
     counts = settle(fit(rows.where(F.col("rule").isNotNull() & ~aside).select("text", allowed)))

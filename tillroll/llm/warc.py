@@ -29,17 +29,19 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def marked(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload, digest (SHA-1) and refers_to: the largest page_id with
-    an equal payload of at least ``min_bytes``, if that is another one, else null."""
+    """``pages`` (page_id, url, html) with payload, digest (SHA-1), refers_to: the largest page_id with
+    an equal payload of at least ``min_bytes``, if that is another one, else null; and refers_url: that page's url."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumns(
         {"digest": F.sha1("payload"), "key": F.sha2("payload", 256)}
     )
     shared = (
         rows.where(F.octet_length("payload") >= min_bytes).groupBy("key")
-        .agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").drop("n")
+        .agg(F.max(F.struct("page_id", "url")).alias("largest"), F.count("*").alias("n")).where("n > 1")
+        .select("key", F.col("largest.page_id").alias("largest"), F.col("largest.url").alias("largest_url"))
     )
     other = F.col("largest").isNotNull() & ~F.col("largest").eqNullSafe(F.col("page_id"))
-    return rows.join(shared, "key", "left").withColumn("refers_to", F.when(other, F.col("largest"))).drop("key", "largest")
+    referred = {"refers_to": F.when(other, F.col("largest")), "refers_url": F.when(other, F.col("largest_url"))}
+    return rows.join(shared, "key", "left").withColumns(referred).drop("key", "largest", "largest_url")
 
 
 def record(when: Column) -> Column:
@@ -50,18 +52,21 @@ def record(when: Column) -> Column:
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    name = F.md5(F.concat_ws(" ", F.col("page_id").cast("string"), "url", "digest"))
-    one_id = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+
+    def name(page: str, url: str) -> Column:
+        return F.concat(F.lit("<urn:md5:"), F.md5(F.concat_ws(" ", F.col(page).cast("string"), url, "digest")), F.lit(">"))
+
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         header("WARC-Type", F.when(revisit, F.lit(REVISIT)).otherwise(F.lit(RESPONSE))),
-        header("WARC-Record-ID", F.concat(F.lit("<urn:md5:"), name, F.lit(">"))),
+        header("WARC-Record-ID", name("page_id", "url")),
         header("WARC-Page-ID", F.col("page_id").cast("string")),
         header("WARC-Target-URI", url),
         header("WARC-Date", F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         header("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        header("WARC-Refers-To", F.when(revisit, one_id(F.col("refers_to")))),
+        header("WARC-Refers-To", F.when(revisit, name("refers_to", "refers_url"))),
+        header("WARC-Refers-To-Page-ID", F.col("refers_to").cast("string")),
         header("Content-Type", F.lit("text/html; charset=utf-8")),
         header("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"), body, F.lit("\r\n\r"),
@@ -74,7 +79,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, when
 
     Null html is an empty payload; a null url or page_id leaves its header out. Of equal payloads
     of at least ``min_bytes``, all rows of the largest page_id are responses and the others revisit it;
-    rows without an id only are all responses. Other columns are ignored; an empty table writes no records.
+    rows without an id only are all responses. A revisit names its response by record id. Other columns are ignored; an empty table writes no records.
     """
     if when is None:
         when = F.timestamp_seconds(F.lit(START) + F.coalesce(F.pmod("page_id", F.lit(SPAN)), F.lit(0)))
@@ -152,10 +157,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 response = h["WARC-Type"] == RESPONSE
                 if response and sha1(body).hexdigest() != digest:
                     raise ValueError(f"{path} at {offset}: the payload does not have its digest")
-                page, url, other = h.get("WARC-Page-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To")
+                page, url, other = h.get("WARC-Page-ID"), h.get("WARC-Target-URI"), h.get("WARC-Refers-To-Page-ID")
                 run.append((
                     path, offset, url_key(url), h["WARC-Date"], page and int(page), url, h["WARC-Type"],
-                    len(body) if response else None, digest, other and int(other.removeprefix("<urn:page:").rstrip(">")),
+                    len(body) if response else None, digest, other and int(other),
                 ))
             run.sort(key=order)
             yield batch_of(run)
