@@ -2,10 +2,10 @@
 
 Features are the n-grams of 4, 5 and 6 bytes (A-Z lower-cased) that a text has, hashed to 2^20 slots.
 From the labelled rows come, for each slot, the smoothed log ratio between the shares of toxic and of
-clean texts that have it. All slots whose ratio stands out from chance are kept; a text's features are
-the ratios of the kept slots it has, and logistic regression on them gives the score. Counting is a
-Spark job over all labelled texts; the regression runs over the kept slots of at most MAX_ROWS labelled
-texts, so its size does not grow with the input. Every whole text is scored.
+clean texts that have it. Slots whose ratio stands out from chance are kept, at most MAX_FEATURES of
+them; a text's features are the ratios of the kept slots it has, and logistic regression on them gives the
+score. Counting and regression read at most MAX_ROWS labelled texts, so the model's size does not grow
+with the input. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from tillroll.session import settle
 SIZES = (4, 5, 6)
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-#: Labelled rows the regression is fitted on: those with the smallest hashes of their ids.
-MAX_ROWS = 6_000
+#: Labelled rows the classifier is fitted on: those with the smallest hashes of their ids.
+MAX_ROWS = 20_000
+MAX_FEATURES = 4_096
 #: How many standard errors a log ratio must be from 0.
 STANDS_OUT = 3.0
 #: Added to each class's count of texts with a slot.
@@ -79,7 +80,7 @@ def _kept_slots(keep):
         for batch in batches:
             out = []
             for _, pack in packs(octets(batch.column("text"))):
-                out += [order[s].astype("<i4").tobytes() for _, s in _slots(pack, keep.value)]
+                out += [order[s].astype("<i2").tobytes() for _, s in _slots(pack, keep.value)]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "kept": pa.array(out, pa.binary())})
 
     return run
@@ -96,8 +97,8 @@ class Model:
 
 def _regression(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Penalised logistic regression by accelerated gradient steps."""
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    col = np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
     value = scale[col]
     n = len(rows)
     share = (toxic.sum() + SMOOTHING) / (n + 2 * SMOOTHING)
@@ -115,7 +116,7 @@ def _regression(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray) ->
     if len(col):
         step = 1 / (0.25 * 1.2 * size + PENALTY)
     w0, b0, t = w, b, 1.0
-    for _ in range(200):
+    for _ in range(400):
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         yw, yb = w + (t - 1) / t1 * (w - w0), b + (t - 1) / t1 * (b - b0)
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * yw[col], minlength=n) + yb, -60, 60))) - toxic
@@ -128,14 +129,22 @@ def _regression(rows: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray) ->
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic 0 or 1; others are left out).
 
-    An id counts once, with its largest label and its smallest text. Every labelled text is counted. With more
-    than ``max_rows`` ids, those with the smallest hashes are in the regression. Without any, every score is 1/2; with one class only, near
+    An id counts once, with its largest label and its smallest text. With more than ``max_rows`` ids,
+    those with the smallest hashes are used. Without any, every score is 1/2; with one class only, near
     that class's share.
     """
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    usable = docs.select("doc_id", "text").join(one, "doc_id")
-    usable = settle(usable.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    one = settle(one)
+    total = one.count()
+    if total > max_rows:
+        # by hash, not by limit: the same rows each time, with no sort
+        share = int(max_rows / total * (1 << 31))
+        one = one.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < share)
+    # about max_rows ids at most, so this side has a known bound
+    usable = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")
+    usable = usable.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    usable = settle(usable)
     counts = sums.total(usable.mapInArrow(_count, sums.SCHEMA), 2 * (SLOTS + sums.SEGMENTS)).reshape(2, -1)
     with_slot, texts = counts[:, :SLOTS], counts[:, -1:]
     clean, toxic = with_slot + SMOOTHING
@@ -143,15 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     error = np.sqrt(1 / clean + 1 / toxic)
     clear = np.where(with_slot.sum(axis=0) > 0, np.abs(ratio) / error, 0)
     keep = clear >= STANDS_OUT
+    if keep.sum() > MAX_FEATURES:
+        keep = np.zeros(SLOTS, dtype=bool)
+        keep[np.argsort(-clear, kind="stable")[:MAX_FEATURES]] = True
     shared = spark.sparkContext.broadcast(keep)
-    total = usable.count()
-    if total > max_rows:
-        # by hash, not by limit: the same rows each time, with no sort
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(max_rows / total * (1 << 31)))
     rows = usable.select("text", "toxic").mapInArrow(_kept_slots(shared), "toxic int, kept binary").collect()
     scale = ratio[keep]
     w, b = _regression(
-        [np.frombuffer(r["kept"], dtype="<i4") for r in rows], np.array([r["toxic"] for r in rows], float), scale
+        [np.frombuffer(r["kept"], dtype="<i2").astype(np.int64) for r in rows], np.array([r["toxic"] for r in rows], float), scale
     )
     weights = np.zeros(SLOTS)
     weights[keep] = w * scale
