@@ -22,8 +22,8 @@ def share(df, condition):
 
 def test_uniform_draws(spark):
     df = spark.range(N).select(
-        draws.uniform(3, 9, 1).alias("u"), draws.uniform_decimal(100, 999, 2, 2).alias("m"),
-        draws.nurand_draw(255, 10, 59, 3).alias("n"), draws.chance(15, 4).alias("p"),
+        draws.uniform(3, 9, 1, "id").alias("u"), draws.uniform_decimal(100, 999, 2, 2, "id").alias("m"),
+        draws.nurand_draw(255, 10, 59, 3, "id").alias("n"), draws.chance(15, 4, "id").alias("p"),
     )
     assert bounds(df, "u") == (3, 9)
     assert df.groupBy("u").count().agg(F.min("count")).first()[0] > N / 7 * 0.9
@@ -34,7 +34,7 @@ def test_uniform_draws(spark):
 
 
 def test_text_draws(spark):
-    df = spark.range(N).select(draws.printable_text(6, 10, 1).alias("a"), draws.digits(4, 4, 2).alias("n"))
+    df = spark.range(N).select(draws.printable_text(6, 10, 1, "id").alias("a"), draws.digits(4, 4, 2, "id").alias("n"))
     assert bounds(df.select(F.length("a").alias("l")), "l") == (6, 10)
     assert df.where(~F.col("a").rlike("^[ -~]*$")).count() == 0
     assert df.where(~F.col("n").rlike("^[0-9]{4}$")).count() == 0
@@ -127,3 +127,61 @@ def test_requests(spark):
     assert bounds(G.delivery_requests(asked, 1), "carrier") == (1, 10)
     assert bounds(G.stock_level_requests(asked, 10, 1), "threshold") == (10, 20)
     assert abs(share(G.order_status_requests(asked, 300, 10, 50, 1), F.col("c").isNull()) - 0.6) < 0.02
+
+
+def test_draws_depend_on_seed_and_key_only(spark):
+    def table(partitions, seed):
+        ids = spark.range(0, 3000, 1, partitions)
+        return ids.select(
+            "id", draws.uniform(1, 10**6, seed, "id").alias("u"), draws.printable_text(1, 40, seed + 1, "id").alias("t"),
+            draws.digits(1, 9, seed + 3, "id", F.lit(7)).alias("n"),
+        )
+
+    few, many = (rows(table(n, 5), "id", "u", "t", "n") for n in (3, 30))
+    assert few == many
+    assert few != rows(table(3, 6), "id", "u", "t", "n")
+    # one row alone is the same row
+    alone = table(1, 5).where("id = 1234")
+    assert rows(alone, "id", "u", "t", "n") == [r for r in few if r[0] == 1234]
+    # neighbouring keys and seeds do not go together
+    pairs = spark.range(N).select(draws.unit(1, "id").alias("a"), draws.unit(2, "id").alias("b"), draws.unit(1, F.col("id") + 1).alias("c"))
+    assert max(abs(x) for x in pairs.agg(F.corr("a", "b"), F.corr("a", "c")).first()) < 0.03
+    with pytest.raises(ValueError):
+        draws.uniform(1, 2, 3)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
+def test_shuffle_is_one_to_one(spark, n):
+    df = spark.range(n).select("id", *(draws.permuted(F.col("id"), F.lit(n), s, F.lit(g)).alias(f"p{s}_{g}") for s in (1, 3) for g in (1, 2)))
+    got = df.toPandas()
+    for name in got.columns:
+        assert sorted(got[name]) == list(range(n))
+    if n == 1000:
+        assert (got["p1_1"] == got["id"]).mean() < 0.02
+        assert (got["p1_1"] != got["p1_2"]).mean() > 0.98 and (got["p1_1"] != got["p3_1"]).mean() > 0.98
+        assert abs(got["id"].corr(got["p1_1"])) < 0.12
+
+
+def test_orders_of_dense_customers(spark):
+    keys = G.keys(spark, 2, 3, 50)
+    for seed in (None, 4):
+        ranked, dense = (rows(G.orders(keys.repartition(n), seed=seed, dense=d), "w", "d", "c", "order_id", "n_lines", "entered", "carrier")
+                         for n, d in ((3, False), (30, True)))
+        assert ranked == dense
+    plan = G.orders(keys, seed=4, dense=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    with pytest.raises(Exception, match="not 1..n"):
+        G.orders(keys.where("c <> 7"), seed=4, dense=True).collect()
+
+
+@pytest.mark.parametrize("partitions", [3, 30])
+def test_population_again(spark, tmp_path, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        G.populate(spark, f"{tmp_path}/a", 2, 2, 12, 9, 5, seed=3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    G.populate(spark, f"{tmp_path}/b", 2, 2, 12, 9, 5, seed=3)
+    for name in ("item", "warehouse", "district", "stock", "customer", "order", "order_line", "pending"):
+        a, b = (spark.read.parquet(f"{tmp_path}/{x}/{name}") for x in "ab")
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name

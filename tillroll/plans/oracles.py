@@ -400,3 +400,79 @@ ORACLES: dict[str, str] = {
 
 ORACLES["stream_modification_log"] = ORACLES["modification_log"]
 ORACLES["stream_stock_level"] = ORACLES["stock_level"]
+
+
+# ---- draws: a digest of seed and key, taken here by the database -----------------------------------
+
+
+def _unit(seed: int, *key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join([str(seed), *key])})), 1, 13))::bigint::double / {1 << 52}::double)"
+
+
+def _uniform(low: int, high: int | str, seed: int, *key: str) -> str:
+    return f"(floor({_unit(seed, *key)} * ({high} - {low} + 1))::bigint + {low})"
+
+
+def _nurand(a: int, low: int, high: int | str, seed: int, *key: str) -> str:
+    return f"((({_uniform(0, a, seed, *key)} | {_uniform(low, high, seed + 1, *key)}) + 128) % ({high} - {low} + 1) + {low})"
+
+
+def _text(low: int, high: int, seed: int, *key: str) -> str:
+    digest = f"md5(concat_ws(':', {', '.join([str(seed), *key])}, (i - 1) // 8))"
+    one = f"chr((('0x' || substr({digest}, (i - 1) % 8 * 4 + 1, 4))::bigint % 95 + 32)::int)"
+    return f"array_to_string(list_transform(range(1, {_uniform(low, high, seed + 1, *key)} + 1), lambda i: {one}), '')"
+
+
+def _shuffled(at: str, n: str, seed: int, *key: str) -> str:
+    other = f"((floor({_unit(seed, *key, 'r')} * {n})::bigint - x + {n}) % {n})"
+    swap = f"CASE WHEN {_unit(seed + 1, *key, 'r', f'greatest(x, {other})')} < 0.5 THEN {other} ELSE x END"
+    return f"list_reduce(list_prepend(({at})::bigint, range(1, 33)), lambda x, r: {swap})"
+
+
+_HOMES = "(SELECT count(*) FROM nation)"
+_DRAWN = f"""asked AS MATERIALIZED (SELECT o_orderkey AS txn, o_orderkey % {_HOMES} + 1 AS w, {_unit(100, 'o_orderkey')} * 100 AS u FROM orders),
+    drawn AS (SELECT txn, w, CASE WHEN u < 4.2::double THEN 'stocklevel' WHEN u < 8.4::double THEN 'orderstatus'
+        WHEN u < 12.6::double THEN 'delivery' WHEN u < 55.8::double THEN 'payment' ELSE 'neworder' END AS type FROM asked)"""
+
+
+def _elsewhere(seed: int, *key: str) -> str:
+    return f"((w - 1 + {_uniform(1, _HOMES + ' - 1', seed, *key)}) % {_HOMES} + 1)"
+
+
+ORACLES |= {
+    "drawn_requests": f"WITH {_DRAWN} SELECT * FROM drawn",
+    "drawn_new_orders": f"""WITH {_DRAWN}, o AS (SELECT txn, w, {_uniform(1, 10, 200, 'txn')} AS d, {_nurand(1023, 1, 3000, 201, 'txn')} AS c,
+            {_uniform(5, 15, 203, 'txn')} AS n_lines, {_unit(204, 'txn')} * 100 < 1 AS spoiled FROM drawn WHERE type = 'neworder'),
+        l AS (SELECT * FROM o, range(0, 15) t(line) WHERE line < n_lines)
+        SELECT txn, w, d, c, n_lines, line,
+            CASE WHEN spoiled AND line = n_lines - 1 THEN 2147483647
+                ELSE {_nurand(8191, 1, '(SELECT count(*) FROM part)', 300, 'txn', 'line')} END AS item,
+            CASE WHEN {_unit(302, 'txn', 'line')} * 100 < 1 THEN {_elsewhere(303, 'txn', 'line')} ELSE w END AS supply_w,
+            {_uniform(1, 10, 304, 'txn', 'line')} AS quantity FROM l""",
+    "drawn_payments": f"""WITH {_DRAWN}, p AS (SELECT txn, w, {_uniform(1, 10, 400, 'txn')} AS d, {_unit(401, 'txn')} * 100 < 15 AS remote,
+            {_unit(402, 'txn')} * 100 < 60 AS named, {_nurand(255, 0, 999, 403, 'txn')} AS n, {_elsewhere(405, 'txn')} AS other,
+            {_uniform(1, 10, 406, 'txn')} AS other_d, {_nurand(1023, 1, 3000, 407, 'txn')} AS c,
+            {_uniform(100, 5000000, 409, 'txn')} AS cents FROM drawn WHERE type = 'payment')
+        SELECT txn, w, d, cents / 100.0::double AS amount, CASE WHEN remote THEN other ELSE w END AS c_w,
+            CASE WHEN remote THEN other_d ELSE d END AS c_d, CASE WHEN NOT named THEN c END AS c,
+            CASE WHEN named THEN {_last('n')} END AS last FROM p""",
+    "drawn_other_requests": f"""WITH {_DRAWN}
+        SELECT txn, type, w, {_uniform(1, 10, 700, 'txn')} AS carrier, NULL::bigint AS d, NULL::bigint AS threshold,
+            NULL::bigint AS c, NULL::varchar AS last FROM drawn WHERE type = 'delivery'
+        UNION ALL SELECT txn, type, w, NULL, {_uniform(1, 10, 710, 'txn')}, {_uniform(10, 20, 711, 'txn')}, NULL, NULL
+            FROM drawn WHERE type = 'stocklevel'
+        UNION ALL SELECT txn, type, w, NULL, {_uniform(1, 10, 720, 'txn')}, NULL,
+            CASE WHEN {_unit(721, 'txn')} * 100 >= 60 THEN {_nurand(1023, 1, 3000, 724, 'txn')} END,
+            CASE WHEN {_unit(721, 'txn')} * 100 < 60 THEN {_last(_nurand(255, 0, 999, 722, 'txn'))} END
+            FROM drawn WHERE type = 'orderstatus'""",
+    "drawn_items": f"""WITH i AS (SELECT p_partkey AS item, {_text(26, 50, 500, 'p_partkey')} AS t, {_unit(502, 'p_partkey')} AS u,
+            {_unit(503, 'p_partkey')} * 100 < 10 AS marked FROM part)
+        SELECT item, {_uniform(1, 10000, 504, 'item')} AS image, {_text(14, 24, 505, 'item')} AS name,
+            {_uniform(1, 10000, 507, 'item')} / 100.0::double AS price,
+            CASE WHEN marked THEN substr(t, 1, floor(u * (length(t) - 8))::int) || 'ORIGINAL'
+                || substr(t, floor(u * (length(t) - 8))::int + 9) ELSE t END AS data FROM i""",
+    "drawn_orders": _with(["gord"], f"""SELECT w::bigint AS w, d::bigint AS d, c, order_id, n_lines, 1546300800000::bigint AS entered,
+        order_id * 10 <= n * 7 AS delivered, CASE WHEN order_id * 10 <= n * 7 THEN carrier END AS carrier FROM (
+            SELECT *, {_uniform(5, 15, 600, 'w', 'd', 'order_id')} AS n_lines, {_uniform(1, 10, 601, 'w', 'd', 'order_id')} AS carrier FROM (
+                SELECT w, d, c, n, {_shuffled('order_id - 1', 'n', 602, 'w', 'd')} + 1 AS order_id FROM gord))"""),
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -917,3 +918,60 @@ def gen_orders(x):
     headers = generate.orders(customer_keys(x.shop), **x.name_bounds)
     lines = generate.order_lines(headers, n_items)
     return lines.join(headers.select("w", "d", "order_id", "c", "entered", "carrier"), ["w", "d", "order_id"])
+
+
+# Seeds of the drawn tables; one table takes at most 30 in a row.
+SEEDS = {"requests": 100, "new_orders": 200, "lines": 300, "payments": 400, "items": 500, "orders": 600, "others": 700}
+DRAWN_CUSTOMERS, DRAWN_NAMES = 3000, 1000
+
+
+def drawn(x) -> DataFrame:
+    """A request of a drawn type for every order of the table."""
+    ids = x.shop.table("orders").select(F.col("o_orderkey").alias("txn"))
+    return generate.requests_for(ids, x.shop.rows("nation"), SEEDS["requests"])
+
+
+@query
+def drawn_requests(x):
+    return drawn(x)
+
+
+@query
+def drawn_new_orders(x):
+    asked = drawn(x).where("type = 'neworder'").drop("type")
+    orders_ = generate.new_order_requests(asked, DRAWN_CUSTOMERS, 10, SEEDS["new_orders"])
+    lines = generate.new_order_request_lines(orders_.drop("d", "c"), x.shop.rows("part"), x.shop.rows("nation"), SEEDS["lines"])
+    return lines.join(orders_.select("txn", "d", "c", "n_lines"), "txn")
+
+
+@query
+def drawn_payments(x):
+    asked = drawn(x).where("type = 'payment'").drop("type")
+    return generate.payment_requests(asked, x.shop.rows("nation"), 10, DRAWN_CUSTOMERS, DRAWN_NAMES, SEEDS["payments"])
+
+
+@query
+def drawn_other_requests(x):
+    """Deliveries, stock levels and order statuses, each with its own fields."""
+    asked, seed = drawn(x), SEEDS["others"]
+
+    def of(kind):
+        return asked.where(F.col("type") == kind)
+
+    parts = [
+        generate.delivery_requests(of("delivery"), seed),
+        generate.stock_level_requests(of("stocklevel"), 10, seed + 10),
+        generate.order_status_requests(of("orderstatus"), DRAWN_CUSTOMERS, 10, DRAWN_NAMES, seed + 20).withColumn("type", F.lit("orderstatus")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+@query
+def drawn_items(x):
+    return generate.items(x.shop.table("part").select(F.col("p_partkey").alias("item")), SEEDS["items"])
+
+
+@query
+def drawn_orders(x):
+    headers = generate.orders(customer_keys(x.shop), seed=SEEDS["orders"], **x.name_bounds)
+    return headers.select("w", "d", "c", "order_id", "n_lines", "entered", "delivered", "carrier")
