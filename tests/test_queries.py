@@ -29,7 +29,8 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", [
     "order_ids", "fifo_deliveries", "stock_levels", "middle_customer", "credit_data", "balances", "customers_by_name",
-    "json_decode", "duration_stats", "check_payment_delta", "gen_orders", "modification_log", "order_lines",
+    "json_decode", "duration_stats", "check_payment_delta", "gen_orders", "modification_log", "order_lines", "home_stock_joined",
+    "drawn_orders",
 ])
 def test_query_equals_sql_with_hot_keys_split(spark, con, name):
     spark.conf.set("tillroll.hotRows", "300" if name == "fifo_deliveries" else "6")

@@ -85,6 +85,16 @@ def test_transaction_ids_out_of_range_raise(spark, serial, connection):
         df.collect()
 
 
+def test_connections_of_a_long_log(spark):
+    numbers = [0, 1, 7, 8, 2**31 - 1, 2**31, 2**31 + 1, 2**33 + 5, 2**40 + 3]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    serial, connection = K.connection_of(F.col("n"), 8)
+    packed = df.select("n", connection.alias("c"), K.pack_txn(serial, connection).alias("t"))
+    got = packed.select("n", "c", "t", K.txn_connection(F.col("t")).alias("c2")).collect()
+    assert len({r.t for r in got}) == len(numbers) and all(r.c == r.c2 and r.c % 8 == r.n % 8 for r in got)
+    assert all(r.t == r.n * 2**32 + r.n % 8 for r in got if r.n < 2**31)
+
+
 def test_text_rules(spark):
     df = spark.range(1).select(
         last_name(F.lit(371)).alias("n"), with_original(F.lit("0123456789abcdef"), F.lit(3)).alias("o"),

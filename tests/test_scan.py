@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tillroll.operators import scan
+from tillroll.operators.asof import join_asof
 from tillroll.operators.scan import recent, running
 
 
@@ -75,3 +77,55 @@ def test_recent_looks_back_over_blocks(spark, block_rows):
     out = recent(df, ["k"], "n", F.col("n"), 5, "last", block_rows=block_rows)
     got = {r.n: r["last"] for r in out.collect()}
     assert got == {i: list(range(max(1, i - 4), i + 1)) for i in range(1, 41)}
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 40])
+def test_folds(spark, hot_rows):
+    rng = random.Random(7)
+    data = [(k if k != "k3" else None, t, v if rng.random() < 0.5 else None) for k, t, v in sample(300, 3)]
+    df = spark.createDataFrame(data, "k string, t int, v int").repartition(5)
+    v = F.col("v")
+    folds = {"last": scan.latest(v), "top": scan.highest(v), "low": scan.lowest(v), "n": scan.number(v), "any": scan.seen(v > 3)}
+    got = rows(scan.folded(df, ["k"], ["t"], folds, hot_rows=hot_rows), "k", "t", *folds)
+    want = []
+    groups = defaultdict(list)
+    for k, t, value in data:
+        groups[k].append((t, value))
+    for k, group in groups.items():
+        upto = []
+        for t, value in sorted(group, key=lambda r: r[0]):
+            upto += [value] if value is not None else []
+            want.append((k, t, upto[-1] if upto else None, max(upto, default=None), min(upto, default=None), len(upto),
+                         any(x > 3 for x in upto) if upto else None))
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("hot_rows", [10_000, 30])
+def test_join_asof(spark, hot_rows, strict):
+    rng = random.Random(5)
+
+    def some(n):
+        key = lambda: rng.choice(["hot", "hot", "a", "b", None])
+        return [(key(), rng.choice([None, *range(20)]), i) for i in range(n)]
+
+    asks, says = some(150), some(60)
+    # repeated rows are rows of their own, on both sides
+    asks, says = asks + asks[:10], says + says[:5]
+    left = spark.createDataFrame(asks, "k string, t int, _left int")
+    right = spark.createDataFrame(says, "k string, t int, price int")
+    got = rows(join_asof(left, right, ["k"], "t", strict, hot_rows=hot_rows), "k", "t", "_left", "price")
+    want = []
+    for k, t, i in asks:
+        met = [(t2, p) for k2, t2, p in says if None not in (k, t, t2) and k2 == k and (t2 < t or t2 == t and not strict)]
+        want.append((k, t, i, max(met)[1] if met else None))
+    assert got == sorted(want, key=repr)
+
+
+def test_join_asof_empty_and_clashing(spark):
+    left = spark.createDataFrame([("a", 1)], "k string, t int")
+    empty = spark.createDataFrame([], "k string, t int, price int")
+    assert rows(join_asof(left, empty, ["k"], "t"), "k", "t", "price") == [("a", 1, None)]
+    assert join_asof(left.where("false"), empty, ["k"], "t").count() == 0
+    with pytest.raises(ValueError, match="price"):
+        join_asof(left.withColumn("price", F.lit(1)), empty, ["k"], "t")

@@ -30,6 +30,17 @@ def pack_txn(serial: Column, connection: Column) -> Column:
     return F.when(serial.isNull() | connection.isNull(), F.lit(None).cast("long")).when(fits, packed).otherwise(wrong)
 
 
+def connection_of(number: Column, connections: int) -> tuple[Column, Column]:
+    """Serial and connection of transaction ``number`` (0, 1, 2, ...), dealt to ``connections`` clients in turn.
+
+    A connection has 2^31 numbers to give; when they are used up, a client opens another one, so that
+    serials fit their 32 bits however long the log is.
+    """
+    opened = F.shiftright(number.cast("long"), 31)
+    serial = number.cast("long").bitwiseAND(F.lit((1 << 31) - 1))
+    return serial, F.pmod(number.cast("long"), F.lit(connections)) + opened * connections
+
+
 def _signed(value: Column, bits: int) -> Column:
     return F.when(value >= 1 << (bits - 1), value - (1 << bits)).otherwise(value)
 

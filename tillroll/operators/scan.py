@@ -11,6 +11,8 @@ slice. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,15 +45,27 @@ def running(
     such copies can then still be split.
     """
     floors = floors or {}
+
+    def plain(part, order):
+        return _in_one_window(part, keys, order, sums, floors)
+
+    def sliced(part, order, slices):
+        return _in_slices(part, keys, order, sums, floors, slices)
+
+    return _dealt(df, keys, order, plain, sliced, rows, sizes, hot_rows, ties)
+
+
+def _dealt(df, keys, order, plain, sliced, rows, sizes, hot_rows, ties):
+    """``plain(part, order)`` for the rows of ordinary keys, ``sliced(part, order, slices)`` for those of hot ones."""
     hot_rows = hot_rows or int(df.sparkSession.conf.get("tillroll.hotRows", str(HOT_ROWS)))
     if rows is not None and rows <= hot_rows:
-        return _in_one_window(df, keys, order, sums, floors)
+        return plain(df, order)
     counted = sizes() if sizes else df.groupBy(*keys).agg(F.count("*").alias("n"))
     # the hot keys stay a table; only their number and rows come to the driver
     hot = settle(counted.where(F.col("n") > hot_rows))
     hot_total = hot.agg(F.sum("n")).first()[0]
     if not hot_total:
-        return _in_one_window(df, keys, order, sums, floors)
+        return plain(df, order)
     names = [c for c in counted.columns if c != "n"]
     hot_keys = hot.select(*names)
     slices = -(-hot_total // hot_rows) + 1
@@ -63,10 +77,86 @@ def running(
     written = settle(df)
     cold = written.join(hot_keys, names, "left_anti")
     warm = written.join(hot_keys, names, "left_semi")
-    out = _in_one_window(cold, keys, order, sums, floors).unionByName(
-        _in_slices(warm, keys, order, sums, floors, slices)
-    )
-    return out.drop("_tie")
+    return plain(cold, order).unionByName(sliced(warm, order, slices)).drop("_tie")
+
+
+@dataclass(frozen=True)
+class Fold:
+    """A running value: Spark's aggregate ``of`` over ``value``, and how the values of two stretches of rows, the
+    earlier one first, make that of both. ``join`` must be associative; a null is a stretch without a value.
+
+    ``again`` aggregates the values of stretches; it is ``of`` unless that counts or averages.
+    """
+
+    value: Column
+    of: Callable[[Column], Column]
+    join: Callable[[Column, Column], Column]
+    again: Callable[[Column], Column] | None = None
+
+    def total(self, value: Column) -> Column:
+        return (self.again or self.of)(value)
+
+
+def latest(value: Column) -> Fold:
+    """The last value that is not null."""
+    return Fold(value, lambda v: F.last(v, ignorenulls=True), lambda a, b: F.coalesce(b, a))
+
+
+def highest(value: Column) -> Fold:
+    return Fold(value, F.max, F.greatest)
+
+
+def lowest(value: Column) -> Fold:
+    return Fold(value, F.min, F.least)
+
+
+def number(value: Column) -> Fold:
+    """How many values are not null."""
+    return Fold(value, F.count, lambda a, b: F.coalesce(a, F.lit(0)) + b, F.sum)
+
+
+def seen(value: Column) -> Fold:
+    """Was any value true?"""
+    return Fold(value, F.bool_or, lambda a, b: F.coalesce(a | b, a, b))
+
+
+def folded(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    folds: dict[str, Fold],
+    rows: int | None = None,
+    sizes: Callable[[], DataFrame] | None = None,
+    hot_rows: int | None = None,
+    ties: bool = False,
+) -> DataFrame:
+    """Add running values of any associative kind, this row included. Bounds as for ``running``."""
+
+    def windowed(part, by, order):
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return part.withColumns({n: f.of(f.value).over(upto) for n, f in folds.items()})
+
+    def sliced(part, order, slices):
+        types = windowed(part, keys, order).schema
+        numbered = settle(
+            part.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
+        )
+        at = [*keys, "_slice"]
+        inside = windowed(numbered, at, order)
+        # a slice's value is its last row's; one row per (key, slice)
+        ends = inside.groupBy(*at).agg(F.max_by(F.struct(*folds), F.struct(*order)).alias("_end"))
+        earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(
+            *[F.col(c).alias(f"_k_{c}") for c in at],
+            *[f.total(F.col(f"_end.{n}")).over(earlier).alias(f"_c_{n}") for n, f in folds.items()],
+        )
+        # null-safe: a null key is a group like any other
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in at])
+        out = inside.join(carried, same)
+        out = out.withColumns({n: f.join(F.col(f"_c_{n}"), F.col(n)) for n, f in folds.items()})
+        return out.select(*[F.col(t.name).cast(t.dataType).alias(t.name) for t in types])
+
+    return _dealt(df, keys, order, lambda part, order: windowed(part, keys, order), sliced, rows, sizes, hot_rows, ties)
 
 
 def _in_one_window(df, keys, order, sums, floors):

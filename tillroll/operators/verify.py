@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KNOWN_TYPES = ["neworder", "payment", "delivery"]
 
@@ -61,10 +62,18 @@ def approve_by_type(kind: Column, order_approved: Column) -> Column:
 
 
 def order_warehouses(accepted_orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """(txn, w) once for the home warehouse and each supplying one."""
-    remote = lines.where("remote_w is not null").select("txn", F.col("remote_w").alias("w")).distinct()
-    remote = remote.join(accepted_orders.select("txn"), "txn", "left_semi")
-    return accepted_orders.select("txn", "w").unionByName(remote).distinct()
+    """(txn, w) once for the home warehouse and each supplying one. ``accepted_orders``: one row per txn.
+
+    The suppliers meet per order, at most one entry for each warehouse, so the lines are shuffled once, by txn.
+    """
+    array_of_w = T.ArrayType(accepted_orders.schema["w"].dataType)
+    remote = lines.where("remote_w is not null").groupBy("txn").agg(F.collect_set("remote_w").alias("_remote"))
+    home = F.array("w")
+    everywhere = F.when(F.col("_remote").isNull(), home).otherwise(F.array_union(home, F.col("_remote").cast(array_of_w)))
+    return (
+        accepted_orders.select("txn", "w").join(remote, "txn", "left")
+        .select("txn", F.explode(everywhere).alias("w"))
+    )
 
 
 def known_types(log: DataFrame, type_column: str = "type") -> DataFrame:

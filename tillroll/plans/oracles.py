@@ -398,6 +398,7 @@ ORACLES: dict[str, str] = {
         FROM gord, range(0, 15) t(i) WHERE i < 5 + order_id % 11"""),
 }
 
+ORACLES["home_stock_joined"] = ORACLES["home_stock_asof"]
 ORACLES["stream_modification_log"] = ORACLES["modification_log"]
 ORACLES["stream_stock_level"] = ORACLES["stock_level"]
 

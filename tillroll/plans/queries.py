@@ -14,6 +14,7 @@ from tillroll.functions.draws import nurand
 from tillroll.functions.text import last_name
 from tillroll.operators import (
     accounts,
+    asof,
     checks,
     customers,
     logs,
@@ -28,11 +29,12 @@ from tillroll.operators import (
     views,
 )
 from tillroll.plans.ledger import Ledger
+from tillroll.session import settle
 from tillroll.sources import generate, records
 from tillroll.streaming import pipelines as P
 from tillroll.streaming import workers
 from tillroll.streaming.replay import Replay
-from tillroll.sources.shop import MONEY, OPENING_BALANCE, PAYMENT, Shop, home, home_district
+from tillroll.sources.shop import MONEY, OPENING_BALANCE, PAYMENT, Shop, home, home_district, initial_stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -89,9 +91,13 @@ def route_counts(x):
     return verify.known_types(all_requests(x)).groupBy("type", "w").agg(F.count("*").alias("n"))
 
 
+# clients that send requests in turn
+CONNECTIONS = 8
+
+
 def approval_log(x: Ledger) -> DataFrame:
     """One approval per new-order request, keyed by packed id: id, connection, txn, approved."""
-    packed = K.pack_txn(F.col("txn"), F.col("txn") % 8)
+    packed = K.pack_txn(*K.connection_of(F.col("txn"), CONNECTIONS))
     return x.approvals.select(
         packed.alias("id"), K.txn_connection(packed).alias("connection"), "txn", "approved"
     )
@@ -101,7 +107,7 @@ def approval_log(x: Ledger) -> DataFrame:
 def results_for_connection(x):
     """Each connection keeps its own results; every even connection is asked for."""
     results_in = approval_log(x)
-    asked = x.shop.orders.select((F.col("txn") % 8).alias("connection")).where("connection % 2 = 0")
+    asked = x.shop.orders.select(K.connection_of(F.col("txn"), CONNECTIONS)[1].alias("connection")).where("connection % 2 = 0")
     return results.own_results(results_in, asked)
 
 
@@ -215,7 +221,8 @@ def binary_keys(x):
 
 @query
 def txn_id_codec(x):
-    packed = x.shop.orders.select("txn", K.pack_txn(F.col("txn"), F.col("txn") % 8 - 4).alias("id"))
+    serial, connection = K.connection_of(F.col("txn"), CONNECTIONS)
+    packed = x.shop.orders.select("txn", K.pack_txn(serial, connection - 4).alias("id"))
     return packed.select(
         "txn", "id", K.txn_serial(F.col("id")).alias("serial"), K.txn_connection(F.col("id")).alias("connection")
     )
@@ -438,6 +445,21 @@ def home_stock_asof(x):
     return x.moved.where("role <> 'supply'").select("txn", "line", "w", "item", "level")
 
 
+@query
+def home_stock_joined(x):
+    """As ``home_stock_asof``, by joining every line as of its moment to the levels that its home warehouse's item
+    had after each line served there (the opening level before the first)."""
+    moved = settle(x.moved)
+    lines = moved.where("role <> 'supply'").select("txn", "line", "w", "item", "ts")
+    served = moved.where("role <> 'look'").select(
+        F.col("stock_w").alias("w"), "item", F.struct("ts", "txn", "line").alias("at"), F.col("level").alias("served_level")
+    )
+    joined = asof.join_asof(
+        lines.withColumn("at", F.struct("ts", "txn", "line")), served, ["w", "item"], "at", **x.stock_bounds
+    )
+    return joined.select("txn", "line", "w", "item", F.coalesce("served_level", initial_stock(F.col("item"))).alias("level"))
+
+
 @query
 def remote_stock(x):
     return x.moved.where("role = 'supply'").select("txn", "line", "stock_w", "item", "level")
