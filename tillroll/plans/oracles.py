@@ -187,6 +187,8 @@ ORACLES: dict[str, str] = {
         FROM req LEFT JOIN (SELECT txn, count(*) AS n, sum(q) AS s FROM ln GROUP BY txn) USING (txn)
         UNION ALL SELECT 'payment', txn, w, d, c, last, amount, NULL, NULL, NULL, NULL FROM payreq
         UNION ALL SELECT 'delivery', txn, w, NULL, NULL, NULL, NULL, ts, carrier, NULL, NULL FROM dlv"""),
+    "json_nested_orders": _with(["ln"], f"""SELECT txn, line // 15 AS part, {_b('w', 'd', 'c')}, ts::bigint AS date, line, item,
+        sw::bigint AS supply_w, q::bigint AS quantity FROM ln"""),
     "json_props": "SELECT event_id, (props::json->>'k')::bigint AS k, props::json->>'missing' AS missing FROM events",
     "json_roundtrip": _with(["payreq"], """SELECT txn, c IS NOT NULL AS has_id, last IS NOT NULL AS has_name, c, last,
         amount::double AS amount FROM payreq"""),

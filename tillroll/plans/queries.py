@@ -188,6 +188,32 @@ def json_decode(x):
     return new.unionByName(paid, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
 
 
+# Fixed value: the most lines an order message holds; an order with more is sent as several.
+LINES_PER_MESSAGE = 15
+
+
+@query
+def json_nested_orders(x):
+    """Order messages with their lines nested, written as JSON, read back and unfolded. Every other order has its
+    lines under the older name."""
+    number = F.col("line") % LINES_PER_MESSAGE
+    line = F.struct(number.alias("n"), F.col("item").alias("itemId"), F.col("supply_w").alias("supplyingWarehouseId"), "quantity")
+    part = F.floor(F.col("line") / LINES_PER_MESSAGE).cast("int").alias("part")
+    messages = x.shop.lines.groupBy("txn", part, "w", "d", "c", "ts").agg(F.array_sort(F.collect_list(line)).alias("_lines"))
+    nested = F.transform("_lines", lambda v: v.dropFields("n"))
+    older = F.col("txn") % 2 == 1
+    log = messages.select("txn", "part", records.encode(
+        type=F.lit("neworder"), customerId=F.col("c"), districtId=F.col("d"), warehouseId=F.col("w"), date=F.col("ts"),
+        lines=F.when(~older, nested), items=F.when(older, nested),
+    ).alias("value"))
+    read = records.decode(log, "neworder", records.REQUESTS).select("txn", "part", "r", F.posexplode("r.lines").alias("n", "l"))
+    return read.select(
+        "txn", "part", F.col("r.warehouseId").alias("w"), F.col("r.districtId").alias("d"), F.col("r.customerId").alias("c"),
+        F.col("r.date").alias("date"), (F.col("part") * LINES_PER_MESSAGE + F.col("n")).alias("line"),
+        F.col("l.itemId").alias("item"), F.col("l.supplyingWarehouseId").alias("supply_w"), F.col("l.quantity").alias("quantity"),
+    )
+
+
 @query
 def json_props(x):
     """The events' own JSON: fields of another shape."""
