@@ -1,7 +1,12 @@
 """Plans and state that must not grow faster than the tables."""
 
+import random
+
+import pandas as pd
+
 from tillroll.operators import logs
 from tillroll.plans.ledger import Ledger
+from tillroll.streaming.state import Balances, DistrictQueue
 from tests.conftest import TINY
 from tests.test_queries import plan
 
@@ -13,3 +18,64 @@ def test_the_stock_table_is_never_broadcast(spark):
     for joined in (x.with_dist_info(lines), logs.lookup_strict(asked, x.opening_stock, ["w", "item"])):
         assert "Broadcast" not in plan(joined)
         assert joined.count() == 2
+
+
+class Counted:
+    """A value or a map of state, in memory, that counts how often it is asked."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def _call(self, act, key, *value):
+        self.calls += 1
+        return act(key, *value)
+
+    def exists(self):
+        return self._call(self.values.__contains__, None)
+
+    def get(self):
+        return self._call(self.values.__getitem__, None)
+
+    def update(self, value):
+        self._call(self.values.__setitem__, None, value)
+
+    def containsKey(self, key):
+        return self._call(self.values.__contains__, key)
+
+    def getValue(self, key):
+        return self._call(self.values.__getitem__, key)
+
+    def updateValue(self, key, value):
+        self._call(self.values.__setitem__, key, value)
+
+    def removeKey(self, key):
+        self._call(self.values.__delitem__, key)
+
+
+def test_a_districts_queue_asks_its_state_by_blocks_of_orders():
+    q = DistrictQueue()
+    q._ends, q._waiting = Counted(), Counted()
+    n, got = 2000, []
+    placed = pd.DataFrame({"kind": 0, "ts": range(n), "txn": range(n), "c": range(100, 100 + n), "total_cents": range(n), "carrier": None, "w": 1, "d": 1})
+    polls = pd.DataFrame({"kind": 1, "ts": range(n, 2 * n + 5), "txn": range(n + 5), "c": None, "total_cents": None, "carrier": 4, "w": 1, "d": 1})
+    for part in (placed, polls):
+        for out in q.handleInputRows((1, 1), iter([part]), None):
+            got += list(out[["kind", "order_id", "c", "total_cents"]].itertuples(index=False, name=None))
+    assert got == [(kind, i + 1, 100 + i, i) for kind in (0, 1) for i in range(n)]
+    assert q._waiting.calls < n / 10 and len(q._waiting.values) <= 1
+
+
+def test_balances_of_many_customers_are_one_state():
+    b = Balances(-1000)
+    b._cents = Counted()
+    want, draw = {}, random.Random(5)
+    for batch in range(3):
+        rows = [(draw.randrange(50) * 7, t, 2, draw.randrange(-500, 500)) for t in range(batch * 200, batch * 200 + 200)]
+        part = pd.DataFrame(rows, columns=["c", "ts", "kind", "change_cents"]).assign(w=1, d=1, txn=1)
+        told = [tuple(r) for out in b.handleInputRows((1, 1, 0), iter([part]), None) for r in out[["ts", "c", "balance_cents"]].itertuples(index=False)]
+        expected = []
+        for c, ts, _, change in rows:
+            want[c] = want.get(c, -1000) + change
+            expected.append((ts, c, want[c]))
+        assert sorted(told) == expected
+    assert b._cents.calls <= 5 * 3
