@@ -6,8 +6,10 @@ import pandas as pd
 
 from tillroll.operators import logs
 from tillroll.plans.ledger import Ledger
+from tillroll.sources import records
+from tillroll.streaming import pipelines as P
 from tillroll.streaming.state import Balances, DistrictQueue
-from tests.conftest import TINY
+from tests.conftest import TINY, rows
 from tests.test_queries import plan
 
 
@@ -79,3 +81,15 @@ def test_balances_of_many_customers_are_one_state():
             expected.append((ts, c, want[c]))
         assert sorted(told) == expected
     assert b._cents.calls <= 5 * 3
+
+
+def test_customers_without_a_warehouse_are_one_slot_in_log_order(spark, tmp_path):
+    at = {n: str(tmp_path / n) for n in ("log", "out", "cp")}
+    schema = "w int, d int, c bigint, ts bigint, kind int, txn bigint, change_cents bigint"
+    n = 3000  # more than an Arrow batch, the newest first
+    log = spark.range(n, 0, -1, 1).selectExpr("cast(null as int) as w", "1 as d", "id % 2 as c", "id as ts", "2 as kind", "id as txn", "1L as change_cents")
+    log.write.parquet(at["log"])
+    start = spark.createDataFrame([(None, 1, 1, 70)], "w int, d int, c bigint, cents bigint")
+    P.start_log(P.balance_stream(records.stream_log(spark, at["log"], schema), 0, start), at["out"], at["cp"]).awaitTermination()
+    got = rows(spark.read.parquet(at["out"]), "ts", "balance_cents")
+    assert got == sorted(((t, (t + 1) // 2 + 70 * (t % 2)) for t in range(1, n + 1)), key=repr)
