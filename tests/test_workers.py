@@ -217,3 +217,44 @@ def test_a_batch_run_twice_counts_once(spark, tmp_path):
     assert spark.read.parquet(path("all")).agg(F.sum("twice"), F.count("*")).first()[:] == (90, 10)
     W.start_split(records.stream_log(spark, at, "id long"), split, path, "accounts", str(tmp_path / "cp2")).awaitTermination()
     assert spark.read.parquet(path("all")).count() == 20
+
+
+class Counted(Values):
+    """State that counts its calls."""
+
+    calls = 0
+
+    def containsKey(self, key):
+        Counted.calls += 1
+        return super().containsKey(key)
+
+    def updateValue(self, key, value):
+        Counted.calls += 1
+        return super().updateValue(key, value)
+
+
+def test_a_queue_takes_few_calls():
+    """A state call for a block of some thousand orders, not one for each 256."""
+    Counted.calls = 0
+    w = worker()
+    w._waiting = Counted()
+    n = 10_000
+    placed = pd.DataFrame({"kind": 0, "ts": range(n), "txn": range(n), "c": range(n), "total_cents": range(n), "w": 3, "d": 4})
+    polled = pd.DataFrame({"kind": 1, "ts": n, "txn": range(5_000), "c": None, "total_cents": None, "w": 3, "d": 4})
+    list(feed(w, ("queue", 3, 4), [placed]))
+    assert Counted.calls <= 8
+    got = [r["order_id"] for r in feed(w, ("queue", 3, 4), [polled])]
+    assert got == list(range(1, 5_001))
+
+
+def test_newest_orders_of_many():
+    recent = P.RecentOrders(20)
+    recent._orders = Value()
+    recent._orders.put = recent._orders.update
+    want, rng = [], random.Random(3)
+    for _ in range(3):
+        ids = [rng.randrange(5_000) for _ in range(3_000)]
+        part = pd.DataFrame({"order_id": ids + ids[:50], "txn": [i * 7 for i in ids + ids[:50]], "c": 5})
+        want = sorted({*want, *zip(part.order_id, part.txn, part.c)})[-20:]
+        kept = next(recent.handleInputRows((1, 2), iter([part]), None))
+        assert list(zip(kept.order_id, kept.txn, kept.c)) == want and set(kept.newest) == {want[-1][0]}
