@@ -233,6 +233,31 @@ class Counted(Values):
         return super().updateValue(key, value)
 
 
+def test_a_slots_texts_take_one_call():
+    """However many bad-credit customers a slot has, and the texts go on in the next batch."""
+    class Handle:
+        def getValueState(self, name, schema):
+            made[name] = Value()
+            return made[name]
+
+        def getMapState(self, name, *schemas):
+            raise AssertionError("a state call for each customer")
+
+    made = {}
+    accounts = W.Accounts(0)
+    accounts.init(Handle())
+
+    def paid(n, opening):
+        return pd.DataFrame({
+            "w": 1, "d": 1, "c": range(200), "ts": n, "kind": 2, "txn": range(200), "change_cents": -1, "pay_w": 1, "pay_d": 1,
+            "bad": [c % 2 == 0 for c in range(200)], "prefix": [f"{n}:{c} " if c % 2 == 0 else None for c in range(200)], "opening_data": opening,
+        })
+
+    first, second = (next(accounts.handleInputRows((1, 1, 0), iter([paid(n, "old")]), None)).set_index("c") for n in (1, 2))
+    assert first.data[4] == "1:4 old" and second.data[4] == "2:4 1:4 old" and second.data[5] == "old"
+    assert set(second.balance_cents) == {-2} and W.opened(made["texts"].get()[0]).num_rows == 100
+
+
 def test_a_queue_takes_few_calls():
     """A state call for a block of some thousand orders, not one for each 256."""
     Counted.calls = 0
@@ -258,3 +283,10 @@ def test_newest_orders_of_many():
         want = sorted({*want, *zip(part.order_id, part.txn, part.c)})[-20:]
         kept = next(recent.handleInputRows((1, 2), iter([part]), None))
         assert list(zip(kept.order_id, kept.txn, kept.c)) == want and set(kept.newest) == {want[-1][0]}
+
+
+def test_different_numbers():
+    rng = W.np.random.default_rng(2)
+    for n in (0, 1, 500):
+        numbers = rng.integers(0, 6, (3, n))
+        assert (W.distinct(numbers) == W.np.unique(numbers, axis=1)).all()
