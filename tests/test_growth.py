@@ -1,14 +1,19 @@
 """Plans and state that must not grow faster than the tables."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tillroll.operators import logs
 from tillroll.plans.ledger import Ledger
 from tillroll.sources import records
+from tillroll.streaming import packs, workers
 from tillroll.streaming import pipelines as P
-from tillroll.streaming.state import Balances, DistrictQueue
+from tillroll.streaming.replay import Replay, accepted_records
+from tillroll.streaming.state import Balances, DistrictQueue, ints, kept
 from tests.conftest import TINY, rows
 from tests.test_queries import plan
 
@@ -93,3 +98,47 @@ def test_customers_without_a_warehouse_are_one_slot_in_log_order(spark, tmp_path
     P.start_log(P.balance_stream(records.stream_log(spark, at["log"], schema), 0, start), at["out"], at["cp"]).awaitTermination()
     got = rows(spark.read.parquet(at["out"]), "ts", "balance_cents")
     assert got == sorted(((t, (t + 1) // 2 + 70 * (t % 2)) for t in range(1, n + 1)), key=repr)
+
+
+def test_numbers_of_a_state_are_kept_small():
+    draw = np.random.default_rng(1)
+    item = np.flatnonzero(draw.random(100_000) < 0.7) + 10**9
+    shelf = np.stack([item, draw.integers(10, 101, len(item))])
+    assert (ints(kept(shelf), 2) == shelf).all() and len(kept(shelf)) < 3 * len(item)  # 16 as they are
+    ends = np.iinfo("int64")
+    for numbers in (np.zeros((3, 0), dtype="int64"), np.array([[ends.min, -1, 0, ends.max], [5, ends.max, ends.min, 0]]), np.array([[7], [-3], [0]])):
+        assert (ints(kept(numbers), len(numbers)) == numbers).all()
+    assert ints(None, 4).shape == (4, 0)
+
+
+def test_a_slice_is_moved_into_its_log(spark, tmp_path):
+    source, log = str(tmp_path / "dealt" / "slice=0"), str(tmp_path / "log")
+    assert not records.move_into_log(spark, source, log)
+    spark.range(5).write.parquet(source)
+    assert records.move_into_log(spark, source, log)
+    assert not (tmp_path / "dealt" / "slice=0").exists() and rows(records.read_log(spark, log, "id long"), "id") == [(i,) for i in range(5)]
+
+
+def test_the_files_of_a_log_are_not_written_twice(spark):
+    replay = Replay(Ledger(spark, TINY)).run(lambda r: None)
+    folder = replay.folder.removeprefix("file:")
+    assert not list(Path(folder, "log").rglob("*.parquet")) and list(Path(folder, "accepted").rglob("*.parquet"))
+    assert replay.read("accepted", P.ACCEPTED).count() == accepted_records(replay.x).count()
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "100"
+
+
+def test_a_copy_is_one_of_the_same_two_hashes():
+    class Seen(Counted):
+        def iterator(self):
+            return iter([(k, v) for k, v in self.values.items()])
+
+    f = workers.FirstCopies(1, ["n"])
+    f._seen, f._blocks = Seen(), Counted()
+
+    def told(*pairs):
+        table = pa.table({"h1": [p[0] for p in pairs], "h2": [p[1] for p in pairs], "n": list(range(len(pairs)))})
+        return [n for out in f.handleInputRows(None, iter([pd.DataFrame({"rows": [packs.closed(table)]})]), None) for n in packs.opened(out["rows"][0])["n"].to_pylist()]
+
+    assert told((9, 1), (-5, 1), (9, 1), (9, 2)) == [0, 1, 3]
+    assert told((9, 2), (9, 3), (-5, 1), (7, 1)) == [1, 3]
+    assert told((9, 3), (9, 1), (7, 1)) == []
