@@ -290,3 +290,36 @@ def test_different_numbers():
     for n in (0, 1, 500):
         numbers = rng.integers(0, 6, (3, n))
         assert (W.distinct(numbers) == W.np.unique(numbers, axis=1)).all()
+
+
+def test_a_worker_gives_packs_of_its_rows():
+    """A row for each key goes back to Spark, and what is in it is what the worker gives row by row."""
+    rng = random.Random(4)
+    moves = pd.DataFrame(
+        [(7, i // 3, i, 0, 1, rng.randrange(12), 7, 8, rng.randrange(11), rng.choice(["home", "supply", "look"])) for i in range(400)],
+        columns=["w", "ts", "txn", "line", "d", "item", "home_w", "supply_w", "quantity", "role"],
+    )
+    moves = moves.assign(taken=moves.quantity.where(moves.role != "look", 0), opening=moves["item"] + 10)
+    events = pd.DataFrame({"w": 3, "d": 4, "ts": range(60), "kind": [0, 0, 1] * 20, "txn": range(60), "carrier": 2, "n_lines": 5})
+    events = events.assign(c=(events.txn * 3).where(events.kind == 0), total_cents=(events.txn * 7).where(events.kind == 0))
+    events = pd.concat([events[events.kind == 1].assign(ts=-1, txn=100 + events.txn), events])
+    for key, frame, place, columns in ((("stock", 7, 0), moves, "stock", ["txn", "role", "level"]), (("queue", 3, 4), events, "queue", ["txn", "order_id", "c", "total_cents"])):
+        want, plain = [], worker()
+        packs, w = [], W.PackedWorker()
+        w._shelf, w._ends, w._waiting = Value(), Value(), Values()
+        for part in cut(rng, frame, 3):
+            want += [tuple(None if v != v else v for v in r) for out in plain.handleInputRows(key, iter([part]), None) for r in out[columns].itertuples(index=False)]
+            given = pd.DataFrame({"rows": [W.closed(W.pa.Table.from_pandas(p, preserve_index=False)) for p in (part[:5], part[5:])]})
+            packs += [r for out in w.handleInputRows(("x",), iter([given]), None) for r in out.itertuples(index=False)]
+        assert len(packs) == 3 and {p.place for p in packs} == {place}
+        got = [tuple(r[c] for c in columns) for p in packs for r in W.opened(p.rows).to_pylist()]
+        assert got == want and len(got) == len(frame)
+
+
+def test_the_text_of_one_district(spark):
+    texts = W.generate.stock_texts(F.col("w"), F.col("item"))
+    one = W.generate.stock_text(F.col("w"), F.col("item"), F.col("d"))
+    some = spark.createDataFrame([(w, 10**i, d) for w in (1, 25, None) for i in range(4) for d in range(1, 11)] + [(1, 2, None)], "w int, item bigint, d int")
+    told = some.select(one.alias("one"), F.element_at(texts, F.col("d")).alias("all"))
+    got = told.collect()
+    assert len(got) == 121 and all(r["one"] == r["all"] for r in got)
